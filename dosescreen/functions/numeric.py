@@ -99,8 +99,10 @@ def round_decimals(x: Column | str, digits: int = 2) -> Column:
     error = (high * double_scale - product) + (x - high) * double_scale
     nearest = F.rint(product / 2)
     gap = product - nearest * 2
-    step = F.when((gap == 1) & (error > 0), 1.0).when((gap == -1) & (error < 0), -1.0).otherwise(0.0)
-    return F.when(F.abs(x) < 1e12, (nearest + step) / F.lit(10.0 ** digits)).otherwise(x)
+    settled = (
+        F.when((gap == 1) & (error > 0), nearest + 1).when((gap == -1) & (error < 0), nearest - 1).otherwise(nearest)
+    )
+    return F.when(F.abs(x) < 1e12, settled / F.lit(10.0 ** digits)).otherwise(x)
 
 
 def fixed_decimals(x: Column | str, digits: int = 2) -> Column:

@@ -1,0 +1,16 @@
+"""Queries over the driver tables."""
+
+
+def _load():
+    from workload import registry
+    from workload import assay_queries, evidence_queries, exposure_queries  # noqa: F401
+
+    return registry
+
+
+def all_queries():
+    return dict(_load().QUERIES)
+
+
+def all_sql():
+    return dict(_load().SQL)
