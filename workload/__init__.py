@@ -3,7 +3,9 @@
 
 def _load():
     from workload import registry
-    from workload import assay_queries, evidence_queries, exposure_queries  # noqa: F401
+    from workload import (  # noqa: F401
+        assay_queries, evidence_queries, exposure_queries, quality_queries, screening_queries, statistics_queries,
+    )
 
     return registry
 
