@@ -76,13 +76,15 @@ def parse_number(text: Column | str) -> Column:
 
 def number_text(x: Column | str) -> Column:
     """Shortest text of a double without exponent and without a trailing ``.0``."""
-    x = col(x)
-    plain = x.cast("string")
-    # 38 digits are enough below 1e19 with 19 decimals; beyond that keep the exponent form
+    plain = col(x).cast("string")
+    # only texts with an exponent need decimal arithmetic: 38 digits are enough from 1e-19 up to 1e19
     fixed = plain.try_cast("decimal(38,19)").cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
-    tiny = (x != 0) & (F.abs(x) < 1e-17)
-    return F.when(tiny | fixed.isNull(), plain).otherwise(trimmed)
+    expanded = F.when(fixed.isNull() | (trimmed == "0"), plain).otherwise(trimmed)
+    return (
+        F.when(F.contains(plain, F.lit("E")), expanded)
+        .when(plain.endswith(".0"), plain.substr(F.lit(1), F.length(plain) - 2)).otherwise(plain)
+    )
 
 
 def round_decimals(x: Column | str, digits: int = 2) -> Column:
@@ -111,27 +113,26 @@ def fixed_decimals(x: Column | str, digits: int = 2) -> Column:
     return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", round_decimals(x, digits)))
 
 
-def exact_total(x: Column | str, scale: int, when: Column | None = None) -> Column:
-    """Sum of a double taken in decimal arithmetic, so that the order of partial sums cannot change it."""
-    x = col(x)
-    if when is not None:
-        x = F.when(when, x)
-    return F.sum(x.cast(f"decimal({18 + scale if scale < 12 else 38},{scale})")).cast("double")
+def exact_total(x: Column | str, scale: int) -> Column:
+    """Group sum of numbers with ``scale`` decimals that does not depend on the order of partial sums.
+
+    Values are summed as whole multiples of 10^-scale, split into a high and a low part so that neither sum overflows
+    even for a group of 10^12 rows.
+    """
+    units = F.rint(col(x) * F.lit(10.0 ** scale)).cast("bigint")
+    high = F.sum(F.shiftright(units, 20)).cast("double")
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1))).cast("double")
+    return (high * F.lit(float(1 << 20)) + low) / F.lit(10.0 ** scale)
 
 
-def mean_strict(x: Column | str, scale: int | None = None, when: Column | None = None) -> Column:
+def mean_strict(x: Column | str, scale: int | None = None) -> Column:
     """Group mean that is NULL as soon as one value in the group is NULL.
 
-    With ``scale`` the sum is exact in decimals and so does not depend on how rows are partitioned. With ``when``
-    only rows that meet the condition take part.
+    With ``scale`` the sum is exact for values with that many decimals (see :func:`exact_total`).
     """
     x = col(x)
-    rows = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    wanted = F.count_if(rows)
-    present = F.count_if(rows & x.isNotNull())
-    picked = F.when(rows, x)
-    total = F.sum(picked) if scale is None else exact_total(picked, scale)
-    return F.when((wanted == present) & (wanted > 0), total / wanted)
+    total = F.sum(x) if scale is None else exact_total(x, scale)
+    return F.when(F.count(F.lit(1)) == F.count(x), total / F.count(x))
 
 
 def max_strict(x: Column | str) -> Column:

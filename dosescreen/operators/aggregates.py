@@ -21,14 +21,16 @@ def distinct_by(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[quoted(c) for c in columns]).distinct()
 
 
-def collapse_distinct(df: DataFrame, keys: list[str], value: str, out: str, sep: str = ", ") -> DataFrame:
+def collapse_distinct(df: DataFrame, keys: list[str], value: str, out: str, sep: str = ", ", shown=None) -> DataFrame:
     """Sorted distinct texts of a group in one cell.
 
     Repeats are removed by a first aggregation on key and value, so only distinct texts reach the group's task.
+    ``shown`` changes the remaining texts, for instance their case, before they are joined.
     """
     single = distinct_by(df, keys + [value])
+    text = quoted(value) if shown is None else shown(quoted(value))
     return single.groupBy(*[quoted(k) for k in keys]).agg(
-        F.array_join(F.array_sort(F.collect_list(quoted(value))), sep).alias(out)
+        F.array_join(F.array_sort(F.collect_set(text)), sep).alias(out)
     )
 
 

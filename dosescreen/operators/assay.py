@@ -11,6 +11,7 @@ from dosescreen.functions import text as txt
 from dosescreen.operators import ranking
 from dosescreen.operators.joins import join_on
 from dosescreen.operators.reshape import explode_slots, pick, quoted, unpivot, widen
+from dosescreen.session import cut_lineage
 
 PLATE_PATTERN = r"^([^_]+)_(.*)_Plate([0-9]+)$"
 
@@ -75,9 +76,10 @@ def fold_change(
 ) -> DataFrame:
     """Treated mean over the control mean of the same keys, fraction rounded to significant digits.
 
-    ``controls`` has one row per key, so the join cannot multiply rows.
+    ``controls`` has one row per key, so the join cannot multiply rows. It is settled as a table first: its true size
+    then decides between a broadcast and a shuffle on the few, large control keys.
     """
-    joined = join_on(means, controls, on)
+    joined = join_on(means, cut_lineage(controls), on)
     return joined.withColumn(out, num.signif_frac(num.ratio(mean, control), digits))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dosescreen import fixed_values as fixed
 from dosescreen.functions import text as txt
 from dosescreen.functions.rules import append_match, first_match, flag_text
-from dosescreen.operators.aggregates import collapse_distinct, count_by, distinct_by
+from dosescreen.operators.aggregates import collapse_distinct, count_by
 from dosescreen.operators.joins import join_on, member_of
 from dosescreen.operators.reshape import explode_tokens, quoted, stack_rows
 
@@ -81,19 +81,20 @@ def categorise_products(uses: DataFrame, rules=None) -> DataFrame:
     return uses.withColumn("cassette4", first_match(rules, F.lit(fixed.PRODUCT_DEFAULT)))
 
 
+def _titled(label: Column) -> Column:
+    return txt.underscores_to_spaces(txt.title_case(label))
+
+
 def _collapse_titles(tables: list[DataFrame], label: str, chem: str, out: str) -> DataFrame:
     """Distinct labels per chemical over all tables, title-cased, underscores as blanks, in one sorted cell."""
     stacked = None
     for table in tables:
-        part = distinct_by(table, [chem, label])
+        part = table.select(quoted(chem), quoted(label))
         stacked = part if stacked is None else stack_rows(stacked, part)
-    shown = stacked.withColumn(label, txt.underscores_to_spaces(txt.title_case(quoted(label))))
-    return collapse_distinct(shown, [chem], label, out)
+    return collapse_distinct(stacked, [chem], label, out, shown=_titled)
 
 
-def category_flags(tables: list[DataFrame], chem: str = "casrn", label: str = "cassette4") -> DataFrame:
-    """One row per chemical: all broad categories in one cell and a 0/1 flag per main category."""
-    broad = _collapse_titles(tables, label, chem, "broad")
+def _with_flags(broad: DataFrame) -> DataFrame:
     flagged = broad.withColumns({n: flag_text(txt.matches("broad", p)) for n, p in fixed.BROAD_FLAGS.items()})
     nothing = F.col("broad") != " "
     for n in fixed.BROAD_FLAGS:
@@ -101,6 +102,35 @@ def category_flags(tables: list[DataFrame], chem: str = "casrn", label: str = "c
     return flagged.withColumn(fixed.UNCATEGORISED, flag_text(nothing))
 
 
+def category_flags(tables: list[DataFrame], chem: str = "casrn", label: str = "cassette4") -> DataFrame:
+    """One row per chemical: all broad categories in one cell and a 0/1 flag per main category."""
+    return _with_flags(_collapse_titles(tables, label, chem, "broad"))
+
+
+def source_summary(records: DataFrame, uses: DataFrame, chem: str = "casrn") -> DataFrame:
+    """Broad categories with their flags and specific uses of every chemical, from one pass over both inputs.
+
+    Gives the same rows as joining :func:`category_flags` and :func:`specific_uses`.
+    """
+    both = [
+        categorise(catalogue_uses(records)),
+        categorise_products(product_specific_uses(uses)),
+    ]
+    labels = F.array(*[
+        F.struct(F.lit(i).alias("__kind"), quoted(c).alias("__label")) for i, c in enumerate(("cassette4", "Other"))
+    ])
+    stacked = stack_rows(*[t.select(quoted(chem), F.inline(labels)) for t in both]).distinct()
+    label = _titled(F.col("__label"))
+
+    def cell(kind: int) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(F.col("__kind") == kind, label))), ", ")
+
+    cells = stacked.groupBy(quoted(chem)).agg(
+        cell(0).alias("broad"), F.regexp_replace(cell(1), "^ , ", " ").alias("Other")
+    )
+    return _with_flags(cells)
+
+
 def catalogue_uses(records: DataFrame, rules=None, appends=None) -> DataFrame:
     """Specific use of catalogue records: the first rule that applies, then at most one appended use."""
     rules = fixed.USE_RULES if rules is None else rules
@@ -130,12 +160,11 @@ def specific_uses(tables: list[DataFrame], chem: str = "casrn") -> DataFrame:
 
 
 def with_predictions(
-    broad: DataFrame, specific: DataFrame, universe: DataFrame, predictions: DataFrame,
+    summary: DataFrame, universe: DataFrame, predictions: DataFrame,
     chem: str = "casrn", universe_key: str = "casn", prediction_key: str = "CAS", pathway: str = "Pathway",
 ) -> DataFrame:
     """All chemicals of the universe with their flags; ``1*`` where a category is only predicted."""
-    both = join_on(broad, specific, [chem])
-    everyone = join_on(both, universe.select(quoted(universe_key)), {chem: universe_key}, "right")
+    everyone = join_on(summary, universe.select(quoted(universe_key)), {chem: universe_key}, "right")
     predicted = predictions.select(quoted(prediction_key), quoted(pathway))
     joined = join_on(everyone, predicted, {chem: prediction_key})
     joined = joined.withColumn(pathway, txt.recode(quoted(pathway), fixed.ALL_PATHWAYS))

@@ -2,8 +2,8 @@
 
 A window partitioned by the group would sort a whole group in one task. Here rows are range-partitioned by group *and*
 value, so a group with a third of all rows is spread over a third of the partitions. Each partition ranks its own
-slice; the number of rows in earlier slices of the same group is added afterwards. The range-partitioned table is
-checkpointed, because slice numbers and slice contents must come from the same run.
+slice; the number of rows in earlier slices of the same group is added afterwards. The range-partitioned rows are
+written to a table with their slice number, because numbers and contents of slices must come from the same run.
 """
 
 from __future__ import annotations
@@ -23,80 +23,107 @@ def _sliced(df: DataFrame, order: list[Column], slices: int | None) -> DataFrame
     return cut_lineage(df.repartitionByRange(slices, *order).withColumn("__slice", F.spark_partition_id()))
 
 
-def _with_offsets(ranged: DataFrame, groups: list[str], weight: Column) -> DataFrame:
-    """Add ``__before`` (weight of the group's earlier slices) and ``__total`` (weight of the group)."""
-    totals = ranged.groupBy(*[quoted(g) for g in groups], "__slice").agg(F.sum(weight).alias("__w"))
-    # one row per group and slice: at most as many rows per group as there are slices
-    whole = Window.partitionBy(*[quoted(g) for g in groups])
-    earlier = whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[quoted(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+def _with_offsets(ranged: DataFrame, groups: list[str], inside: Column, weight: Column) -> DataFrame:
+    """Add ``__before`` and ``__total``: weight before the row in its group, and weight of the whole group.
+
+    ``inside`` is the weight before the row in its slice. Only groups that cross a slice border need more than that.
+    Slices are contiguous, so a border is crossed by one group at most and the table of crossing parts has no more than
+    two rows per slice; that bound is what allows the broadcast.
+    """
+    keys = [quoted(g) for g in groups]
+    whole = Window.partitionBy(*keys)
+    parts = ranged.groupBy(*keys, "__slice").agg(F.sum(weight).alias("__w"))
+    crossing = parts.withColumn("__n", F.count(F.lit(1)).over(whole)).where("__n > 1").select(
+        *[k.alias(f"__g{i}") for i, k in enumerate(keys)],
         F.col("__slice").alias("__s"),
-        F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__before"),
-        F.sum("__w").over(whole).alias("__total"),
+        F.coalesce(
+            F.sum("__w").over(whole.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("__earlier"),
+        F.sum("__w").over(whole).alias("__all"),
     )
-    same = [quoted(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
-    test = reduce(lambda a, b: a & b, same + [F.col("__slice") == F.col("__s")])
-    return ranged.join(offsets, test).drop("__s", *[f"__g{i}" for i in range(len(groups))])
+    local = ranged.withColumns({
+        "__inside": inside, "__here": F.sum(weight).over(Window.partitionBy("__slice", *keys)),
+    })
+    same = [k.eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
+    joined = local.join(
+        F.broadcast(crossing), reduce(lambda a, b: a & b, same + [F.col("__slice") == F.col("__s")]), "left"
+    )
+    return joined.withColumns({
+        "__before": F.col("__inside") + F.coalesce("__earlier", F.lit(0)),
+        "__total": F.coalesce("__all", "__here"),
+    }).drop("__s", "__earlier", "__all", "__inside", "__here", *[f"__g{i}" for i in range(len(keys))])
 
 
-def value_ranks(df: DataFrame, groups: list[str], value: str, slices: int | None = None) -> DataFrame:
-    """One row per group and distinct value: ``below`` rows smaller, ``ties`` rows equal, ``group_rows`` rows in all.
+def value_ranks(df: DataFrame, groups: list[str], values: list[str], slices: int | None = None) -> DataFrame:
+    """One row per group, value column and distinct value of it.
 
-    NULL values are left out and not counted.
+    Gives ``measure`` (index into ``values``), ``value``, ``below`` (rows smaller), ``ties`` (rows equal) and
+    ``group_rows`` (rows in all). NULL values are left out and not counted. All columns are ranked in one pass.
     """
     keys = [quoted(g) for g in groups]
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("measure"), quoted(v).cast("double").alias("value")) for i, v in enumerate(values)
+    ])
     tally = (
-        df.where(quoted(value).isNotNull()).groupBy(*keys, quoted(value)).agg(F.count(F.lit(1)).alias("ties"))
+        df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
+        .groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("ties"))
     )
-    ranged = _sliced(tally, keys + [quoted(value)], slices)
-    local = Window.partitionBy("__slice", *keys).orderBy(quoted(value)).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("__inside", F.coalesce(F.sum("ties").over(local), F.lit(0)))
-    return _with_offsets(placed, groups, F.col("ties")).select(
-        *keys, quoted(value), (F.col("__before") + F.col("__inside")).alias("below"), "ties",
-        F.col("__total").alias("group_rows"),
+    ranged = _sliced(tally, [*keys, F.col("measure"), F.col("value")], slices)
+    order = Window.partitionBy("__slice", *keys, "measure").orderBy("value")
+    inside = F.coalesce(F.sum("ties").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _with_offsets(ranged, [*groups, "measure"], inside, F.col("ties")).select(
+        *keys, "measure", "value", F.col("__before").alias("below"), "ties", F.col("__total").alias("group_rows")
     )
 
 
-def attach_ranks(df: DataFrame, groups: list[str], value: str, out: dict[str, Column]) -> DataFrame:
-    """Add columns computed from ``below``, ``ties`` and ``group_rows`` of each row's value; NULL for NULL values."""
-    ranks = value_ranks(df, groups, value)
-    keys = {c: f"__k{i}" for i, c in enumerate(groups + [value])}
-    lookup = ranks.select(
-        *[quoted(c).alias(k) for c, k in keys.items()], *[e.alias(n) for n, e in out.items()]
-    )
-    same = [
-        quoted(c) == F.col(k) if c == value else quoted(c).eqNullSafe(F.col(k)) for c, k in keys.items()
-    ]
-    joined = df.join(lookup, reduce(lambda a, b: a & b, same), "left")
-    return joined.drop(*keys.values())
+def attach_ranks(df: DataFrame, groups: list[str], out: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add columns ``{name: (value column, expression)}``; NULL where the value is NULL.
+
+    Expressions use ``below``, ``ties`` and ``group_rows`` of the row's value inside its group.
+    """
+    values = list(dict.fromkeys(v for v, _ in out.values()))
+    ranks = value_ranks(df, groups, values)
+    for i, value in enumerate(values):
+        lookup = ranks.where(F.col("measure") == i).select(
+            *[quoted(g).alias(f"__k{j}") for j, g in enumerate(groups)], F.col("value").alias("__v"),
+            *[e.alias(n) for n, (v, e) in out.items() if v == value],
+        )
+        same = [quoted(g).eqNullSafe(F.col(f"__k{j}")) for j, g in enumerate(groups)]
+        test = reduce(lambda a, b: a & b, same + [quoted(value).cast("double") == F.col("__v")])
+        df = df.join(lookup, test, "left").drop("__v", *[f"__k{j}" for j in range(len(groups))])
+    return df
 
 
 def average_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Rank from 1 inside the group, ties sharing their mean rank."""
-    return attach_ranks(df, groups, value, {out: F.col("below") + (F.col("ties") + 1) / F.lit(2.0)})
+    return attach_ranks(df, groups, {out: (value, F.col("below") + (F.col("ties") + 1) / F.lit(2.0))})
 
 
-def percent_rank(df: DataFrame, groups: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
-    """(rank - 1) / (n - 1) over the non-NULL values of the group; NULL for a NULL value or a group of one."""
-    smaller = F.col("group_rows") - F.col("below") - F.col("ties") if descending else F.col("below")
-    return attach_ranks(df, groups, value, {out: F.try_divide(smaller, F.col("group_rows") - 1)})
+def percent_rank(df: DataFrame, groups: list[str], out: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(rank - 1) / (n - 1) for ``{name: (value column, descending)}``.
+
+    ``n`` counts the non-NULL values of the group; the result is NULL for a NULL value and in a group of one.
+    """
+    larger = F.col("group_rows") - F.col("below") - F.col("ties")
+    return attach_ranks(df, groups, {
+        name: (value, F.try_divide(larger if descending else F.col("below"), F.col("group_rows") - 1))
+        for name, (value, descending) in out.items()
+    })
 
 
 def positions(
-    df: DataFrame, groups: list[str], order: list[Column], position: str, group_rows: str, slices: int | None = None
+    df: DataFrame, groups: list[str], order: list, position: str, group_rows: str, slices: int | None = None
 ) -> DataFrame:
     """Number the rows of each group in the given order and add the group's size."""
     keys = [quoted(g) for g in groups]
     named = df.withColumns({f"__o{i}": c for i, c in enumerate(_plain(order))})
     by = [_directed(F.col(f"__o{i}"), c) for i, c in enumerate(order)]
     ranged = _sliced(named, keys + by, slices)
-    local = Window.partitionBy("__slice", *keys).orderBy(*by)
-    placed = ranged.withColumn("__inside", F.row_number().over(local))
-    out = _with_offsets(placed, groups, F.lit(1))
-    return out.withColumns({
-        position: F.col("__before") + F.col("__inside"), group_rows: F.col("__total"),
-    }).drop("__slice", "__inside", "__before", "__total", *[f"__o{i}" for i in range(len(order))])
+    inside = F.row_number().over(Window.partitionBy("__slice", *keys).orderBy(*by)).cast("bigint")
+    out = _with_offsets(ranged, groups, inside, F.lit(1))
+    return out.withColumns({position: F.col("__before"), group_rows: F.col("__total")}).drop(
+        "__slice", "__before", "__total", *[f"__o{i}" for i in range(len(order))]
+    )
 
 
 class Descending:

@@ -75,10 +75,10 @@ def potency_rank(
 ) -> DataFrame:
     """Percent ranks of efficacy and potency, their mean, the row's place, its share and the cluster.
 
-    Equal scores are ordered by falling fold change and then by ``tie_order`` (the id unless given).
+    Equal scores are ordered by falling fold change and then by ``tie_order`` (the id unless given). ``table`` is read
+    several times; if it is costly to compute, pass it through ``session.cut_lineage`` first.
     """
-    ranked = ranking.percent_rank(table, [group], fold, f"rank_{fold}")
-    ranked = ranking.percent_rank(ranked, [group], conc, f"rank_{conc}", descending=True)
+    ranked = ranking.percent_rank(table, [group], {f"rank_{fold}": (fold, False), f"rank_{conc}": (conc, True)})
     scored = ranked.withColumn(
         "cumulative_rank", (quoted(f"rank_{fold}") + quoted(f"rank_{conc}")) / 2
     )

@@ -15,6 +15,7 @@ from dosescreen.operators import assay, evidence, exposure, quality, screening
 from dosescreen.operators.aggregates import distinct_by
 from dosescreen.operators.joins import join_on
 from dosescreen.operators.reshape import column_range, pick, quoted, rename
+from dosescreen.session import cut_lineage
 
 PLATE = "date_chnm_plate"
 
@@ -79,10 +80,11 @@ def sources(
     universe = distinct_by(potent, ["casn"])
     records = exposure.catalogue_records(paths, ids, universe)
     uses = exposure.product_uses(ids, ingredients, products, universe)
-    broad = exposure.category_flags([exposure.categorise(records), exposure.categorise_products(uses)])
-    specific = exposure.specific_uses([exposure.catalogue_uses(records), exposure.product_specific_uses(uses)])
-    table = exposure.with_predictions(broad, specific, universe, distinct_by(predictions, ["CAS", "Pathway"]))
-    narrow = table.drop("broad", "Pathway", fixed.UNCATEGORISED)
+    table = exposure.with_predictions(
+        exposure.source_summary(records, uses), universe, distinct_by(predictions, ["CAS", "Pathway"])
+    )
+    # one row per chemical, read by both results
+    narrow = cut_lineage(table.drop("broad", "Pathway", fixed.UNCATEGORISED))
     return {"specific": exposure.tokens_to_rows(narrow), "tidy": exposure.tidy_sources(narrow)}
 
 
@@ -112,14 +114,15 @@ def integration(
     labelled = assay.label_areas(
         areas.withColumnRenamed("CASRN_Adj (4-30-21)", "CASRN"), "CASRN", "AUC.Agonist", "AUC.Antagonist"
     )
-    table = screening.integrated_long(potent, labelled, tidy_sources, pesticides, evidence_matrix)
+    # read by five of the results below, and the ranking reads its input several times
+    table = cut_lineage(screening.integrated_long(potent, labelled, tidy_sources, pesticides, evidence_matrix))
     filtered = screening.potency_filter(table).withColumns({
         "seem": num.parse_number(quoted(fixed.INTAKE)),
         "Chemical name": screening.display_name(quoted("Chemical name")),
     })
-    ranked = screening.potency_rank(
-        pick(filtered, ["hormone", "Chemical name", "CASN", "MFC", "LEC", "logLEC"])
-    )
+    ranked = cut_lineage(screening.potency_rank(
+        cut_lineage(pick(filtered, ["hormone", "Chemical name", "CASN", "MFC", "LEC", "logLEC"]))
+    ))
     assay_calls = assay.matrix_with_calls(ac10, hit_calls, substances)
     points = join_on(
         table.select(

@@ -13,6 +13,7 @@ from dosescreen.functions import numeric as num
 from dosescreen.operators import assay, ranking
 from dosescreen.operators.joins import join_on
 from dosescreen.operators.reshape import unpivot, unpivot_groups, widen
+from dosescreen.session import cut_lineage
 from workload.registry import query, table
 
 SLOTS = 7
@@ -49,21 +50,25 @@ def hits(spark, folder) -> DataFrame:
     return assay.signed_hits(marked)
 
 
-def directions(spark, folder) -> DataFrame:
-    return hits(spark, folder).groupBy("chem", "channel").agg(
+def directions(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("chem", "channel").agg(
         F.signum(F.sum(F.coalesce("hitd", F.lit(0)))).cast("int").alias("direction")
     )
 
 
-def effects(spark, folder) -> DataFrame:
-    return assay.lec_mfc(hits(spark, folder), KEYS, slots=SLOTS)
+def effects(marked: DataFrame) -> DataFrame:
+    return assay.lec_mfc(marked, KEYS, slots=SLOTS)
 
 
-def respond(spark, folder) -> DataFrame:
-    raised = join_on(effects(spark, folder), directions(spark, folder), ["chem", "channel"]).where("direction = 1")
-    return assay.responders(
-        raised, directions(spark, folder), ["chem", "plate"], "chem", CHANNELS, "channel", ("LEC", "MFC")
-    )
+def respond(marked: DataFrame) -> DataFrame:
+    ways = directions(marked)
+    raised = join_on(effects(marked), ways, ["chem", "channel"]).where("direction = 1")
+    return assay.responders(raised, ways, ["chem", "plate"], "chem", CHANNELS, "channel", ("LEC", "MFC"))
+
+
+def settled_hits(spark, folder) -> DataFrame:
+    """Hits as a table: effects and directions read different columns of it, three times in all."""
+    return cut_lineage(hits(spark, folder))
 
 
 def signif_sql(x: str) -> str:
@@ -224,7 +229,7 @@ def consecutive_hits(spark, folder):
 
 @query("lec_mfc", f"WITH {EFFECTS} SELECT * FROM effects")
 def lec_mfc(spark, folder):
-    return effects(spark, folder)
+    return effects(hits(spark, folder))
 
 
 @query("tested_range", """
@@ -237,7 +242,7 @@ def tested_range(spark, folder):
 
 @query("responders_wide", f"WITH {RESPOND} SELECT * FROM respond")
 def responders_wide(spark, folder):
-    return respond(spark, folder)
+    return respond(settled_hits(spark, folder))
 
 
 @query("wide_long_multi_value", f"""
@@ -246,7 +251,7 @@ WITH {RESPOND}, long AS (
   UNION ALL SELECT chem, plate, "A", "N", 'N', "LEC_N", "MFC_N" FROM respond)
 SELECT * FROM long WHERE "LEC" IS NOT NULL OR "MFC" IS NOT NULL""")
 def wide_long_multi_value(spark, folder):
-    return unpivot_groups(respond(spark, folder), CHANNELS, ["LEC", "MFC"], "channel")
+    return unpivot_groups(respond(settled_hits(spark, folder)), CHANNELS, ["LEC", "MFC"], "channel")
 
 
 def matrix(spark, folder) -> DataFrame:
@@ -272,7 +277,7 @@ SELECT r.chem, r.plate, printf('%.2f', v1) AS "AC50_A_text", printf('%.2f', v2)
        CAST(printf('%.2f', v1) AS DOUBLE) AS "AC50_A", CAST(printf('%.2f', v2) AS DOUBLE) AS "AC50_N"
 FROM respond r LEFT JOIN m ON r.chem = m.chem""")
 def attach_matrix_columns(spark, folder):
-    rows = respond(spark, folder).select("chem", "plate")
+    rows = respond(settled_hits(spark, folder)).select("chem", "plate")
     return assay.attach_matrix(
         rows, matrix(spark, folder), code_map(spark, folder), {"X_A_up": "AC50_A", "X_N_up": "AC50_N"}, "chem"
     )
@@ -285,7 +290,7 @@ def attach_distance(spark, folder):
     distances = table(spark, folder, "part").select(
         F.col("p_partkey").alias("chem"), ((F.col("p_retailprice") - 950) / 64).alias("distance")
     )
-    return assay.attach_distance(respond(spark, folder).select("chem", "plate"), distances, ["chem"], "distance")
+    return assay.attach_distance(respond(settled_hits(spark, folder)).select("chem", "plate"), distances, ["chem"], "distance")
 
 
 @query("matrix_with_calls", """

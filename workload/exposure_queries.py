@@ -50,7 +50,7 @@ def paths(spark, folder) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias(RECORD), "l_partkey",
         txt.recode(F.concat("l_returnflag", "l_linestatus"), CATALOGUES).alias("source"),
-    ).distinct()
+    )
     return join_on(lines, part, {"l_partkey": "p_partkey"}, "inner").drop("l_partkey")
 
 
@@ -78,13 +78,11 @@ def product_rows(spark, folder) -> DataFrame:
 
 
 def predicted_table(spark, folder) -> DataFrame:
-    known, used = records(spark, folder), product_rows(spark, folder)
-    broad = exposure.category_flags([exposure.categorise(known), exposure.categorise_products(used)])
-    specific = exposure.specific_uses([exposure.catalogue_uses(known), exposure.product_specific_uses(used)])
+    summary = exposure.source_summary(records(spark, folder), product_rows(spark, folder))
     predictions = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("CAS"), txt.recode("c_mktsegment", PATHWAYS).alias("Pathway")
     )
-    return exposure.with_predictions(broad, specific, universe(spark, folder), predictions)
+    return exposure.with_predictions(summary, universe(spark, folder), predictions)
 
 
 PLAIN = {
@@ -103,7 +101,7 @@ def has(field: str, pattern: str) -> str:
 
 
 RECORDS = f"""paths AS (
-  SELECT DISTINCT l_orderkey AS rid, {case_sql("l_returnflag || l_linestatus", CATALOGUES)} AS source, l_partkey,
+  SELECT l_orderkey AS rid, {case_sql("l_returnflag || l_linestatus", CATALOGUES)} AS source, l_partkey,
     {case_sql("split_part(p_name, ' ', 1)", FIRST)} || '|' || {case_sql("split_part(p_name, ' ', 2)", SECOND)} || '|'
     || {case_sql("p_type", THIRD)} AS cassette
   FROM lineitem JOIN part ON l_partkey = p_partkey),

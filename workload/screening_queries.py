@@ -17,7 +17,8 @@ from dosescreen.functions import text as txt
 from dosescreen.operators import assay, charts, exposure, ranking, screening
 from dosescreen.operators.joins import join_on
 from dosescreen.operators.reshape import pick, quoted, rename
-from workload.assay_queries import RESPOND, respond
+from dosescreen.session import cut_lineage
+from workload.assay_queries import RESPOND, effects, respond, settled_hits
 from workload.exposure_queries import TOKENS, USES, case_sql, has
 from workload.registry import query, table
 
@@ -53,7 +54,7 @@ def part(spark, folder) -> DataFrame:
 
 
 def potency(spark, folder) -> DataFrame:
-    first = ranking.lowest_with_ties(respond(spark, folder), ["chem"], "plate")
+    first = ranking.lowest_with_ties(respond(settled_hits(spark, folder)), ["chem"], "plate")
     size, price = F.col("p_size"), F.col("p_retailprice")
     known = part(spark, folder).select(
         "p_partkey", "chnm", "casn", F.col("p_name").alias("date_chnm_plate"),
@@ -106,14 +107,14 @@ def integrated(spark, folder) -> DataFrame:
     )
 
 
-def filtered(spark, folder) -> DataFrame:
-    kept = screening.potency_filter(integrated(spark, folder), exclude=["11", "1111"])
-    return pick(kept.withColumn("Chemical name", screening.display_name(quoted("Chemical name"))),
+def kept(table_: DataFrame) -> DataFrame:
+    rows = screening.potency_filter(table_, exclude=["11", "1111"])
+    return pick(rows.withColumn("Chemical name", screening.display_name(quoted("Chemical name"))),
                 ["hormone", "Chemical name", "CASN", "MFC", "LEC", "logLEC"])
 
 
 def ranked(spark, folder) -> DataFrame:
-    return screening.potency_rank(filtered(spark, folder))
+    return screening.potency_rank(cut_lineage(kept(integrated(spark, folder))))
 
 
 def assay_calls(spark, folder) -> DataFrame:
@@ -129,10 +130,9 @@ def assay_calls(spark, folder) -> DataFrame:
 
 
 def updated(spark, folder) -> DataFrame:
-    return screening.annotate(
-        integrated(spark, folder), assay_calls(spark, folder),
-        rename(ranked(spark, folder), {"Chemical name": "Synonym"}),
-    )
+    table_ = cut_lineage(integrated(spark, folder))
+    places = screening.potency_rank(cut_lineage(kept(table_)))
+    return screening.annotate(table_, assay_calls(spark, folder), rename(places, {"Chemical name": "Synonym"}))
 
 
 def drug_products(spark, folder) -> DataFrame:
@@ -253,8 +253,9 @@ def potency_percent_rank(spark, folder):
     rows = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity"
     )
-    first = ranking.percent_rank(rows, ["l_returnflag"], "l_extendedprice", "rank_mfc")
-    return ranking.percent_rank(first, ["l_returnflag"], "l_quantity", "rank_lec", descending=True)
+    return ranking.percent_rank(
+        rows, ["l_returnflag"], {"rank_mfc": ("l_extendedprice", False), "rank_lec": ("l_quantity", True)}
+    )
 
 
 @query("potency_cluster", """
@@ -281,9 +282,8 @@ def potency_cluster(spark, folder):
   round(log10(e."LEC"), 9) AS "logLEC" FROM respond r JOIN effects e USING (chem, plate) JOIN part ON chem = p_partkey
   WHERE e."MFC" >= 1.5 AND e."LEC" <= 33 AND p_retailprice - 950 > 0 AND p_name NOT IN ('hot ring', 'cold bolt')""")
 def potency_filter(spark, folder):
-    from workload.assay_queries import effects
-
-    both = join_on(respond(spark, folder).select("chem", "plate"), effects(spark, folder), ["chem", "plate"], "inner")
+    marked = settled_hits(spark, folder)
+    both = join_on(respond(marked).select("chem", "plate"), effects(marked), ["chem", "plate"], "inner")
     named = join_on(both, table(spark, folder, "part").select(
         "p_partkey", "p_name", (F.col("p_retailprice") - 950).alias("distance")
     ), {"chem": "p_partkey"}, "inner")
@@ -443,10 +443,10 @@ CATEGORY_SQL = {
 }
 
 
-@query("source_hormone_counts", f"WITH {UPDATED}, long AS (" + " UNION ALL ".join(
+@query("source_hormone_counts", f"WITH {UPDATED}, reported AS (" + " UNION ALL ".join(
     f"SELECT chemical_name, casn, hormone, '{c}' AS category, {v} AS value FROM updated WHERE efficacy_potency IS NOT NULL"
     for c, v in CATEGORY_SQL.items()) + """), sets AS (
-  SELECT chemical_name, casn, category, string_agg(hormone, ', ' ORDER BY hormone) AS hormones FROM long
+  SELECT chemical_name, casn, category, string_agg(hormone, ', ' ORDER BY hormone) AS hormones FROM reported
   WHERE value IN ('1', '1*') GROUP BY 1, 2, 3)
 SELECT category, hormones, count(*) AS n, """ + case_sql("category", {
     k: v.replace("\n", "' || chr(10) || '") for k, v in fixed.SOURCE_LABELS.items()}) + """ AS categories,
