@@ -10,7 +10,7 @@ from dosescreen.functions import text as txt
 from dosescreen.functions.rules import append_match, first_match, flag_text
 from dosescreen.operators.aggregates import collapse_distinct, count_by
 from dosescreen.operators.joins import join_on, member_of
-from dosescreen.operators.reshape import explode_tokens, quoted, stack_rows
+from dosescreen.operators.reshape import quoted, stack_rows
 
 
 def catalogue_records(
@@ -181,33 +181,56 @@ def with_predictions(
     )
 
 
-def use_tokens(table: DataFrame, key: str = "casrn", text: str = "Other", separator: str = ",") -> DataFrame:
-    """One row per key and distinct token with the token's first place; repeats go before blanks are trimmed."""
-    long = explode_tokens(table.select(quoted(key), quoted(text)), text, separator, "value", "place")
-    single = long.where(~txt.is_blank("value")).groupBy(quoted(key), "value").agg(F.min("place").alias("place"))
-    trimmed = txt.trim_left("value")
+def with_tokens(df: DataFrame, text: str, out: str, separator: str = ",") -> DataFrame:
+    """Add an array of the row's distinct tokens as (place, value), ordered by place.
+
+    Repeats go before blanks are trimmed, and a token keeps its first place. Works inside the row: sorting brings equal
+    tokens together, so the cost grows with n log n even for a very long text, and nothing is shuffled.
+    """
+    placed = F.transform(
+        F.split(quoted(text), separator), lambda t, i: F.struct(t.alias("raw"), (i + 1).alias("place"))
+    )
+    sorted_ = df.withColumn("__sorted", F.array_sort(placed))
     pattern, label = fixed.PERSONAL_TOKEN
-    return single.withColumn("value", F.when(txt.matches(trimmed, pattern), F.lit(label)).otherwise(trimmed))
+
+    def first(cell: Column, i: Column) -> Column:
+        before = F.get(F.col("__sorted"), i - 1)["raw"]
+        return ((i == 0) | (before != cell["raw"])) & ~txt.is_blank(cell["raw"])
+
+    def shown(cell: Column) -> Column:
+        trimmed = txt.trim_left(cell["raw"])
+        value = F.when(txt.matches(trimmed, pattern), F.lit(label)).otherwise(trimmed)
+        return F.struct(cell["place"].alias("place"), value.alias("value"))
+
+    single = F.transform(F.filter("__sorted", first), shown)
+    return sorted_.withColumn(out, F.array_sort(single)).drop("__sorted")
+
+
+def use_tokens(table: DataFrame, key: str = "casrn", text: str = "Other", separator: str = ",") -> DataFrame:
+    """One row per key and distinct token with the token's first place."""
+    cells = with_tokens(table.select(quoted(key), quoted(text)), text, "__tokens", separator)
+    return cells.select(quoted(key), F.inline("__tokens"))
 
 
-def tokens_to_rows(table: DataFrame, key: str = "casrn", text: str = "Other") -> DataFrame:
+def tokens_to_rows(table: DataFrame, text: str = "Other") -> DataFrame:
     """All rows of ``table``, repeated per token; ``source`` names the token's place (``V1``, ``V2``, ...)."""
-    tokens = use_tokens(table, key, text).select(
-        quoted(key), F.concat(F.lit("V"), F.col("place").cast("string")).alias("source"), "value"
+    rows = with_tokens(table, text, "__tokens").select(
+        *[quoted(c) for c in table.columns], F.inline_outer("__tokens")
     )
-    return join_on(tokens, table, [key], "right")
+    return rows.withColumn("source", F.concat(F.lit("V"), F.col("place").cast("string"))).drop("place")
 
 
 def rows_to_tokens(tokens: DataFrame, key: str = "casrn", out: str = "Sources of Interest") -> DataFrame:
-    """Tokens of a key back in one lower-case cell, in the order of their places."""
+    """Token rows of a key back in one lower-case cell, in the order of their places."""
     ordered = F.array_sort(F.collect_list(F.struct("place", "value")))
     return tokens.groupBy(quoted(key)).agg(
         F.lower(F.array_join(F.transform(ordered, lambda t: t["value"]), ", ")).alias(out)
     )
 
 
-def tidy_sources(table: DataFrame, key: str = "casrn", text: str = "Other") -> DataFrame:
-    """One row per key with the flags of ``table`` and its tokens in one cell, empty where there are none."""
-    cells = rows_to_tokens(use_tokens(table, key, text), key)
-    joined = join_on(table.drop(text), cells, [key])
-    return joined.withColumn("Sources of Interest", F.coalesce(quoted("Sources of Interest"), F.lit("")))
+def tidy_sources(table: DataFrame, text: str = "Other", out: str = "Sources of Interest") -> DataFrame:
+    """``table`` with its tokens in one lower-case cell, empty where there are none."""
+    values = F.transform("__tokens", lambda t: t["value"])
+    return with_tokens(table, text, "__tokens").withColumn(
+        out, F.coalesce(F.lower(F.array_join(values, ", ")), F.lit(""))
+    ).drop(text, "__tokens")

@@ -260,10 +260,17 @@ def tokens_to_rows(spark, folder):
     ).select("key", "place", "value")
 
 
-@query("rows_to_tokens", f"""WITH {PREDICTED}, input AS (SELECT casrn AS key, other AS txt, ',' AS sep FROM predicted),
+@query("rows_to_tokens", """WITH input AS (SELECT page_id AS key, url AS txt, '/' AS sep FROM pages), """ + TOKENS + """
+SELECT key, lower(string_agg(value, ', ' ORDER BY place)) AS uses FROM tokens GROUP BY 1""")
+def rows_to_tokens(spark, folder):
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("txt"))
+    return rename(exposure.rows_to_tokens(exposure.use_tokens(pages, "key", "txt", "/"), "key"), PLAIN)
+
+
+@query("tidy_sources", f"""WITH {PREDICTED}, input AS (SELECT casrn AS key, other AS txt, ',' AS sep FROM predicted),
 {TOKENS}, cells AS (SELECT key, lower(string_agg(value, ', ' ORDER BY place)) AS uses FROM tokens GROUP BY 1)
 SELECT casrn, cons, diet, ind, pharma, pest, no_info, coalesce(uses, '') AS uses
 FROM predicted LEFT JOIN cells ON key = casrn""")
-def rows_to_tokens(spark, folder):
+def tidy_sources(spark, folder):
     narrow = predicted_table(spark, folder).drop("broad", "Pathway", "Uncategorized Use")
     return rename(exposure.tidy_sources(narrow), PLAIN)
