@@ -37,7 +37,7 @@ def read_delimited(
     and ``missing`` are NULL.
     """
     options = {"sep": sep, "quote": quote, "nullValue": missing, "emptyValue": "", "mode": "PERMISSIVE",
-               "multiLine": str(multiline).lower(), "enforceSchema": "false"}
+               "multiLine": str(multiline).lower()}
     if skip:
         return _read_after(spark, path, skip, options)
     df = spark.read.options(header="true", **options).csv(path)
