@@ -10,6 +10,11 @@ from dosescreen.functions.numeric import col
 WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.:·][\p{L}\p{N}_]+)*"
 
 
+def literal(text: str) -> str:
+    """A text as SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matches(text: Column | str, pattern: str) -> Column:
     """True where ``pattern`` is found anywhere in the text; NULL text counts as no match."""
     return F.coalesce(col(text).rlike(pattern), F.lit(False))
@@ -74,7 +79,7 @@ def recode(value: Column | str, synonyms: dict[str, str]) -> Column:
     value = col(value)
     if not synonyms:
         return value
-    table = F.create_map(*[F.lit(part) for pair in synonyms.items() for part in pair])
+    table = F.expr("map(" + ", ".join(f"{literal(old)}, {literal(new)}" for old, new in synonyms.items()) + ")")
     return F.coalesce(F.try_element_at(table, value), value)
 
 

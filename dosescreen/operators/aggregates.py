@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosescreen.operators.reshape import quoted
+from dosescreen.operators.reshape import named, quoted
 
 
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias(name))
 
 
 def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,7 +18,7 @@ def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def distinct_by(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values of some columns; what 'first row per group' means when only these are read later."""
-    return df.select(*[quoted(c) for c in columns]).distinct()
+    return df.select(*[named(c) for c in columns]).distinct()
 
 
 def collapse_distinct(df: DataFrame, keys: list[str], value: str, out: str, sep: str = ", ", shown=None) -> DataFrame:
@@ -29,7 +29,7 @@ def collapse_distinct(df: DataFrame, keys: list[str], value: str, out: str, sep:
     """
     single = distinct_by(df, keys + [value])
     text = quoted(value) if shown is None else shown(quoted(value))
-    return single.groupBy(*[quoted(k) for k in keys]).agg(
+    return single.groupBy(*[named(k) for k in keys]).agg(
         F.array_join(F.array_sort(F.collect_set(text)), sep).alias(out)
     )
 
@@ -42,7 +42,7 @@ def collapse_all(df: DataFrame, keys: list[str], value: str, out: str, sep: str
     tally = count_by(df.where(quoted(value).isNotNull()), keys + [value], "__n")
     entries = F.array_sort(F.collect_list(F.struct(quoted(value).alias("v"), F.col("__n").alias("n"))))
     repeated = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["v"], e["n"].cast("int"))))
-    return tally.groupBy(*[quoted(k) for k in keys]).agg(F.array_join(repeated, sep).alias(out))
+    return tally.groupBy(*[named(k) for k in keys]).agg(F.array_join(repeated, sep).alias(out))
 
 
 def has_any(test: Column) -> Column:
@@ -52,5 +52,5 @@ def has_any(test: Column) -> Column:
 
 def groups_without(df: DataFrame, keys: list[str], test: Column) -> DataFrame:
     """Keys of the groups in which no row meets the condition."""
-    found = df.groupBy(*[quoted(k) for k in keys]).agg(has_any(test).alias("__any"))
+    found = df.groupBy(*[named(k) for k in keys]).agg(has_any(test).alias("__any"))
     return found.where(~F.col("__any")).drop("__any")

@@ -10,7 +10,7 @@ from dosescreen.functions import numeric as num
 from dosescreen.functions import text as txt
 from dosescreen.operators import ranking
 from dosescreen.operators.joins import join_on
-from dosescreen.operators.reshape import explode_slots, pick, quoted, unpivot, widen
+from dosescreen.operators.reshape import explode_slots, named, pick, quoted, unpivot, widen
 from dosescreen.session import cut_lineage
 
 PLATE_PATTERN = r"^([^_]+)_(.*)_Plate([0-9]+)$"
@@ -59,7 +59,7 @@ def collapse_replicates(
     wells: DataFrame, keys: list[str], value: str, flag: str, mean_out: str, flag_out: str, scale: int | None = None
 ) -> DataFrame:
     """Mean of the replicates (NULL if one is missing) and number of flagged ones."""
-    return wells.groupBy(*[quoted(k) for k in keys]).agg(
+    return wells.groupBy(*[named(k) for k in keys]).agg(
         num.mean_strict(quoted(value), scale).alias(mean_out),
         F.sum(quoted(flag)).cast("bigint").alias(flag_out),
     )
@@ -99,14 +99,16 @@ def dose_slots(
     Keys and dose are unique in the input (see ``quality.key_unique``). The array is filled by conditional maxima of
     plain numbers, so it is a hash aggregation in which map tasks send one row per key however many rows a key has.
     """
-    filled = df.groupBy(*[quoted(k) for k in keys]).agg(*[
-        F.max(F.when(quoted(dose) == k, quoted(f))).alias(f"__{f}_{k}") for k in range(1, slots + 1) for f in fields
+    # written as SQL text: one expression per slot and field
+    filled = df.groupBy(*[named(k) for k in keys]).agg(*[
+        F.expr(f"max(CASE WHEN {named(dose)} = {k} THEN {named(f)} END) AS {named(f'__{f}_{k}')}")
+        for k in range(1, slots + 1) for f in fields
     ])
-    cells = F.array(*[
-        F.struct(F.lit(k).alias("dose"), *[quoted(f"__{f}_{k}").alias(f) for f in fields])
+    cells = ", ".join(
+        "named_struct('dose', {}, {})".format(k, ", ".join(f"'{f}', {named(f'__{f}_{k}')}" for f in fields))
         for k in range(1, slots + 1)
-    ])
-    return filled.select(*[quoted(k) for k in keys], cells.alias("slots"))
+    )
+    return filled.selectExpr(*[named(k) for k in keys], f"array({cells}) AS slots")
 
 
 def mark_consecutive(slots: Column, hit: str) -> Column:
@@ -128,7 +130,7 @@ def consecutive_hits(
     """One row per key and slot with ``counts`` telling whether the dose satisfies the consecutive-dose rule."""
     packed = dose_slots(df, keys, dose, [hit, *fields], slots)
     marked = packed.withColumn("slots", mark_consecutive(F.col("slots"), hit))
-    return marked.select(*[quoted(k) for k in keys], F.inline("slots")).withColumnRenamed("dose", dose)
+    return marked.select(*[named(k) for k in keys], F.inline("slots")).withColumnRenamed("dose", dose)
 
 
 def lec_mfc(
@@ -144,7 +146,7 @@ def lec_mfc(
     lowest = F.array_min(F.transform(counting, lambda s: s[conc].cast("double")))
     highest = F.array_max(F.transform(counting, lambda s: s[fold].cast("double")))
     return packed.select(
-        *[quoted(k) for k in keys],
+        *[named(k) for k in keys],
         F.coalesce(highest, F.lit(-num.INF)).alias("MFC"),
         F.coalesce(lowest, F.lit(num.INF)).alias("LEC"),
     )
@@ -152,7 +154,7 @@ def lec_mfc(
 
 def tested_range(conc: DataFrame, keys: list[str], value: str = "conc", dose: str = "dose_level") -> DataFrame:
     """Concentration at the highest and at the lowest dose level, in one aggregation; NULL levels take no part."""
-    return conc.groupBy(*[quoted(k) for k in keys]).agg(
+    return conc.groupBy(*[named(k) for k in keys]).agg(
         F.max_by(quoted(value), quoted(dose)).alias("max_tested_conc"),
         F.min_by(quoted(value), quoted(dose)).alias("min_tested_conc"),
     )
@@ -197,7 +199,7 @@ def attach_matrix(
 
     ``columns`` maps matrix columns to result names. Values are rounded to fixed decimals and also given as text.
     """
-    narrow = matrix.select(quoted(code), *[quoted(c).alias(n) for c, n in columns.items()])
+    narrow = matrix.selectExpr(named(code), *[named(c, n) for c, n in columns.items()])
     coded = join_on(narrow, pick(code_map, [code, chem]), [code], "inner").drop(code)
     joined = join_on(df, coded, [chem])
     return _rounded(joined, list(columns.values()), digits)

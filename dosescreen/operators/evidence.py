@@ -10,7 +10,7 @@ from dosescreen.functions import text as txt
 from dosescreen.functions.rules import class_of, flag_number
 from dosescreen.operators.aggregates import collapse_distinct, has_any
 from dosescreen.operators.joins import join_on, member_of, with_membership
-from dosescreen.operators.reshape import on_text_columns, quoted, rename, widen
+from dosescreen.operators.reshape import named, on_text_columns, quoted, rename, widen
 
 
 def classify_studies(studies: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def evidence_matrix(
         .otherwise(F.lit("")),
     )
     added = fixed.EVIDENCE_COLUMNS[2:]
-    return out.select(*[quoted(c) for c in chemicals.columns], *[quoted(c) for c in added])
+    return out.select(*[named(c) for c in [*chemicals.columns, *added]])
 
 
 def evidence_summary(matrix: DataFrame) -> DataFrame:

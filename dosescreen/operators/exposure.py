@@ -10,7 +10,7 @@ from dosescreen.functions import text as txt
 from dosescreen.functions.rules import append_match, first_match, flag_text
 from dosescreen.operators.aggregates import collapse_distinct, count_by
 from dosescreen.operators.joins import join_on, member_of
-from dosescreen.operators.reshape import quoted, stack_rows
+from dosescreen.operators.reshape import named, quoted, stack_rows
 
 
 def catalogue_records(
@@ -215,7 +215,7 @@ def use_tokens(table: DataFrame, key: str = "casrn", text: str = "Other", separa
 def tokens_to_rows(table: DataFrame, text: str = "Other") -> DataFrame:
     """All rows of ``table``, repeated per token; ``source`` names the token's place (``V1``, ``V2``, ...)."""
     rows = with_tokens(table, text, "__tokens").select(
-        *[quoted(c) for c in table.columns], F.inline_outer("__tokens")
+        *[named(c) for c in table.columns], F.inline_outer("__tokens")
     )
     return rows.withColumn("source", F.concat(F.lit("V"), F.col("place").cast("string"))).drop("place")
 

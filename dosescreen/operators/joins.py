@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosescreen.operators.reshape import quoted
+from dosescreen.operators.reshape import named, quoted
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -37,36 +37,30 @@ def join_on(
     left_rest = [c for c in left.columns if c not in pairs]
     right_rest = [c for c in right.columns if c not in right_keys]
     clash = set(left_rest) & set(right_rest)
-    a = left.select(*[
-        quoted(c).alias(c + suffixes[0]) if c in clash else quoted(c) for c in left.columns
-    ])
+    a = left.selectExpr(*[named(c, c + suffixes[0] if c in clash else c) for c in left.columns]) if clash else left
     final = {c: c + suffixes[1] if c in clash or c in pairs else c for c in right_rest}
-    b = right.select(
-        *[quoted(r).alias(k) for r, k in right_keys.items()], *[quoted(c).alias(final[c]) for c in right_rest]
+    b = right.selectExpr(
+        *[named(r, k) for r, k in right_keys.items()], *[named(c, final[c]) for c in right_rest]
     )
-    tests = [
-        quoted(l).eqNullSafe(F.col(right_keys[r])) if null_keys_match else quoted(l) == F.col(right_keys[r])
-        for l, r in pairs.items()
-    ]
-    joined = a.join(b, reduce(lambda x, y: x & y, tests), how)
+    equal = "<=>" if null_keys_match else "="
+    tests = [f"{named(l)} {equal} {right_keys[r]}" for l, r in pairs.items()]
+    joined = a.join(b, F.expr(" AND ".join(tests)), how)
     if how == "right":
         # the universe is on the right: keys must come from there
-        restored = [
-            F.col(right_keys[pairs[c]]).alias(c) if c in pairs else quoted(c) for c in a.columns
-        ]
-        return joined.select(*restored, *[quoted(final[c]) for c in right_rest])
+        restored = [named(right_keys[pairs[c]], c) if c in pairs else named(c) for c in a.columns]
+        return joined.selectExpr(*restored, *[named(final[c]) for c in right_rest])
     return joined.drop(*right_keys.values())
 
 
 def member_of(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """Rows whose value occurs in another table; NULL is never a member."""
-    keys = other.select(quoted(other_column).alias("__member"))
+    keys = other.selectExpr(named(other_column, "__member"))
     return df.join(keys, quoted(column) == F.col("__member"), "left_semi")
 
 
 def not_member_of(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """Rows whose value does not occur in another table; rows with a NULL value are kept."""
-    keys = other.select(quoted(other_column).alias("__member"))
+    keys = other.selectExpr(named(other_column, "__member"))
     return df.join(keys, quoted(column) == F.col("__member"), "left_anti")
 
 

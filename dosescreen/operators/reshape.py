@@ -25,8 +25,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def named(name: str, alias: str | None = None) -> str:
+    """The same reference as text, for methods that take names or SQL expressions; cheaper to build than a Column."""
+    def tick(text: str) -> str:
+        return "`" + text.replace("`", "``") + "`"
+
+    return tick(name) if alias is None or alias == name else f"{tick(name)} AS {tick(alias)}"
+
+
 def pick(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[quoted(n) for n in names])
+    return df.select(*[named(n) for n in names])
 
 
 def to_front(df: DataFrame, names: list[str]) -> DataFrame:
@@ -45,7 +53,7 @@ def on_text_columns(df: DataFrame, change) -> DataFrame:
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value: str) -> DataFrame:
     """Wide to long; rows with a NULL value are kept."""
-    return df.unpivot([quoted(c) for c in ids], [quoted(c) for c in values], name, value)
+    return df.unpivot([named(c) for c in ids], [named(c) for c in values], name, value)
 
 
 def unpivot_groups(
@@ -69,9 +77,7 @@ def unpivot_groups(
     rows = F.array(*[
         F.struct(F.lit(g).alias(group_name), *[cell(m, g).alias(m) for m in measures]) for g in groups
     ])
-    long = df.select(*[quoted(c) for c in ids], F.explode(rows).alias("__row")).select(
-        *[quoted(c) for c in ids], "__row.*"
-    )
+    long = df.select(*[named(c) for c in ids], F.inline(rows))
     return long.dropna("all", subset=measures) if drop_empty else long
 
 
@@ -86,7 +92,7 @@ def widen(
     cells = [
         F.max(F.when(F.col(name) == n, quoted(v))).alias(n if single else f"{v}_{n}") for v in values for n in names
     ]
-    return df.groupBy(*[quoted(k) for k in keys]).agg(*cells)
+    return df.groupBy(*[named(k) for k in keys]).agg(*cells)
 
 
 def split_columns(df: DataFrame, source: str, into: list[str], separator: str, remove: bool = False) -> DataFrame:

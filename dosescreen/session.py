@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even if that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # no call sites for every single expression; building large plans is several times faster without
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

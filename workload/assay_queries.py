@@ -284,11 +284,11 @@ def attach_matrix_columns(spark, folder):
 
 
 @query("attach_distance", f"""
-WITH {RESPOND} SELECT r.chem, r.plate, CAST(printf('%.2f', (p_retailprice - 950) / 64) AS DOUBLE) AS distance,
-  printf('%.2f', (p_retailprice - 950) / 64) AS distance_text FROM respond r LEFT JOIN part ON chem = p_partkey""")
+WITH {RESPOND} SELECT r.chem, r.plate, CAST(printf('%.2f', (p_size - 12) / 64.0::DOUBLE) AS DOUBLE) AS distance,
+  printf('%.2f', (p_size - 12) / 64.0::DOUBLE) AS distance_text FROM respond r LEFT JOIN part ON chem = p_partkey""")
 def attach_distance(spark, folder):
     distances = table(spark, folder, "part").select(
-        F.col("p_partkey").alias("chem"), ((F.col("p_retailprice") - 950) / 64).alias("distance")
+        F.col("p_partkey").alias("chem"), ((F.col("p_size") - 12) / F.lit(64.0)).alias("distance")
     )
     return assay.attach_distance(respond(settled_hits(spark, folder)).select("chem", "plate"), distances, ["chem"], "distance")
 

@@ -62,7 +62,7 @@ def potency(spark, folder) -> DataFrame:
         F.concat(F.lit("c("), F.col("p_brand"), F.lit(")")).alias("hits_Progesterone"),
         num.round_decimals(F.when(size > 45, fixed.NOT_ACTIVE).otherwise(price / 8)).alias("AC50_Estradiol"),
         num.round_decimals(F.when(size > 5, price / size)).alias("AC50_Progesterone"),
-        num.round_decimals((price - 950) / 64).alias("adj_maxmMD"),
+        num.round_decimals((size - 12) / F.lit(64.0)).alias("adj_maxmMD"),
         (size * 2.0).alias("max_tested_conc"), (size / F.lit(2.0)).alias("min_tested_conc"),
         F.concat(num.number_text(size / F.lit(16.0)), F.lit(" (u)")).alias("seem"),
     )
@@ -186,7 +186,7 @@ long AS ({wide_one('Estradiol', 'A')} UNION ALL {wide_one('Progesterone', 'N')})
 peaks AS (SELECT l_partkey, max(l_discount) AS ag, max(l_tax) AS an, greatest(max(l_discount), max(l_tax)) AS bio
   FROM lineitem GROUP BY 1),
 integrated AS (SELECT chnm AS chemical_name, casn, "A" AS estradiol, "N" AS progesterone,
-  {rounded('(p_retailprice - 950) / 64')} AS adj_maxmmd, p_size * 2.0::DOUBLE AS max_tested_conc,
+  {rounded('(p_size - 12) / 64.0::DOUBLE')} AS adj_maxmmd, p_size * 2.0::DOUBLE AS max_tested_conc,
   p_size / 2.0::DOUBLE AS min_tested_conc,
   {shown('(p_size / 16.0::DOUBLE)')} || ' (u)' AS predicted_median_intake_rate_mg_kg_bw_day,
   hormone, lec, mfc, hits,
@@ -280,12 +280,12 @@ def potency_cluster(spark, folder):
 
 @query("potency_filter", f"""WITH {RESPOND} SELECT r.chem, r.plate, e.channel, e."MFC", e."LEC", p_name,
   round(log10(e."LEC"), 9) AS "logLEC" FROM respond r JOIN effects e USING (chem, plate) JOIN part ON chem = p_partkey
-  WHERE e."MFC" >= 1.5 AND e."LEC" <= 33 AND p_retailprice - 950 > 0 AND p_name NOT IN ('hot ring', 'cold bolt')""")
+  WHERE e."MFC" >= 1.5 AND e."LEC" <= 33 AND p_size - 12 > 0 AND p_name NOT IN ('hot ring', 'cold bolt')""")
 def potency_filter(spark, folder):
     marked = settled_hits(spark, folder)
     both = join_on(respond(marked).select("chem", "plate"), effects(marked), ["chem", "plate"], "inner")
     named = join_on(both, table(spark, folder, "part").select(
-        "p_partkey", "p_name", (F.col("p_retailprice") - 950).alias("distance")
+        "p_partkey", "p_name", (F.col("p_size") - 12).alias("distance")
     ), {"chem": "p_partkey"}, "inner")
     kept = screening.potency_filter(named, exclude=["hot ring", "cold bolt"], chem="p_name", distance="distance")
     return kept.drop("distance").withColumn("logLEC", F.round("logLEC", 9))

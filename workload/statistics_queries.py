@@ -61,7 +61,9 @@ def regression_line(spark, folder):
 
 
 Z = 1.959963984540054
-QUANTILE = f"({Z} + {(Z**3 + Z) / 4} / (n - 2) + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / pow(n - 2, 2))"
+# quantile of Student's distribution as a series in 1/df
+QUANTILE = (f"({Z} + {(Z**3 + Z) / 4} / (n - 2) + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / pow(n - 2, 2)"
+            f" + {(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384} / pow(n - 2, 3))")
 
 
 @query("regression_band", f"""WITH {LINES}, grid AS (SELECT *, x0 + p * (x1 - x0) / 79 AS x
