@@ -323,8 +323,9 @@ UNLIKELY = "Unlikely"
 INADEQUATE = "Inadequate evidence"
 
 # Column names of the evidence matrix, in order
+MAMMARY_COLUMN = "Rudel"
 EVIDENCE_COLUMNS = [
-    "chnm", "casn", "Nhanes", "Rudel", "Carcinogencity", "Invivo effect < 100 mg/kg-day",
+    "chnm", "casn", "Nhanes", MAMMARY_COLUMN, "Carcinogencity", "Invivo effect < 100 mg/kg-day",
     "No invivo effect >= 100 mg/kg-day", "Other (ToxValDb)", "Prop65",
 ]
 EVIDENCE_RENAMES = {

@@ -158,7 +158,7 @@ def evidence_matrix(
     none_below = quoted(below) == ""
     out = joined.withColumns({
         "Nhanes": flag_number(F.col("__survey")),
-        "Rudel": _either(
+        fixed.MAMMARY_COLUMN: _either(
             F.col("__dev"), F.col("__cancer"), fixed.MAMMARY_BOTH, fixed.MAMMARY_DEV, fixed.MAMMARY_CANCER
         ),
         "Carcinogencity": F.coalesce("call_class", F.lit(fixed.NO_ASSESSMENT)),
@@ -201,7 +201,7 @@ def evidence_summary(matrix: DataFrame) -> DataFrame:
     above = quoted("No invivo effect >= 100 mg/kg-day")
     cancer = (
         F.when(
-            (F.col("Carcinogencity") == fixed.LIKELY) | txt.matches("Rudel", "carcinogen")
+            (F.col("Carcinogencity") == fixed.LIKELY) | txt.matches(fixed.MAMMARY_COLUMN, "carcinogen")
             | txt.matches("Prop65", "Cancer"), F.lit(fixed.LIKELY),
         )
         .when(F.col("Carcinogencity") == fixed.UNLIKELY, F.lit(fixed.UNLIKELY))
@@ -213,7 +213,7 @@ def evidence_summary(matrix: DataFrame) -> DataFrame:
     development = "(D|d)evelopment"
     toxicity = (
         F.when(
-            txt.matches(below, development + "|Reproductive") | txt.matches("Rudel", development)
+            txt.matches(below, development + "|Reproductive") | txt.matches(fixed.MAMMARY_COLUMN, development)
             | txt.matches("Prop65", development + "al"), F.lit(fixed.LIKELY),
         )
         .when(above == fixed.BOTH_EFFECTS, F.lit(fixed.UNLIKELY))

@@ -114,15 +114,21 @@ def percent_rank(df: DataFrame, groups: list[str], out: dict[str, tuple[str, boo
 def positions(
     df: DataFrame, groups: list[str], order: list, position: str, group_rows: str, slices: int | None = None
 ) -> DataFrame:
-    """Number the rows of each group in the given order and add the group's size."""
+    """Number the rows of each group in the given order and add the group's size.
+
+    Rows that are equal in every ordering column follow each other in any order. A row number is added as the last
+    ordering column for them, so that even a great many equal rows spread over several slices.
+    """
     keys = [quoted(g) for g in groups]
-    named = df.withColumns({f"__o{i}": c for i, c in enumerate(_plain(order))})
-    by = [_directed(F.col(f"__o{i}"), c) for i, c in enumerate(order)]
+    named = df.withColumns({f"__o{i}": c for i, c in enumerate(_plain(order))}).withColumn(
+        "__row", F.monotonically_increasing_id()
+    )
+    by = [_directed(F.col(f"__o{i}"), c) for i, c in enumerate(order)] + [F.col("__row")]
     ranged = _sliced(named, keys + by, slices)
     inside = F.row_number().over(Window.partitionBy("__slice", *keys).orderBy(*by)).cast("bigint")
     out = _with_offsets(ranged, groups, inside, F.lit(1))
     return out.withColumns({position: F.col("__before"), group_rows: F.col("__total")}).drop(
-        "__slice", "__before", "__total", *[f"__o{i}" for i in range(len(order))]
+        "__slice", "__row", "__before", "__total", *[f"__o{i}" for i in range(len(order))]
     )
 
 

@@ -22,9 +22,9 @@ def ac50_label(value: Column) -> Column:
     )
 
 
-def mammary_label(rudel: Column, pesticide_status: Column) -> Column:
+def mammary_label(listed_as: Column, pesticide_status: Column) -> Column:
     """Effect on the mammary gland: the list label, else the pesticide label with its note, else NULL."""
-    listed = txt.abbreviate(F.nullif(rudel, F.lit("")), fixed.MAMMARY_LABELS)
+    listed = txt.abbreviate(F.nullif(listed_as, F.lit("")), fixed.MAMMARY_LABELS)
     effect = txt.recode(pesticide_status, fixed.PESTICIDE_EFFECTS)
     known = txt.in_values(pesticide_status, fixed.PESTICIDE_EFFECTS)
     return F.coalesce(listed, F.when(known, F.concat(effect, F.lit(fixed.PESTICIDE_EFFECT_NOTE))))
@@ -46,8 +46,8 @@ def integrated_long(
     joined = join_on(joined, sources, {"casn": "casrn"})
     joined = join_on(joined, pick(pesticides, ["CASRN", "status"]), {"casn": "CASRN"})
     joined = join_on(joined, evidence.drop("chnm"), ["casn"])
-    labelled = joined.withColumn("Effects on mammary gland", mammary_label(F.col("Rudel"), F.col("status")))
-    return rename(labelled.drop("Rudel", "status"), fixed.INTEGRATED_NAMES)
+    labelled = joined.withColumn("Effects on mammary gland", mammary_label(F.col(fixed.MAMMARY_COLUMN), F.col("status")))
+    return rename(labelled.drop(fixed.MAMMARY_COLUMN, "status"), fixed.INTEGRATED_NAMES)
 
 
 def potency_filter(

@@ -53,6 +53,20 @@ def test_positions_equal_row_number(spark):
         assert rows(got, "id", "p", "n") == rows(plain)
 
 
+def test_positions_split_equal_rows(spark):
+    """A third of all rows is one and the same row; they still get every place once and no slice holds them all."""
+    data = [("g", 5.0)] * 1000 + [("g", float(i)) for i in range(1000)] + [("h", float(i)) for i in range(1000)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(8)
+    got = ranking.positions(df, ["g"], ["v"], "p", "n", 8)
+    places = sorted(r["p"] for r in got.where("g = 'g'").collect())
+    assert places == list(range(1, 2001))
+    assert sorted(r["p"] for r in got.where("g = 'g' and v = 5").collect()) == list(range(6, 1007))
+    assert got.where("g = 'g' and p <= 5").agg(F.max("v")).first()[0] == 4.0
+    named = df.withColumn("r", F.monotonically_increasing_id())
+    parts = ranking._sliced(named, [F.col("g"), F.col("v"), F.col("r")], 8).where("v = 5").groupBy("__slice").count()
+    assert parts.count() > 1
+
+
 def test_lowest_with_ties_is_numeric(spark):
     df = spark.createDataFrame([("c", 2.0, 1), ("c", 10.0, 2), ("c", 2.0, 3), ("d", None, 4)], "c string, p double, i int")
     assert rows(ranking.lowest_with_ties(df, ["c"], "p"), "i") == [(1,), (3,)]

@@ -15,14 +15,15 @@ def test_potency_filter(spark):
 
 
 def test_labels(spark):
+    tumor, changes, changed = [label for _, label in fixed.MAMMARY_LABELS]
     df = spark.createDataFrame([(1000000.0,), (None,), (0.5,)], "x double")
     assert [r[0] for r in df.select(screening.ac50_label(F.col("x"))).collect()] == ["-", " ", "0.5"]
     df = spark.createDataFrame(
         [("", "considered - tumor"), (fixed.MAMMARY_BOTH, "considered - tumor"), ("", "odd"), (None, None),
          (fixed.MAMMARY_DEV, None), (fixed.MAMMARY_CANCER, None)], "r string, s string")
     assert [r[0] for r in df.select(screening.mammary_label(F.col("r"), F.col("s"))).collect()] == [
-        "Tumor (Cardona and Rudel 2020)", "Tumor (Rudel 2007) and alters mammary gland development (Rudel 2011)", None, None,
-        "Alters mammary gland development (Rudel 2011)", "Tumor (Rudel 2007)"]
+        "Tumor" + fixed.PESTICIDE_EFFECT_NOTE, f"{tumor} {changes}", None, None,
+        changed, tumor]
     df = spark.createDataFrame([("50-28-2", "higher"), ("1", None), ("2", "lower")], "c string, k string")
     assert [r[0] for r in df.select(screening.override_labels(F.col("k"), F.col("c"))).collect()] == [
         "hormone substrate", "borderline active", "lower"]

@@ -98,7 +98,7 @@ def evidence_tables(spark, potent):
 
 
 def test_invivo(evidence_tables):
-    assert rows(evidence_tables["matrix"], "casn", "Nhanes", "Rudel", fixed.CANCER_SUMMARY, fixed.TOXICITY_SUMMARY) == [
+    assert rows(evidence_tables["matrix"], "casn", "Nhanes", fixed.MAMMARY_COLUMN, fixed.CANCER_SUMMARY, fixed.TOXICITY_SUMMARY) == [
         ("1-1-1", 1, "", "Likely", "Likely"),
         ("2-2-2", 0, "Mammary carcinogen and developmental toxicant", "Likely", "Likely")]
     assert rows(evidence_tables["calls"]) == [("1-1-1", "Alpha", "Likely Human Carcinogen (oral)", None)]
@@ -122,8 +122,8 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
         ("2-2-2", float("-inf"), float("inf"), " ", None, "borderline active", None, "no")]
     assert rows(e2, "CASN", "ER Bioactivity", "FDA approved drug products", "EPA approved pesticide products",
                 "Effect on mammary gland") == [
-        ("1-1-1", "0.2 (active)", "yes", "no", "Other effect (Cardona and Rudel 2020)"),
-        ("2-2-2", None, "no", "yes", "Tumor (Rudel 2007) and alters mammary gland development (Rudel 2011)")]
+        ("1-1-1", "0.2 (active)", "yes", "no", "Other effect" + fixed.PESTICIDE_EFFECT_NOTE),
+        ("2-2-2", None, "no", "yes", " ".join(label for _, label in fixed.MAMMARY_LABELS[:2]))]
     # distance rounds to zero, so the second chemical is not ranked although it is potent in progesterone
     assert rows(p4, "CASN", "Efficacy/potency") == [("2-2-2", "borderline active")]
     assert rows(out["points"], "CASN", "hormone", "AC10_active") == [("1-1-1", "Estradiol", 1.0)]

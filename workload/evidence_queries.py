@@ -31,7 +31,7 @@ SHORT = {
     "Invivo effect < 100 mg/kg-day": "effect_below", "No invivo effect >= 100 mg/kg-day": "no_effect_above",
     "Invivo effect < 100 mg/kg-day (ToxValDb)": "effect_below",
     "No invivo effect >= 100 mg/kg-day (ToxValDb)": "no_effect_above", "Other (ToxValDb)": "other",
-    "Nhanes": "survey", "Rudel": "mammary", "Carcinogencity": "cancer_calls", "Carcinogencity (ToxValDb)": "cancer_calls",
+    "Nhanes": "survey", fixed.MAMMARY_COLUMN: "mammary", "Carcinogencity": "cancer_calls", "Carcinogencity (ToxValDb)": "cancer_calls",
     "Prop65": "listed", fixed.CANCER_SUMMARY: "cancer_summary", fixed.TOXICITY_SUMMARY: "toxicity_summary",
     "CAS No.": "cas_no", "Type of Toxicity": "toxicity", "Chemical": "chemical",
 }

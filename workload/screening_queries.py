@@ -23,6 +23,9 @@ from workload.exposure_queries import TOKENS, USES, case_sql, has
 from workload.registry import query, table
 
 
+GLAND = [label for _, label in fixed.MAMMARY_LABELS]
+
+
 def snake(name: str) -> str:
     name = name.replace(">=", "at least").replace("<", "below")
     return re.sub("_+", "_", re.sub(r"[^a-z0-9]", "_", name.lower())).strip("_")
@@ -93,7 +96,7 @@ def integrated(spark, folder) -> DataFrame:
     )
     evidence = parts.select(
         "chnm", "casn", F.when(size > 40, 1).otherwise(0).alias("Nhanes"),
-        F.when(F.col("p_type").isin(list(MAMMARY)), txt.recode("p_type", MAMMARY)).otherwise("").alias("Rudel"),
+        F.when(F.col("p_type").isin(list(MAMMARY)), txt.recode("p_type", MAMMARY)).otherwise("").alias(fixed.MAMMARY_COLUMN),
         F.when(size > 30, "Likely").otherwise("No assessment").alias("Carcinogencity (ToxValDb)"),
         F.col("p_brand").alias("Invivo effect < 100 mg/kg-day (ToxValDb)"),
         F.col("p_type").alias("No invivo effect >= 100 mg/kg-day (ToxValDb)"),
@@ -205,9 +208,9 @@ integrated AS (SELECT chnm AS chemical_name, casn, "A" AS estradiol, "N" AS prog
   '' AS other_toxvaldb, lower(p_type) AS prop65,
   CASE WHEN p_size > 30 THEN 'Likely' ELSE 'Unlikely' END AS carcinogenicity_assessment_summary,
   CASE WHEN p_size > 20 THEN 'Likely' ELSE 'Unlikely' END AS developmental_or_reproducive_toxicity_summary,
-  CASE p_type WHEN 'STANDARD' THEN 'Tumor (Rudel 2007) and alters mammary gland development (Rudel 2011)'
-    WHEN 'SMALL' THEN 'Alters mammary gland development (Rudel 2011)' WHEN 'MEDIUM' THEN 'Tumor (Rudel 2007)'
-    WHEN 'LARGE' THEN CASE WHEN p_size < 25 THEN 'Tumor and other effect (potential) (Cardona and Rudel 2020)' END
+  CASE p_type WHEN 'STANDARD' THEN '{GLAND[0]} {GLAND[1]}'
+    WHEN 'SMALL' THEN '{GLAND[2]}' WHEN 'MEDIUM' THEN '{GLAND[0]}'
+    WHEN 'LARGE' THEN CASE WHEN p_size < 25 THEN 'Tumor and other effect (potential){fixed.PESTICIDE_EFFECT_NOTE}' END
     END AS effects_on_mammary_gland
   FROM long JOIN peaks ON l_partkey = p_partkey WHERE lec IS NOT NULL)"""
 RANKED = INTEGRATED + """, kept AS (SELECT hormone, replace(CASE chemical_name WHEN 'Bisphenol A' THEN 'BPA'
