@@ -185,31 +185,33 @@ def with_tokens(df: DataFrame, text: str, out: str, separator: str = ",") -> Dat
     """Add an array of the row's distinct tokens as (place, value), ordered by place.
 
     Repeats go before blanks are trimmed, and a token keeps its first place. Works inside the row: sorting brings equal
-    tokens together, so the cost grows with n log n even for a very long text, and nothing is shuffled.
+    tokens together, and each is compared with its neighbour by zipping the sorted array with itself moved by one. The
+    cost grows with n log n even for a very long text, and nothing is shuffled.
     """
-    placed = F.transform(
+    placed = F.sort_array(F.transform(
         F.split(quoted(text), separator), lambda t, i: F.struct(t.alias("raw"), (i + 1).alias("place"))
-    )
-    sorted_ = df.withColumn("__sorted", F.array_sort(placed))
+    ))
+    moved = F.concat(F.expr("array(CAST(NULL AS struct<raw: string, place: int>))"), placed)
+    pairs = F.arrays_zip(placed.alias("this"), moved.alias("before"))
     pattern, label = fixed.PERSONAL_TOKEN
 
-    def first(cell: Column, i: Column) -> Column:
-        before = F.get(F.col("__sorted"), i - 1)["raw"]
-        return ((i == 0) | (before != cell["raw"])) & ~txt.is_blank(cell["raw"])
+    def first(pair: Column) -> Column:
+        token, before = pair["this"]["raw"], pair["before"]["raw"]
+        return token.isNotNull() & ~before.eqNullSafe(token) & ~txt.is_blank(token)
 
-    def shown(cell: Column) -> Column:
-        trimmed = txt.trim_left(cell["raw"])
+    def shown(pair: Column) -> Column:
+        trimmed = txt.trim_left(pair["this"]["raw"])
         value = F.when(txt.matches(trimmed, pattern), F.lit(label)).otherwise(trimmed)
-        return F.struct(cell["place"].alias("place"), value.alias("value"))
+        return F.struct(pair["this"]["place"].alias("place"), value.alias("value"))
 
-    single = F.transform(F.filter("__sorted", first), shown)
-    return sorted_.withColumn(out, F.array_sort(single)).drop("__sorted")
+    return df.withColumn(out, F.sort_array(F.transform(F.filter(pairs, first), shown)))
 
 
 def use_tokens(table: DataFrame, key: str = "casrn", text: str = "Other", separator: str = ",") -> DataFrame:
     """One row per key and distinct token with the token's first place."""
-    cells = with_tokens(table.select(quoted(key), quoted(text)), text, "__tokens", separator)
-    return cells.select(quoted(key), F.inline("__tokens"))
+    cells = with_tokens(table.select(named(key), named(text)), text, "__tokens", separator)
+    # the outer form, because for the inner one the planner would compute the tokens a second time to test for none
+    return cells.select(named(key), F.inline_outer("__tokens")).where("place IS NOT NULL")
 
 
 def tokens_to_rows(table: DataFrame, text: str = "Other") -> DataFrame:
