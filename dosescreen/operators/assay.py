@@ -91,36 +91,41 @@ def signed_hits(df: DataFrame, fold: str = "foldchange", hit: str = "hit") -> Da
     )
 
 
-def dose_slots(
-    df: DataFrame, keys: list[str], dose: str, fields: list[str], slots: int = fixed.DOSE_SLOTS
-) -> DataFrame:
-    """One row per key with an array of ``slots`` structs (``dose``, fields), padded with NULL fields.
+def _slot(field: str, k: int) -> str:
+    return named(f"__{field}_{k}")
+
 
-    Keys and dose are unique in the input (see ``quality.key_unique``). The array is filled by conditional maxima of
-    plain numbers, so it is a hash aggregation in which map tasks send one row per key however many rows a key has.
+def _filled_slots(df: DataFrame, keys: list[str], dose: str, fields: list[str], slots: int) -> DataFrame:
+    """One row per key with a column per field and slot, NULL where a dose is missing.
+
+    Keys and dose are unique in the input (see ``quality.key_unique``). The columns are conditional maxima of plain
+    numbers, so this is a hash aggregation in which map tasks send one row per key however many rows a key has.
     """
     # written as SQL text: one expression per slot and field
-    filled = df.groupBy(*[named(k) for k in keys]).agg(*[
-        F.expr(f"max(CASE WHEN {named(dose)} = {k} THEN {named(f)} END) AS {named(f'__{f}_{k}')}")
+    return df.groupBy(*[named(k) for k in keys]).agg(*[
+        F.expr(f"max(CASE WHEN {named(dose)} = {k} THEN {named(f)} END) AS {_slot(f, k)}")
         for k in range(1, slots + 1) for f in fields
     ])
+
+
+def dose_slots(
+    df: DataFrame, keys: list[str], dose: str, fields: list[str], slots: int = fixed.DOSE_SLOTS
+) -> DataFrame:
+    """One row per key with an array of ``slots`` structs (``dose``, fields), padded with NULL fields."""
     cells = ", ".join(
-        "named_struct('dose', {}, {})".format(k, ", ".join(f"'{f}', {named(f'__{f}_{k}')}" for f in fields))
+        "named_struct('dose', {}, {})".format(k, ", ".join(f"'{f}', {_slot(f, k)}" for f in fields))
         for k in range(1, slots + 1)
     )
+    filled = _filled_slots(df, keys, dose, fields, slots)
     return filled.selectExpr(*[named(k) for k in keys], f"array({cells}) AS slots")
 
 
-def mark_consecutive(slots: Column, hit: str) -> Column:
-    """Add ``counts`` to each slot: a hit counts beside another hit, or where the series ends after the first dose."""
-    def verdict(cell: Column, index: Column) -> Column:
-        before = F.get(slots, index - 1).getField(hit)
-        after = F.get(slots, index + 1).getField(hit)
-        beside = F.coalesce(before == 1, F.lit(False)) | F.coalesce(after == 1, F.lit(False))
-        ends = (index > 0) & after.isNull()
-        return cell.withField("counts", F.coalesce(cell.getField(hit) == 1, F.lit(False)) & (beside | ends))
-
-    return F.transform(slots, verdict)
+def _counts(hit: str, k: int, slots: int) -> str:
+    """A hit counts beside another hit, or where the series ends after the first dose. Never NULL."""
+    beside = [f"{_slot(hit, j)} <=> 1" for j in (k - 1, k + 1) if 1 <= j <= slots]
+    if k > 1:
+        beside.append(f"{_slot(hit, k + 1)} IS NULL" if k < slots else "true")
+    return f"({_slot(hit, k)} <=> 1 AND ({' OR '.join(beside) or 'false'}))"
 
 
 def consecutive_hits(
@@ -128,9 +133,13 @@ def consecutive_hits(
     fields: tuple[str, ...] = ("conc", "foldchange"), slots: int = fixed.DOSE_SLOTS,
 ) -> DataFrame:
     """One row per key and slot with ``counts`` telling whether the dose satisfies the consecutive-dose rule."""
-    packed = dose_slots(df, keys, dose, [hit, *fields], slots)
-    marked = packed.withColumn("slots", mark_consecutive(F.col("slots"), hit))
-    return marked.select(*[named(k) for k in keys], F.inline("slots")).withColumnRenamed("dose", dose)
+    filled = _filled_slots(df, keys, dose, [hit, *fields], slots)
+    cells = ", ".join(
+        f"named_struct('{dose}', {k}, "
+        + "".join(f"'{f}', {_slot(f, k)}, " for f in [hit, *fields]) + f"'counts', {_counts(hit, k, slots)})"
+        for k in range(1, slots + 1)
+    )
+    return filled.selectExpr(*[named(k) for k in keys], f"inline_outer(array({cells}))")
 
 
 def lec_mfc(
@@ -141,14 +150,14 @@ def lec_mfc(
 
     Keys without a counting dose stay, with LEC = +Infinity and MFC = -Infinity.
     """
-    packed = dose_slots(df, keys, dose, [hit, conc, fold], slots)
-    counting = F.filter(mark_consecutive(F.col("slots"), hit), lambda s: s["counts"])
-    lowest = F.array_min(F.transform(counting, lambda s: s[conc].cast("double")))
-    highest = F.array_max(F.transform(counting, lambda s: s[fold].cast("double")))
-    return packed.select(
-        *[named(k) for k in keys],
-        F.coalesce(highest, F.lit(-num.INF)).alias("MFC"),
-        F.coalesce(lowest, F.lit(num.INF)).alias("LEC"),
+    def over(function: str, field: str, start: str) -> str:
+        cells = [f"CASE WHEN {_counts(hit, k, slots)} THEN {_slot(field, k)} END" for k in range(1, slots + 1)]
+        return f"{function}(double('{start}'), {', '.join(cells)})"
+
+    filled = _filled_slots(df, keys, dose, [hit, conc, fold], slots)
+    return filled.selectExpr(
+        *[named(k) for k in keys], f"{over('greatest', fold, '-Infinity')} AS MFC",
+        f"{over('least', conc, 'Infinity')} AS LEC",
     )
 
 
