@@ -56,10 +56,14 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN joined USING (doc_id)"""
 
 
+def _of_kind(number: int):
+    return lambda span: span["kind"] == number
+
+
 @query("op5_secret_trigrams", SECRETS_SQL)
 def op5_secret_trigrams(spark, folder):
     found = secret_scan.find(table(spark, folder, "documents").select("doc_id", "text"))
-    kinds = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}")
+    kinds = [F.size(F.filter("spans", _of_kind(i))).cast("long").alias(f"n_{r.kind}")
              for i, r in enumerate(secret_scan.BASE)]
     base = secret_scan.listed(F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE)))
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"),
