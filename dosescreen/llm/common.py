@@ -64,18 +64,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def block_pairs(members: DataFrame, count: str, spread, block: int = BLOCK) -> DataFrame:
-    """Add ``pair``: members of a group meet in groups (key, pair) of at most about two blocks.
+    """Add ``pair`` and ``own``: members of a group meet in groups (key, pair) of at most about two blocks.
 
     ``count`` names the column with the group's size and ``spread`` is a hash of the member. A group of up to ``block``
     members has the single pair 0. A larger one is dealt into blocks, and each member is repeated once per block, so
-    that every two blocks meet in exactly one group and no task holds more than two blocks.
+    that every two blocks meet in exactly one group and no task holds more than two blocks. ``own`` is the member's block.
     """
     return (members.withColumn("_n", F.ceil(F.col(count) / block).cast("int"))
-            .withColumn("_own", F.pmod(spread, F.col("_n")).cast("int"))
+            .withColumn("own", F.pmod(spread, F.col("_n")).cast("int"))
             .withColumn("pair", F.explode(F.when(F.col("_n") <= 1, F.array(F.lit(0))).otherwise(F.transform(
                 F.sequence(F.lit(0), F.col("_n") - 1),
-                lambda j: F.least(j, F.col("_own")) * F.col("_n") + F.greatest(j, F.col("_own"))))))
-            .drop("_n", "_own"))
+                lambda j: F.least(j, F.col("own")) * F.col("_n") + F.greatest(j, F.col("own"))))))
+            .drop("_n"))
 
 
 class Forest:

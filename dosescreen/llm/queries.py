@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosescreen.llm import decontaminate, mixture, secret_scan, simhash, toxicity
+from dosescreen.llm import (
+    chats, collisions, decontaminate, lines, mixture, secret_scan, simhash, suffixes, toxicity, warc,
+)
 from dosescreen.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,29 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+LINES_SQL = f"""WITH cut AS (SELECT doc_id, l, i, l[i] AS line FROM (
+  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+units AS (SELECT doc_id, list_sum(list_transform(l[1:i - 1], lambda x: len(x) + 1)) AS s, len(line) AS n,
+  trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit FROM cut),
+long AS (SELECT doc_id, coalesce(s, 0) AS s, n, unit FROM units
+  WHERE len(unit) - len(replace(unit, ' ', '')) + 1 >= {lines.LEAST}),
+kept AS (SELECT unit, min({{'d': doc_id, 's': s}}) AS k FROM long GROUP BY unit)
+SELECT doc_id, s AS start_pos, s + n AS end_pos, k.d AS kept_doc_id, k.s AS kept_start FROM long JOIN kept USING (unit)
+WHERE k.d <> doc_id OR k.s <> s"""
+
+
+@query("op1_repeated_lines", LINES_SQL)
+def op1_repeated_lines(spark, folder):
+    return lines.repeats(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("first").alias("start_pos"), F.col("last").alias("end_pos"),
+        F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
+
+
+@query("op2_embedding_collisions")
+def op2_embedding_collisions(spark, folder):
+    return collisions.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op3_simhash_variants")
 def op3_simhash_variants(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -31,6 +56,22 @@ def op3_simhash_variants(spark, folder):
                         F.col("component").alias("component_id"))
 
 
+WARC_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(t) AS n, array_to_string(flatten(list_transform(range(0, 4), lambda c: list_transform(
+  range(0, 8), lambda k: substr('{warc.BASE32}', ((('0x' || substr(h, CAST(c * 10 + 1 AS INT), 10))::BIGINT
+  >> CAST(35 - 5 * k AS INT)) & 31)::INT + 1, 1)))), '') AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, n AS payload_bytes, payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM f"""
+
+
+@query("op4_warc_revisits", WARC_SQL)
+def op4_warc_revisits(spark, folder):
+    found = warc.archived(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
     """Spans of one kind: lengths of gaps and matches, summed up."""
     quoted = pattern.replace("'", "''")
@@ -78,6 +119,29 @@ def op6_toxicity_ordinal(spark, folder):
     return scored.withColumn("toxic", F.col("severity") >= toxicity.REJECT)
 
 
+@query("op7_suffix_minimisers")
+def op7_suffix_minimisers(spark, folder):
+    found = suffixes.passages(table(spark, folder, "documents"))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select(F.col("id").alias("doc_id"), words.alias("repeated_words"), F.array_join(shown, ",").alias("spans"))
+
+
+CHATS_SQL = """WITH t AS (SELECT conv_id, turn, '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '<' || chr(8203) || '|')
+  || chr(10) || replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') || '<|im_end|>' || chr(10) AS piece
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(piece ORDER BY turn) AS l FROM t GROUP BY conv_id),
+proper AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id, l, count(*) AS copies FROM c GROUP BY l)
+SELECT conv_id, 0::BIGINT AS part, len(l) AS turns, copies, array_to_string(l, '') AS chat
+FROM kept ANTI JOIN proper USING (l)"""
+
+
+@query("op8_chat_snapshots", CHATS_SQL)
+def op8_chat_snapshots(spark, folder):
+    return chats.formatted(table(spark, folder, "conversations"))
+
+
 @query("op9_bm25_decontamination")
 def op9_bm25_decontamination(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
