@@ -7,8 +7,8 @@ by piece by its next places.
 
 Places whose first words occur once are dropped by a count. Equal surroundings are one suffix with a weight, and match in
 full. The others are sorted by (first words, words to the right, words to the left) in range partitions, and neighbours
-are extended to the right and to the left; the first and last suffix of every partition meet in one small pass. Matches
-of at least ``PASSAGE`` words are joined back to all places and merged into spans of words.
+are extended to the right and to the left; the first and last suffix of every partition meet in one small pass. The same
+is done once more with the words to the left before those to the right. Matches of at least ``PASSAGE`` words are joined back to all places and merged into spans of words.
 
 Defined results: words are separated by ASCII white space and compared as they are; NULL, empty and shorter texts have no
 spans; repeats inside one document count; rows that repeat an id repeat all their passages, and their spans are merged;
@@ -146,6 +146,7 @@ def _common(words: list[bytes], size: np.ndarray) -> np.ndarray:
     return np.minimum(count, np.minimum(size[1:], size[:-1]))
 
 
+EXTENT = ["first", "around", "lefts", "rights"]
 FIELDS = "first long, around long, lefts short, rights short, right binary, left binary"
 
 
@@ -198,14 +199,14 @@ def passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, id_col:
     wanted = (suffixes.join(several, "first").select("at.id", F.struct("at.at", "first", "around").alias("place"))
               .groupBy("id").agg(F.collect_list("place").alias("places")))
     content = cut_lineage(slim.join(wanted, "id").select("text", "places").mapInArrow(_content(passage, gram), FIELDS))
-    order = ["first", "right", "left"]
-    step = cut_lineage(content.repartitionByRange(*order, "around").sortWithinPartitions(*order)
-                       .mapInArrow(_neighbours(passage), FIELDS + ", edge boolean"))
-    edges = (step.where("edge").drop("edge").coalesce(1).sortWithinPartitions(*order)
-             .mapInArrow(_neighbours(passage), FIELDS + ", edge boolean"))
-    extent = ["first", "around", "lefts", "rights"]
-    matched = step.where("not edge").union(edges.where("not edge")).select(extent).union(
-        suffixes.where((F.col("n") > 1) & (F.col("lefts") + F.col("rights") >= passage)).select(extent))
+    # the best partner of a suffix is its neighbour by what follows or by what comes before
+    matched = suffixes.where((F.col("n") > 1) & (F.col("lefts") + F.col("rights") >= passage))
+    for order in (["first", "right", "left"], ["first", "left", "right"]):
+        step = cut_lineage(content.repartitionByRange(*order, "around").sortWithinPartitions(*order)
+                           .mapInArrow(_neighbours(passage), FIELDS + ", edge boolean"))
+        edges = (step.where("edge").drop("edge").coalesce(1).sortWithinPartitions(*order)
+                 .mapInArrow(_neighbours(passage), FIELDS + ", edge boolean"))
+        matched = matched.select(*EXTENT).union(step.union(edges).where("not edge").select(*EXTENT))
     matched = cut_lineage(matched.distinct())
     spans = (live.select("id", "at", "first", "around").join(matched, ["first", "around"])
              .select("id", F.struct((F.col("at") - F.col("lefts")).alias("start"),
