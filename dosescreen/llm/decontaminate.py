@@ -33,11 +33,14 @@ from dosescreen.session import cut_lineage
 
 ship(__name__)
 
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 SHARD = 1000
-ITEM_BLOCK = 16
+#: Small, since items have few common terms: larger blocks have bounds that prune little.
+ITEM_BLOCK = 4
+#: Passages whose block bounds are summed at once.
+PASSAGES = 256
 LEAST_STRIDE = 32
 K1, B = 1.2, 0.75
 WORD = re.compile(r"\w+")
@@ -101,20 +104,33 @@ def build(rows: list[tuple[int, str | None]], frequency: dict[str, int], total:
     return Index(items, terms, blocks.max(1, initial=0).astype(np.float64), blocks, lists, stride)
 
 
-def above(index: Index, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
-    """(item number, score) of all items whose score for a passage with these distinct terms reaches the threshold."""
-    if index.bounds[terms].sum() < threshold:
-        return
-    for b in np.flatnonzero(index.blocks[terms].sum(0, dtype=np.float64) >= threshold):
-        known, impacts = index.lists[b]
-        at = np.searchsorted(known, terms)
-        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == terms)]
-        scores = impacts[at].sum(0)
-        for slot in np.flatnonzero(scores >= threshold):
-            yield int(b) * ITEM_BLOCK + int(slot), float(scores[slot])
-
+def above(index: Index, passage: np.ndarray, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(passage, item number, score) of all scores that reach the threshold.
 
-def _share(part: frozenset, seen: dict[int, set], ) -> float:
+    ``passage`` and ``terms`` are the distinct terms of the passages, in order.
+    """
+    # no block can lift a passage whose terms' bounds stay below the threshold
+    enough = np.bincount(passage, index.bounds[terms]) >= threshold
+    held = enough[passage]
+    passage, terms = passage[held], terms[held]
+    if not len(terms):
+        return
+    start = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+    stop = np.append(start[1:], len(terms))
+    for at in range(0, len(start), PASSAGES):
+        few = start[at:at + PASSAGES]
+        rows = index.blocks[terms[few[0]:stop[at + len(few) - 1]]]
+        for k, b in np.argwhere(np.add.reduceat(rows, few - few[0], axis=0, dtype=np.float64) >= threshold).tolist():
+            own = terms[start[at + k]:stop[at + k]]
+            known, impacts = index.lists[b]
+            place = np.searchsorted(known, own)
+            place = place[(place < len(known)) & (known[np.minimum(place, len(known) - 1)] == own)]
+            scores = impacts[place].sum(0)
+            for slot in np.flatnonzero(scores >= threshold).tolist():
+                yield int(passage[start[at + k]]), b * ITEM_BLOCK + slot, float(scores[slot])
+
+
+def _share(part: frozenset, seen: dict[int, set]) -> float:
     if not part:
         return 1.0
     size = len(next(iter(part)))
@@ -130,24 +146,24 @@ def hits(index: Index, text: str | None, threshold: float = THRESHOLD,
         return found
     ids = np.fromiter(map(index.terms.get, tokens, repeat(-1)), np.int64, len(tokens))
     known = np.flatnonzero(ids >= 0)
-    total = np.concatenate(([0.0], np.cumsum(index.bounds[ids[known]])))
     starts = np.arange(0, max(1, len(tokens) - index.stride), index.stride)
-    first, last = np.searchsorted(known, starts), np.searchsorted(known, starts + 2 * index.stride)
-    # counts repeated terms again and again, so this only can be too high
-    for p in np.flatnonzero(total[last] - total[first] >= threshold - 1e-9):
-        terms = np.unique(ids[known[first[p]:last[p]]])
-        passage, seen = None, {}
-        for number, score in above(index, terms, threshold):
-            x = index.items[number]
-            if passage is None:
-                passage = tokens[starts[p]:starts[p] + 2 * index.stride]
-            for part in (x.question, x.answer):
-                size = len(next(iter(part), ()))
-                if size and size not in seen:
-                    seen[size] = set(zip(*[passage[i:] for i in range(size)]))
-            q, a = _share(x.question, seen), _share(x.answer, seen)
-            if q >= overlap and a >= overlap and (score, q, a) > found.get(number, (0, 0, 0)):
-                found[number] = (score, q, a)
+    # a word belongs to the passage that starts with its stretch and to the one before
+    stretch = known // index.stride
+    both = np.concatenate((stretch, stretch - 1))
+    code = (both * len(index.terms) + np.tile(ids[known], 2))[(both >= 0) & (both < len(starts))]
+    code = np.unique(code)
+    at, seen = -1, {}
+    for p, number, score in above(index, code // len(index.terms), code % len(index.terms), threshold):
+        x = index.items[number]
+        if p != at:
+            at, seen, passage = p, {}, tokens[starts[p]:starts[p] + 2 * index.stride]
+        for part in (x.question, x.answer):
+            size = len(next(iter(part), ()))
+            if size and size not in seen:
+                seen[size] = set(zip(*[passage[i:] for i in range(size)]))
+        q, a = _share(x.question, seen), _share(x.answer, seen)
+        if q >= overlap and a >= overlap and (score, q, a) > found.get(number, (0, 0, 0)):
+            found[number] = (score, q, a)
     return found
 
 
