@@ -126,8 +126,9 @@ def links(marks: DataFrame, most: int = DISTANCE, block: int = BLOCK) -> DataFra
     if most > DISTANCE:
         raise ValueError("three segments with one wildcard find at most four differing bits")
     keyed = marks.select("mark", F.explode(variants(F.col("mark"))).alias("key"))
-    shared = cut_lineage(keyed.groupBy("key").count().where("count > 1"))
-    met = block_pairs(keyed.join(shared, "key"), "count", F.xxhash64("mark"), block)
+    hot = cut_lineage(keyed.groupBy("key").count().where(F.col("count") > block))
+    met = block_pairs(keyed.join(hot, "key", "left").withColumn("count", F.coalesce("count", F.lit(1))), "count",
+                      F.xxhash64("mark"), block)
     return (met.select("key", "pair", "mark").repartition("key", "pair").sortWithinPartitions("key", "pair", "mark")
             .mapInArrow(_link(most), "a long, b long"))
 
