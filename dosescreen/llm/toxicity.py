@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,7 +47,7 @@ def counts(text: str | None) -> Counter:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id",
-           text_col: str = "text") -> list[tuple[str, int]]:
+           text_col: str = "text") -> Iterator[tuple[str, int]]:
     """At most ``per_class`` texts of each label value, as (text, toxic); the labels of the sample are broadcast."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
     picks = []
@@ -59,48 +59,49 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
     texts = slim.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_text", "_toxic")
     # an id may be repeated; the bound holds for rows as well
     rows = texts.orderBy(F.xxhash64(F.lit(7), "_id"), "_id", "_toxic", "_text").limit(2 * per_class).toLocalIterator()
-    return [(r["_text"] or "", r["_toxic"]) for r in rows]
+    return ((r["_text"] or "", r["_toxic"]) for r in rows)
 
 
-def grades(features: list[Counter], toxic: np.ndarray, top: int = GRADES) -> np.ndarray:
+def grades(column: np.ndarray, row: np.ndarray, count: np.ndarray, toxic: np.ndarray, top: int = GRADES) -> np.ndarray:
     """0 for documents that are not toxic, else 1 to ``top`` - 1 by the number of their telling words."""
-    seen = [Counter(), Counter()]
-    for words, t in zip(features, toxic):
-        seen[t].update(words.keys())
+    words = int(column.max(initial=-1)) + 1
+    seen = [np.bincount(column[toxic[row] == t], minlength=words) for t in (0, 1)]
     share = [max(1, int((toxic == t).sum())) for t in (0, 1)]
-    telling = {w for w, n in seen[1].items() if n >= 0.02 * share[1] and n / share[1] > 10 * (seen[0][w] + 1) / share[0]}
-    hits = np.array([sum(n for w, n in words.items() if w in telling) for words in features])
+    telling = (seen[1] >= 0.02 * share[1]) & (seen[1] / share[1] > 10 * (seen[0] + 1) / share[0])
+    hits = np.bincount(row, count * telling[column], len(toxic))
     marked = np.sort(hits[(toxic == 1) & (hits > 0)])
     cuts = [marked[len(marked) * k // (top - 1)] if len(marked) else 1 for k in range(1, top - 1)]
-    return np.where(toxic == 1, 1 + sum((hits > c).astype(int) for c in cuts) if cuts else 1, 0)
+    return np.where(toxic == 1, 1 + sum((hits > c).astype(int) for c in cuts), 0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(rows: list[tuple[str, int]], top: int = GRADES, ridge: float = 2e-4, rounds: int = 200) -> Model:
+def fit(rows: Iterable[tuple[str, int]], top: int = GRADES, ridge: float = 2e-4, rounds: int = 200) -> Model:
     """Fit by gradient descent with per-weight step sizes (Adam) on the mean log likelihood with a ridge penalty."""
-    toxic = np.array([t for _, t in rows], int)
-    if not len(rows) or toxic.min() == toxic.max():
+    place: dict[str, int] = {}
+    grown, columns, values = [], [], []
+    for text, t in rows:
+        found = counts(text)
+        grown.append(t)
+        columns.append(np.array([place.setdefault(w, len(place)) for w in found], np.int32))
+        values.append(np.array(list(found.values()), np.int32))
+    toxic = np.array(grown, int)
+    if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, (np.inf,) * (top - 1))
-    features = [counts(text) for text, _ in rows]
-    grade = grades(features, toxic, top)
-    spread = Counter(w for words in features for w in words)
-    place = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= LEAST_DOCS))}
-    row, column, value = [], [], []
-    for i, words in enumerate(features):
-        for w, n in words.items():
-            if w in place:
-                row.append(i)
-                column.append(place[w])
-                value.append(np.log1p(n))
-    row, column, value = np.array(row, int), np.array(column, int), np.array(value)
+    row = np.repeat(np.arange(len(toxic)), [len(c) for c in columns])
+    column, count = np.concatenate(columns), np.concatenate(values)
+    grade = grades(column, row, count, toxic, top)
+    often = np.bincount(column, minlength=len(place)) >= LEAST_DOCS
+    held = often[column]
+    row, column, value = row[held], (np.cumsum(often) - 1)[column[held]], np.log1p(count[held])
+    place = {w: k for k, w in enumerate(w for w, i in place.items() if often[i])}
     # both kinds weigh the same, whatever their number in the sample
     weight = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum())
     w, first, gaps = np.zeros(len(place)), 0.0, np.zeros(top - 2)
     moment = [np.zeros(len(place) + top - 1), np.zeros(len(place) + top - 1)]
-    n = len(rows)
+    n = len(toxic)
     for step in range(1, rounds + 1):
         cuts = first + np.concatenate(([0], np.cumsum(np.exp(gaps))))
         score = np.bincount(row, value * w[column], n)
