@@ -323,7 +323,7 @@ UNLIKELY = "Unlikely"
 INADEQUATE = "Inadequate evidence"
 
 # Column names of the evidence matrix, in order
-MAMMARY_COLUMN = "Rudel"
+MAMMARY_COLUMN = "Mammary gland"
 EVIDENCE_COLUMNS = [
     "chnm", "casn", "Nhanes", MAMMARY_COLUMN, "Carcinogencity", "Invivo effect < 100 mg/kg-day",
     "No invivo effect >= 100 mg/kg-day", "Other (ToxValDb)", "Prop65",
@@ -343,11 +343,11 @@ PESTICIDE_EFFECTS = {
     "not considered - tumor": "Tumor (potential)",
     "considered - other": "Other effect",
 }
-PESTICIDE_EFFECT_NOTE = " (Cardona and Rudel 2020)"
+PESTICIDE_EFFECT_NOTE = " (pesticide review)"
 MAMMARY_LABELS = [
-    (r"\bMammary carcinogen\b", "Tumor (Rudel 2007)"),
-    ("and developmental toxicant", "and alters mammary gland development (Rudel 2011)"),
-    ("Mammary developmental toxicant", "Alters mammary gland development (Rudel 2011)"),
+    (r"\bMammary carcinogen\b", "Tumor (tumor review)"),
+    ("and developmental toxicant", "and alters mammary gland development (development review)"),
+    ("Mammary developmental toxicant", "Alters mammary gland development (development review)"),
 ]
 
 # Drugs and published overrides

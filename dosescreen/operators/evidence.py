@@ -94,12 +94,12 @@ def call_classes(
 
 
 def clean_list(
-    listed: DataFrame, name: str = "Chemical", identifier: str = "CAS No.", max_ids: int | None = 2,
+    listed: DataFrame, name: str = "Chemical", identifier: str = "CAS No.", max_ids: int | None = None,
     delisted: str = fixed.DELISTED, placeholder: str = fixed.NO_IDENTIFIER, separator: str = fixed.ID_SEPARATOR,
 ) -> DataFrame:
     """Regulatory list with one trimmed identifier per row, delisted entries and placeholders dropped.
 
-    ``max_ids`` is the number of identifiers read from one cell; ``None`` reads them all.
+    ``max_ids`` is the number of identifiers read from one cell; by default all are.
     """
     kept = listed.where(txt.not_matches(quoted(name), delisted))
     pieces = F.split(quoted(identifier), separator)

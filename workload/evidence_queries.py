@@ -147,8 +147,8 @@ LIST_SQL = f"""raw AS (SELECT CASE WHEN p_size = 50 THEN p_name || ' (Delisted)'
     WHEN 'PROMO' THEN '---' END AS cell, {case_sql('p_type', TOXICITIES)} AS toxicity FROM part),
 halves AS (SELECT chemical, toxicity, regexp_split_to_array(cell, '[/;]') AS parts FROM raw
   WHERE NOT {has('chemical', 'Delisted')}),
-cleaned AS (SELECT chemical, trim(v) AS cas_no, toxicity FROM (SELECT chemical, toxicity, parts[1] AS v FROM halves
-  UNION ALL SELECT chemical, toxicity, parts[2] FROM halves) WHERE v IS NOT NULL AND v <> '---'),
+cleaned AS (SELECT chemical, trim(v) AS cas_no, toxicity FROM (SELECT chemical, toxicity, unnest(parts) AS v FROM halves)
+  WHERE v IS NOT NULL AND v <> '---'),
 listing AS (SELECT cas_no, bool_or({has('toxicity', 'cancer')}) AS cancer,
   bool_or({has('toxicity', 'development')}) AS development FROM cleaned GROUP BY 1)"""
 MATRIX = FLAGS + ", " + CALL_SQL + ", " + LIST_SQL + f""", base AS (
