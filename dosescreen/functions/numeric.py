@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -75,14 +76,21 @@ def parse_number(text: Column | str) -> Column:
 
 
 def number_text(x: Column | str) -> Column:
-    """Shortest text of a double without exponent and without a trailing ``.0``."""
+    """Shortest text of a double without exponent and without a trailing ``.0``; no digit is lost at any magnitude."""
     plain = col(x).cast("string")
-    # only texts with an exponent need decimal arithmetic: 38 digits are enough from 1e-19 up to 1e19
-    fixed = plain.try_cast("decimal(38,19)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
-    expanded = F.when(fixed.isNull() | (trimmed == "0"), plain).otherwise(trimmed)
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(plain, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", i)
+
+    decimals = F.regexp_replace(part(3), "^0$", "")
+    shift = part(4).try_cast("int")
+    digits = F.concat(part(2), decimals)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+    whole = F.concat(digits, F.repeat(F.lit("0"), shift - F.length(decimals)))
+    split = F.concat(F.substr(digits, F.lit(1), shift + 1), F.lit("."), F.substr(digits, shift + 2))
+    expanded = F.when(shift < 0, small).when(shift >= F.length(decimals), whole).otherwise(split)
     return (
-        F.when(F.contains(plain, F.lit("E")), expanded)
+        F.when(F.contains(plain, F.lit("E")), F.concat(part(1), expanded))
         .when(plain.endswith(".0"), plain.substr(F.lit(1), F.length(plain) - 2)).otherwise(plain)
     )
 
@@ -91,7 +99,8 @@ def round_decimals(x: Column | str, digits: int = 2) -> Column:
     """Round the exact binary value of ``x`` to ``digits`` decimals, true ties to even.
 
     ``x * 10^digits`` is itself rounded, so values next to a tie could go the wrong way. The product's rounding error is
-    recovered by splitting ``x`` into two halves of 26 bits, and settles those cases.
+    recovered by splitting ``x`` into two halves of 26 bits, and settles those cases. Where neighbouring doubles are
+    farther apart than 10^-digits, the double next to the rounded value is ``x`` itself.
     """
     x = col(x)
     double_scale = F.lit(2.0 * 10 ** digits)
@@ -104,7 +113,8 @@ def round_decimals(x: Column | str, digits: int = 2) -> Column:
     settled = (
         F.when((gap == 1) & (error > 0), nearest + 1).when((gap == -1) & (error < 0), nearest - 1).otherwise(nearest)
     )
-    return F.when(F.abs(x) < 1e12, settled / F.lit(10.0 ** digits)).otherwise(x)
+    coarse = 2.0 ** math.ceil(52 - digits * math.log2(10))
+    return F.when(F.abs(x) < coarse, settled / F.lit(10.0 ** digits)).otherwise(x)
 
 
 def fixed_decimals(x: Column | str, digits: int = 2) -> Column:

@@ -35,7 +35,7 @@ def direction_table(
 def unpack_hits(
     vectors: DataFrame, ids: list[str], channels: list[str], channel: str = "steroid", slots: int = fixed.DOSE_SLOTS
 ) -> DataFrame:
-    """One row per plate, channel and dose slot; ``hits`` keeps the packed text."""
+    """One row per plate, channel and dose slot, at least ``slots`` of them; ``hits`` keeps the packed text."""
     long = unpivot(vectors, ids, channels, channel, "hits")
     return explode_slots(long.withColumn("__v", F.col("hits")), "__v", slots, "dose_level", "hit")
 
@@ -91,73 +91,63 @@ def signed_hits(df: DataFrame, fold: str = "foldchange", hit: str = "hit") -> Da
     )
 
 
-def _slot(field: str, k: int) -> str:
-    return named(f"__{field}_{k}")
+def _neighbours(df: DataFrame, keys: list[str], dose: str, hit: str, fields: list[str]) -> DataFrame:
+    """One row per key and dose: ``__own`` (hit and fields) and ``__counts``, the consecutive-dose rule. See below.
 
-
-def _filled_slots(df: DataFrame, keys: list[str], dose: str, fields: list[str], slots: int) -> DataFrame:
-    """One row per key with a column per field and slot, NULL where a dose is missing.
-
-    Keys and dose are unique in the input (see ``quality.key_unique``). The columns are conditional maxima of plain
-    numbers, so this is a hash aggregation in which map tasks send one row per key however many rows a key has.
+    Each row goes to its own dose, and its hit to the doses before and after it; both meet in a hash exchange on key and
+    dose. So a key may have any number of doses and rows, and no task holds a whole key. Of several rows of one key and
+    dose the one with the largest hit, then the largest fields in their order, stands as a whole. Only whole numbers
+    from 1 on are doses; rows without one count nothing and keep their key.
     """
-    # written as SQL text: one expression per slot and field
-    return df.groupBy(*[named(k) for k in keys]).agg(*[
-        F.expr(f"max(CASE WHEN {named(dose)} = {k} THEN {named(f)} END) AS {_slot(f, k)}")
-        for k in range(1, slots + 1) for f in fields
-    ])
+    at = f"CASE WHEN {named(dose)} >= 1 AND {named(dose)} = floor({named(dose)}) THEN CAST({named(dose)} AS BIGINT) END"
+    own = "named_struct({})".format(", ".join(f"'{f}', {named(f)}" for f in [hit, *fields]))
+    mark, none = f"CAST({named(hit)} AS INT)", "CAST(NULL AS INT)"
 
+    def cell(place: str, held: str, before: str, after: str) -> str:
+        return f"named_struct('__dose', {place}, '__own', {held}, '__before', {before}, '__after', {after})"
 
-def dose_slots(
-    df: DataFrame, keys: list[str], dose: str, fields: list[str], slots: int = fixed.DOSE_SLOTS
-) -> DataFrame:
-    """One row per key with an array of ``slots`` structs (``dose``, fields), padded with NULL fields."""
-    cells = ", ".join(
-        "named_struct('dose', {}, {})".format(k, ", ".join(f"'{f}', {_slot(f, k)}" for f in fields))
-        for k in range(1, slots + 1)
+    cells = ", ".join([
+        cell(at, own, none, none), cell(f"{at} - 1", "NULL", none, mark), cell(f"{at} + 1", "NULL", mark, none),
+    ])
+    sent = df.selectExpr(*[named(k) for k in keys], f"inline(array({cells}))").where(
+        "__own IS NOT NULL OR (__dose >= 1 AND coalesce(__before, __after) IS NOT NULL)"
     )
-    filled = _filled_slots(df, keys, dose, fields, slots)
-    return filled.selectExpr(*[named(k) for k in keys], f"array({cells}) AS slots")
-
-
-def _counts(hit: str, k: int, slots: int) -> str:
-    """A hit counts beside another hit, or where the series ends after the first dose. Never NULL."""
-    beside = [f"{_slot(hit, j)} <=> 1" for j in (k - 1, k + 1) if 1 <= j <= slots]
-    if k > 1:
-        beside.append(f"{_slot(hit, k + 1)} IS NULL" if k < slots else "true")
-    return f"({_slot(hit, k)} <=> 1 AND ({' OR '.join(beside) or 'false'}))"
+    met = sent.groupBy(*[named(k) for k in keys], "__dose").agg(
+        F.max("__own").alias("__own"), F.max("__before").alias("__before"), F.max("__after").alias("__after")
+    ).where("__own IS NOT NULL")
+    return met.withColumn("__counts", F.expr(
+        f"__dose IS NOT NULL AND __own.{named(hit)} <=> 1"
+        " AND (__before <=> 1 OR __after <=> 1 OR (__dose > 1 AND __after IS NULL))"
+    ))
 
 
 def consecutive_hits(
     df: DataFrame, keys: list[str], dose: str = "dose_level", hit: str = "hitd",
-    fields: tuple[str, ...] = ("conc", "foldchange"), slots: int = fixed.DOSE_SLOTS,
+    fields: tuple[str, ...] = ("conc", "foldchange"),
 ) -> DataFrame:
-    """One row per key and slot with ``counts`` telling whether the dose satisfies the consecutive-dose rule."""
-    filled = _filled_slots(df, keys, dose, [hit, *fields], slots)
-    cells = ", ".join(
-        f"named_struct('{dose}', {k}, "
-        + "".join(f"'{f}', {_slot(f, k)}, " for f in [hit, *fields]) + f"'counts', {_counts(hit, k, slots)})"
-        for k in range(1, slots + 1)
+    """One row per key and tested dose with ``counts`` telling whether the dose satisfies the consecutive-dose rule.
+
+    A hit counts beside another hit, or where the series ends (no hit value at the next dose) after the first dose.
+    """
+    met = _neighbours(df, keys, dose, hit, list(fields)).where("__dose IS NOT NULL")
+    return met.selectExpr(
+        *[named(k) for k in keys], f"CAST(__dose AS INT) AS {named(dose)}",
+        *[f"__own.{named(f)} AS {named(f)}" for f in [hit, *fields]], "__counts AS counts",
     )
-    return filled.selectExpr(*[named(k) for k in keys], f"inline_outer(array({cells}))")
 
 
 def lec_mfc(
     df: DataFrame, keys: list[str], dose: str = "dose_level", hit: str = "hitd", conc: str = "conc",
-    fold: str = "foldchange", slots: int = fixed.DOSE_SLOTS,
+    fold: str = "foldchange",
 ) -> DataFrame:
-    """Lowest effective concentration and maximal fold change over the doses that count.
+    """Lowest effective concentration and maximal fold change over the doses that count, however many there are.
 
     Keys without a counting dose stay, with LEC = +Infinity and MFC = -Infinity.
     """
-    def over(function: str, field: str, start: str) -> str:
-        cells = [f"CASE WHEN {_counts(hit, k, slots)} THEN {_slot(field, k)} END" for k in range(1, slots + 1)]
-        return f"{function}(double('{start}'), {', '.join(cells)})"
-
-    filled = _filled_slots(df, keys, dose, [hit, conc, fold], slots)
-    return filled.selectExpr(
-        *[named(k) for k in keys], f"{over('greatest', fold, '-Infinity')} AS MFC",
-        f"{over('least', conc, 'Infinity')} AS LEC",
+    met = _neighbours(df, keys, dose, hit, [fold, conc])
+    return met.groupBy(*[named(k) for k in keys]).agg(
+        F.expr(f"coalesce(max(CASE WHEN __counts THEN __own.{named(fold)} END), double('-Infinity')) AS MFC"),
+        F.expr(f"coalesce(min(CASE WHEN __counts THEN __own.{named(conc)} END), double('Infinity')) AS LEC"),
     )
 
 

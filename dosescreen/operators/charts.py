@@ -117,7 +117,8 @@ def use_hormone_counts(
 ) -> DataFrame:
     """Number of chemicals per specific use and set of hormones.
 
-    ``chemicals`` gives the hormones of each chemical; ``tokens`` its uses. Chemicals without a use are left out.
+    ``chemicals`` gives the hormones of each chemical that has an exposure category (see :func:`source_long`);
+    ``tokens`` its uses. Chemicals without a use are left out.
     """
     single = distinct_by(chemicals, keys + [group])
     uses = tokens.where(quoted(value).isNotNull()).select(quoted(token_key), quoted(value))

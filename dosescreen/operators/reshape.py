@@ -114,11 +114,11 @@ def explode_tokens(df: DataFrame, source: str, separator: str, token: str, posit
 
 
 def explode_slots(df: DataFrame, vector: str, slots: int, slot: str, value: str) -> DataFrame:
-    """A packed vector such as ``c(0, 1, NA)`` becomes exactly ``slots`` rows; missing slots are NULL numbers."""
+    """A packed vector such as ``c(0, 1, NA)`` becomes one row per piece; shorter ones are filled up to ``slots`` rows."""
     pieces = F.split(F.regexp_replace(quoted(vector), r"c\(|\)", ""), ", ")
     return (
         df.withColumn("__pieces", pieces)
-        .withColumn(slot, F.explode(F.sequence(F.lit(1), F.lit(slots))))
+        .withColumn(slot, F.explode(F.sequence(F.lit(1), F.greatest(F.size("__pieces"), F.lit(slots)))))
         .withColumn(value, to_number(F.get("__pieces", F.col(slot) - 1)))
         .drop("__pieces", vector)
     )

@@ -6,12 +6,15 @@ Unknown columns of a file are ignored by name. A text file that is read more tha
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosescreen.functions import text as txt
 from dosescreen.operators.quality import parse_failures
 from dosescreen.operators.reshape import quoted
+from dosescreen.session import STAGE_PREFIX, use_checkpoints
 
 MISSING = "NA"
 
@@ -29,47 +32,38 @@ SCHEMAS: dict[str, dict[str, str]] = {
 
 def read_delimited(
     spark: SparkSession, path: str, sep: str = ",", quote: str = '"', skip: int = 0, missing: str = MISSING,
-    multiline: bool = False,
+    multiline: bool = False, keep_blank: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header, all columns as text. Short rows are filled with NULL.
+    """Delimited text with a header, all columns as text; an unnamed first column is called ``code``.
 
-    ``skip`` leading lines before the header are left out. An unnamed first column is called ``code``. The empty text
-    and ``missing`` are NULL.
+    ``skip`` lines before the header are left out of every file. ``missing`` is NULL. So is the empty text, and short rows
+    are filled with NULL, unless ``keep_blank``: then both are empty texts.
     """
-    options = {"sep": sep, "quote": quote, "nullValue": missing, "emptyValue": "", "mode": "PERMISSIVE",
-               "multiLine": str(multiline).lower()}
     if skip:
-        return _read_after(spark, path, skip, options)
-    df = spark.read.options(header="true", **options).csv(path)
-    return _tidy(df)
-
-
-def _read_after(spark: SparkSession, path: str, skip: int, options: dict[str, str]) -> DataFrame:
-    """Leave out the lines before the header: the header line is looked up once, the lines are dropped by content."""
-    top = [row.value for row in spark.read.text(path).limit(skip + 1).collect()]
-    header, before = top[-1], top[:-1]
-    names = spark.createDataFrame([(header,)], "value string").select(
-        F.from_csv("value", ", ".join(f"c{i} string" for i in range(header.count(options["sep"]) + 1)),
-                   {k: v for k, v in options.items() if k in ("sep", "quote")}).alias("r")
-    ).select("r.*").first()
-    used = [n for n in names if n is not None]
-    lines = spark.read.text(path).where(~F.col("value").isin(before + [header]) & (F.col("value") != ""))
-    parsed = lines.select(F.from_csv("value", _ddl(used), {
-        k: v for k, v in options.items() if k in ("sep", "quote", "nullValue")
-    }).alias("r")).select("r.*")
-    return _tidy(parsed)
-
-
-def _ddl(names: list[str]) -> str:
-    return ", ".join(f"`{n}` string" for n in names)
-
-
-def _tidy(df: DataFrame) -> DataFrame:
+        path = _without_top(spark, path, skip)
+    df = spark.read.options(
+        header="true", sep=sep, quote=quote, nullValue="" if keep_blank else missing, emptyValue="", mode="PERMISSIVE",
+        multiLine=str(multiline).lower(),
+    ).csv(path)
     first = df.columns[0]
     df = df.withColumnRenamed(first, "code") if first in ("_c0", "", "X1") else df
+    if keep_blank:
+        return df.select(*[F.nullif(F.coalesce(quoted(c), F.lit("")), F.lit(missing)).alias(c) for c in df.columns])
     return df.select(*[F.nullif(quoted(c), F.lit("")).alias(c) for c in df.columns])
 
 
+def _without_top(spark: SparkSession, path: str, skip: int) -> str:
+    """Copy each file without its first lines into the shared folder, by position whatever they hold.
+
+    A file passes as one value, so files with lines to skip (published lists with a title) are limited to 2 GB each.
+    """
+    folder = f"{use_checkpoints(spark)}/{STAGE_PREFIX}{uuid.uuid4().hex}"
+    rest = F.regexp_replace("value", r"\A(?:[^\n]*(?:\n|\z)){%d}" % skip, "")
+    files = spark.read.text(path, wholetext=True).select(rest.alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast the named text columns that exist; values that do not parse become NULL (see :func:`bad_values`)."""
     return df.withColumns({c: quoted(c).try_cast(t) for c, t in types.items() if c in df.columns})
@@ -96,8 +90,8 @@ def read_commas(spark: SparkSession, path: str, kind: str | None = None, skip: i
 
 
 def read_tildes(spark: SparkSession, path: str) -> DataFrame:
-    """``~``-separated lines without quoting."""
-    return read_delimited(spark, path, sep="~", quote="")
+    """``~``-separated lines without quoting; blank fields and the missing ends of short rows are empty texts."""
+    return read_delimited(spark, path, sep="~", quote="", keep_blank=True)
 
 
 def read_matrix(spark: SparkSession, path: str, columns: list[str], sep: str = ",", code: str = "code") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from dosescreen.functions import text as txt
+from dosescreen.functions.numeric import number_text
 from dosescreen.operators.reshape import quoted
 
 
@@ -19,6 +20,7 @@ def write_stage(df: DataFrame, path: str) -> None:
 
 
 def write_published(df: DataFrame, path: str, guard: str | None = None) -> None:
-    """Delimited text with a header, NULL as ``NA``; one file per partition, in parallel."""
+    """Delimited text with a header, NULL as ``NA``, numbers without exponent; one file per partition, in parallel."""
     out = with_guard(df, guard) if guard else df
+    out = out.select(*[number_text(quoted(c)).alias(c) if t == "double" else quoted(c) for c, t in out.dtypes])
     out.write.mode("overwrite").options(header="true", nullValue="NA", emptyValue="").csv(path)

@@ -44,6 +44,18 @@ def test_missing_slots_are_open_ends(spark):
     assert rows(assay.lec_mfc(df, ["id"]), "id", "LEC", "MFC") == [("a", 2.0, 1.6), ("b", math.inf, -math.inf)]
 
 
+def test_any_number_of_doses_and_repeated_ones(spark):
+    kind = "id string, dose_level double, hitd int, conc double, foldchange double"
+    eight = [("a", float(k), 1, float(k), 2.0 + k) for k in range(1, 9)]
+    other = [("b", 2.0, 1, 5.0, 3.0), ("b", 2.0, 0, 1.0, 7.0), ("b", 2.5, 1, 0.1, 9.0), ("c", None, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(eight + other, kind)
+    # a repeated dose is read as its hit row, whole; half levels and missing ones do not count
+    assert rows(assay.lec_mfc(df, ["id"]), "id", "LEC", "MFC") == [
+        ("a", 1.0, 10.0), ("b", 5.0, 3.0), ("c", math.inf, -math.inf)]
+    assert assay.consecutive_hits(df, ["id"]).where("counts").count() == 9
+    assert assay.lec_mfc(df.limit(0), ["id"]).count() == 0
+
+
 def test_plate_parts(spark):
     df = spark.createDataFrame([("20130320_a_b_Plate10",), ("20130320_x_Plate2",), ("bad",)], "date_chnm_plate string")
     assert rows(assay.plate_parts(df), "date", "chnm", "plate") == [

@@ -59,6 +59,15 @@ def test_number_text(values):
     assert values(inputs, "double", num.number_text) == [
         "1", "0.00001", "12.34", "1000000", "1234567.5", "1000000000000000", "0", "-0.5", None, "0.0005",
     ]
+    extremes = [1.25e-18, -1.2345678901234568e-10, 2.5e20, -1e22, 123456789.125, 1.7976931348623157e308, 5e-324]
+    assert [float(x) for x in values(extremes, "double", num.number_text)] == extremes
+    assert values([1.25e-18, 2.5e20, -1e22], "double", num.number_text) == [
+        "0.00000000000000000125", "250000000000000000000", "-10000000000000000000000"]
+
+
+def test_round_decimals_at_any_magnitude(values):
+    inputs = [1e12 + 0.126, 5e13 + 0.37, -4e13 - 0.015625, 2.0 ** 46 + 0.015625, 1e15 + 0.125, 1e300]
+    assert values(inputs, "double", num.round_decimals) == [round(x, 2) for x in inputs]
 
 
 def test_fixed_decimals_like_printf(values):

@@ -25,7 +25,7 @@ def test_commas_quotes_and_empty(spark, tmp_path):
 
 def test_tildes_short_rows(spark, tmp_path):
     path = save(tmp_path / "p.txt", 'Ingredient~Type~Name\nA; "B~RX~n\nC~OTC\n')
-    assert rows(readers.read_tildes(spark, path)) == [('A; "B', "RX", "n"), ("C", "OTC", None)]
+    assert rows(readers.read_tildes(spark, path)) == [('A; "B', "RX", "n"), ("C", "OTC", "")]
 
 
 def test_skipped_lines(spark, tmp_path):
@@ -34,6 +34,21 @@ def test_skipped_lines(spark, tmp_path):
     assert df.columns == ["Chemical", "CAS No."] and rows(df) == [("x", "1-1-1"), ("y", "---")]
 
 
+def test_blank_tildes_are_texts(spark, tmp_path):
+    path = save(tmp_path / "p.txt", "Ingredient~Type~Name\nIBUPROFEN~\nX~NA~y\n~RX~\n")
+    assert rows(readers.read_tildes(spark, path)) == [("", "RX", ""), ("IBUPROFEN", "", ""), ("X", None, "y")]
+
+
+def test_skipped_lines_by_position(spark, tmp_path):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    save(folder / "a.csv", 'Title\n"odd\n,e,p\nC1,Title,1\nC2,"a\nb",2\n')
+    save(folder / "b.csv", "Other\n\n,e,p\nC1,Title,1\ne,p,3\n")
+    df = readers.read_delimited(spark, str(folder), skip=2, multiline=True)
+    assert df.columns == ["code", "e", "p"]
+    assert rows(df) == [("C1", "Title", "1"), ("C1", "Title", "1"), ("C2", "a\nb", "2"), ("e", "p", "3")]
+
+
 def test_matrix_with_unnamed_key(spark, tmp_path):
     path = save(tmp_path / "m.csv", ",A_up,B_up,C\nC1,1.5,NA,x\nC2,1000000,2,y\n")
     df = readers.read_matrix(spark, path, ["A_up", "B_up"])
@@ -41,10 +56,11 @@ def test_matrix_with_unnamed_key(spark, tmp_path):
 
 
 def test_write_and_read_back(spark, tmp_path):
-    df = spark.createDataFrame([("1-1-1", 1.5), ("2", None)], "CASN string, x double")
+    df = spark.createDataFrame([("1-1-1", 1e-5), ("2", None), ("3", 33.0)], "CASN string, x double")
     writers.write_published(df, str(tmp_path / "out"), guard="CASN")
     back = readers.typed(readers.read_delimited(spark, str(tmp_path / "out")), {"x": "double"})
-    assert rows(back) == [("'1-1-1", 1.5), ("'2", None)]
+    assert rows(back) == [("'1-1-1", 1e-5), ("'2", None), ("'3", 33.0)]
+    assert rows(readers.read_delimited(spark, str(tmp_path / "out")), "x") == [("0.00001",), ("33",), (None,)]
     writers.write_stage(df, str(tmp_path / "stage"))
     assert rows(spark.read.parquet(str(tmp_path / "stage"))) == rows(df)
     assert rows(readers.land(df, str(tmp_path / "landed"))) == rows(df)

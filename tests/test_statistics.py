@@ -1,3 +1,4 @@
+import decimal
 import math
 
 import numpy as np
@@ -22,20 +23,42 @@ def test_t_tail(spark):
     cases = [(t, n) for t in (0.0, 0.3, 1.7, 4.0) for n in (1, 2, 3, 4, 9, 10, 271, 5000, 9999, 10000, 10001, 50000)]
     df = spark.createDataFrame(cases, "t double, n int")
     for r in df.select("t", "n", statistics.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect():
-        assert r["p"] == pytest.approx(t_tail(r["t"], r["n"]), abs=2e-10), (r["t"], r["n"])
+        assert r["p"] == pytest.approx(t_tail(r["t"], r["n"]), rel=1e-9), (r["t"], r["n"])
+
+
+def beta_series(t, n):
+    """The same tail by the incomplete beta function's series of positive terms, in 50 digits; for t*t near n or above."""
+    with decimal.localcontext() as context:
+        context.prec = 50
+        a, root_pi = decimal.Decimal(n) / 2, decimal.Decimal("1.7724538509055160272981674833411451827975494561224")
+        ratio, k = (root_pi / 2, decimal.Decimal(1)) if n % 2 == 0 else (1 / root_pi, decimal.Decimal("0.5"))
+        while k < a:
+            ratio, k = ratio * (k + decimal.Decimal("0.5")) / k, k + 1
+        x = n / (n + decimal.Decimal(t) ** 2)
+        term, total = decimal.Decimal(1), decimal.Decimal(0)
+        for j in range(20000):
+            total += term / (a + j)
+            term *= (j + decimal.Decimal("0.5")) / (j + 1) * x
+        return float((x.ln() * a).exp() * ratio / root_pi * total)
 
 
 def test_t_tail_extremes(spark):
-    df = spark.createDataFrame([(float("inf"), 5), (60.0, 20000), (6.0, 20000), (60.0, 300)], "t double, n int")
+    cases = [(12.0, 180), (20.0, 300), (9.0, 180), (60.0, 300), (36.0, 20000), (200.0, 1), (1.5, 2), (1e6, 3)]
+    df = spark.createDataFrame(cases + [(float("inf"), 5), (60.0, 20000)], "t double, n int")
     got = [r[0] for r in df.select(statistics.t_two_sided(F.col("t"), F.col("n"))).collect()]
-    assert got[0] == 0.0 and got[1] == 0.0 and got[2] == pytest.approx(t_tail(6.0, 20000), rel=1e-6) and 0 <= got[3] < 1e-12
+    assert got[-2:] == [0.0, 0.0]
+    for (t, n), p in zip(cases, got):
+        assert p == pytest.approx(beta_series(t, n), rel=1e-11), (t, n)
 
 
 def test_t_quantile(spark):
-    df = spark.createDataFrame([(1,), (2,), (10,), (200,), (201,), (10000,)], "n int")
+    df = spark.createDataFrame([(1,), (2,), (10,), (200,), (201,), (10000,), (10 ** 9,)], "n int")
     got = [r[0] for r in df.select(statistics.t_quantile(F.col("n"), 0.95)).collect()]
-    want = [12.706204736, 4.302652730, 2.228138852, 1.971896224, 1.971837, 1.960201]
-    assert got == pytest.approx(want, abs=1e-5)
+    want = [12.7062047362, 4.3026527297, 2.2281388520, 1.9718962236, 1.9718365, 1.9602012, 1.9599639869]
+    assert got == pytest.approx(want, abs=1e-7)
+    for level in (0.2, 0.9999):
+        back = df.select(statistics.t_two_sided(statistics.t_quantile(F.col("n"), level), F.col("n"))).collect()
+        assert [r[0] for r in back] == pytest.approx([1 - level] * 7, rel=1e-11)
 
 
 def test_pearson(spark):

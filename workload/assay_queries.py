@@ -57,7 +57,7 @@ def directions(marked: DataFrame) -> DataFrame:
 
 
 def effects(marked: DataFrame) -> DataFrame:
-    return assay.lec_mfc(marked, KEYS, slots=SLOTS)
+    return assay.lec_mfc(marked, KEYS)
 
 
 def respond(marked: DataFrame) -> DataFrame:
@@ -101,30 +101,18 @@ HITS = FOLDS + """, hits AS (
   SELECT chem, channel, CAST(sign(sum(hitd)) AS INTEGER) AS direction FROM hits GROUP BY 1, 2)"""
 
 
-def _slot_columns(field: str) -> str:
-    return ", ".join(f"max(CASE WHEN dose_level = {k} THEN {field} END) AS {field}_{k}" for k in range(1, SLOTS + 1))
-
-
-def _verdict(k: int) -> str:
-    if k == 1:
-        return "hitd_1 = 1 AND hitd_2 = 1"
-    if k == SLOTS:
-        return f"hitd_{k} = 1"
-    return f"hitd_{k} = 1 AND (hitd_{k-1} = 1 OR hitd_{k+1} IS NULL OR hitd_{k+1} = 1)"
-
-
-WIDE = HITS + f""", wide AS (
-  SELECT chem, channel, plate, {_slot_columns('hitd')}, {_slot_columns('conc')}, {_slot_columns('foldchange')}
-  FROM hits GROUP BY 1, 2, 3), slots AS (
-  """ + " UNION ALL ".join(
-    f"SELECT chem, channel, plate, {k} AS dose_level, hitd_{k} AS hitd, conc_{k} AS conc, "
-    f"foldchange_{k} AS foldchange, coalesce({_verdict(k)}, false) AS counts FROM wide" for k in range(1, SLOTS + 1)
-) + ")"
-EFFECTS = WIDE + """, effects AS (
+# the doses before and after, joined by their numbers
+NEIGHBOURS = HITS + """, doses AS (
+  SELECT h.chem, h.channel, h.plate, h.dose_level, h.hitd, h.conc, h.foldchange,
+         coalesce(h.hitd = 1 AND (b.hitd = 1 OR a.hitd = 1 OR (h.dose_level > 1 AND a.hitd IS NULL)), false) AS counts
+  FROM hits h
+  LEFT JOIN hits b ON b.chem = h.chem AND b.channel = h.channel AND b.plate = h.plate AND b.dose_level = h.dose_level - 1
+  LEFT JOIN hits a ON a.chem = h.chem AND a.channel = h.channel AND a.plate = h.plate AND a.dose_level = h.dose_level + 1)"""
+EFFECTS = NEIGHBOURS + """, effects AS (
   SELECT chem, channel, plate,
          coalesce(max(CASE WHEN counts THEN foldchange END), CAST('-inf' AS DOUBLE)) AS "MFC",
          coalesce(min(CASE WHEN counts THEN conc END), CAST('inf' AS DOUBLE)) AS "LEC"
-  FROM slots GROUP BY 1, 2, 3)"""
+  FROM doses GROUP BY 1, 2, 3)"""
 RESPOND = EFFECTS + """, respond AS (
   SELECT e.chem, e.plate,
          max(CASE WHEN e.channel = 'A' THEN "LEC" END) AS "LEC_A", max(CASE WHEN e.channel = 'N' THEN "LEC" END) AS "LEC_N",
@@ -199,32 +187,36 @@ def direction_unpivot(spark, folder):
 
 def hit_vectors(spark, folder) -> DataFrame:
     """Packed hit vectors as far as the last tested dose, one column per channel."""
-    packed = assay.dose_slots(hits(spark, folder), KEYS, "dose_level", ["hitd"], SLOTS)
-    last = F.array_max(F.transform(F.filter("slots", lambda s: s["hitd"].isNotNull()), lambda s: s["dose"]))
-    texts = F.transform(F.slice("slots", F.lit(1), last), lambda s: F.coalesce(s["hitd"].cast("string"), F.lit("NA")))
-    vectors = packed.select(*KEYS, F.concat(F.lit("c("), F.array_join(texts, ", "), F.lit(")")).alias("v"))
+    marked = hits(spark, folder).where("hitd IS NOT NULL").groupBy(*KEYS).agg(
+        F.map_from_entries(F.collect_list(F.struct("dose_level", F.col("hitd").cast("string")))).alias("h"),
+        F.max("dose_level").alias("last"),
+    )
+    texts = F.transform(F.sequence(F.lit(1), F.col("last").cast("int")), lambda k: F.coalesce(F.col("h")[k], F.lit("NA")))
+    vectors = marked.select(*KEYS, F.concat(F.lit("c("), F.array_join(texts, ", "), F.lit(")")).alias("v"))
     return widen(vectors, ["chem", "plate"], "channel", ["A", "N", "R"], ["v"])
 
 
 @query("hits_unpack", f"""
-WITH {WIDE}, v AS (
-  SELECT chem, plate, channel,
-         greatest({', '.join(f'CASE WHEN hitd_{k} IS NOT NULL THEN {k} END' for k in range(1, SLOTS + 1))}) AS last,
-         [{', '.join(f'hitd_{k}' for k in range(1, SLOTS + 1))}] AS h FROM wide),
-grid AS (SELECT DISTINCT chem, plate FROM wide)
-SELECT g.chem, g.plate, c.channel,
-       'c(' || array_to_string(list_transform(v.h[1:v.last], lambda e: coalesce(CAST(e AS VARCHAR), 'NA')), ', ') || ')'
-         AS hits,
-       CAST(d.k AS INTEGER) AS dose_level, CAST(v.h[d.k] AS DOUBLE) AS hit
+WITH {HITS}, v AS (
+  SELECT chem, plate, channel, max(CASE WHEN hitd IS NOT NULL THEN dose_level END) AS last FROM hits GROUP BY 1, 2, 3),
+packed AS (
+  SELECT v.chem, v.plate, v.channel,
+         'c(' || string_agg(coalesce(CAST(h.hitd AS VARCHAR), 'NA'), ', ' ORDER BY k) || ')' AS hits
+  FROM (SELECT *, unnest(range(1, last + 1)) AS k FROM v) v
+  LEFT JOIN hits h ON h.chem = v.chem AND h.plate = v.plate AND h.channel = v.channel AND h.dose_level = v.k
+  GROUP BY 1, 2, 3),
+grid AS (SELECT DISTINCT chem, plate FROM v WHERE last IS NOT NULL)
+SELECT g.chem, g.plate, c.channel, p.hits, CAST(d.k AS INTEGER) AS dose_level, CAST(h.hitd AS DOUBLE) AS hit
 FROM grid g CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(channel) CROSS JOIN range(1, {SLOTS + 1}) d(k)
-LEFT JOIN v ON v.chem = g.chem AND v.plate = g.plate AND v.channel = c.channel""")
+LEFT JOIN packed p ON p.chem = g.chem AND p.plate = g.plate AND p.channel = c.channel
+LEFT JOIN hits h ON h.chem = g.chem AND h.plate = g.plate AND h.channel = c.channel AND h.dose_level = d.k""")
 def hits_unpack(spark, folder):
     return assay.unpack_hits(hit_vectors(spark, folder), ["chem", "plate"], ["A", "N", "R"], "channel", SLOTS)
 
 
-@query("consecutive_hits", f"WITH {WIDE} SELECT * FROM slots")
+@query("consecutive_hits", f"WITH {NEIGHBOURS} SELECT * FROM doses")
 def consecutive_hits(spark, folder):
-    return assay.consecutive_hits(hits(spark, folder), KEYS, slots=SLOTS)
+    return assay.consecutive_hits(hits(spark, folder), KEYS)
 
 
 @query("lec_mfc", f"WITH {EFFECTS} SELECT * FROM effects")

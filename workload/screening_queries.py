@@ -462,16 +462,19 @@ def source_hormone_counts(spark, folder):
     return plain(charts.source_hormone_counts(charts.source_long(clustered, keys), keys))
 
 
-@query("use_hormone_counts", f"""WITH {RANKED}, input AS (SELECT CAST(p_partkey AS VARCHAR) AS key,
+@query("use_hormone_counts", f"""WITH {UPDATED}, input AS (SELECT CAST(p_partkey AS VARCHAR) AS key,
   {case_sql("split_part(p_name, ' ', 2)", USES)} || ', ' || p_type AS txt, ',' AS sep FROM part), {TOKENS},
 sets AS (SELECT chemical_name, key, value, string_agg(hormone, ', ' ORDER BY hormone) AS hormones
-  FROM (SELECT DISTINCT chemical_name, casn, hormone FROM ranked) JOIN tokens ON key = casn GROUP BY 1, 2, 3)
+  FROM (SELECT DISTINCT chemical_name, casn, hormone FROM updated WHERE efficacy_potency IS NOT NULL AND (
+    """ + " OR ".join(f"{v} IN ('1', '1*')" for v in CATEGORY_SQL.values()) + """)) JOIN tokens ON key = casn GROUP BY 1, 2, 3)
 SELECT hormones, value, count(*) AS n, replace(hormones, 'Estradiol, Progesterone', 'Both') AS hormone_set
 FROM sets GROUP BY 1, 2""")
 def use_hormone_counts(spark, folder):
+    keys = ["Chemical name", "CASN"]
+    clustered = updated(spark, folder).where(quoted("Efficacy/potency").isNotNull())
     texts = part(spark, folder).select(F.col("casn").alias("casrn"), F.concat_ws(
         ", ", txt.recode(txt.term("p_name", 1, " "), USES), F.col("p_type")
     ).alias("Other"))
     return plain(charts.use_hormone_counts(
-        exposure.use_tokens(texts), ranked(spark, folder), "casrn", ["Chemical name", "CASN"], "CASN"
+        exposure.use_tokens(texts), charts.source_long(clustered, keys), "casrn", keys, "CASN"
     ))

@@ -45,6 +45,22 @@ def read_tildes(spark, folder):
     return readers.read_tildes(spark, _written(rows, "~", quote=""))
 
 
+@query("read_skipped", """SELECT 'C' || c_custkey AS code, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN 'List of names' END
+  AS note FROM customer""")
+def read_skipped(spark, folder):
+    """Several files, each with a title of two lines; the title's text comes again as data, the first column is unnamed."""
+    lines = table(spark, folder, "customer").repartition(4, "c_custkey").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias(""), F.col("c_name").alias("name"),
+        F.when(F.col("c_custkey") % 3 > 0, "List of names").alias("note"),
+    )
+    bare = _written(lines, ",")
+    path = _folder(spark)
+    spark.read.text(bare, wholetext=True).select(
+        F.concat(F.lit("List of names\n\n"), F.col("value")).alias("value")
+    ).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_commas(spark, path, skip=2)
+
+
 @query("read_matrix", """SELECT 'C' || p_partkey AS code, CASE WHEN p_size > 5 THEN p_retailprice END AS "A_up",
   CAST(p_size AS DOUBLE) AS "B_up" FROM part""")
 def read_matrix(spark, folder):

@@ -50,6 +50,28 @@ def pearson_test(spark, folder):
     return rounded(out, 9).withColumns({"t": F.round("t", 6), "p_value": F.round("p_value", 6)})
 
 
+# tail of Student's distribution as the incomplete beta function's series of positive terms
+STRONG = """WITH g AS (
+  SELECT l_partkey, count(*) AS n, corr(l_extendedprice * (1 - l_discount), l_quantity) AS r FROM lineitem GROUP BY 1
+  HAVING count(*) >= 3),
+s AS (SELECT l_partkey, n, r, (n - 2) / 2.0 AS a, 1 - r * r AS x FROM g WHERE abs(r) >= 0.5),
+t AS (SELECT l_partkey, any_value(n) AS n, any_value(r) AS r, any_value(a) AS a, any_value(x) AS x,
+      sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + k * ln(x)) / (a + k)) AS series
+  FROM (SELECT *, unnest(range(0, 200)) AS k FROM s) GROUP BY 1)
+SELECT l_partkey, n, round(r, 9) AS r,
+  round((a * ln(x) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + ln(series)) / ln(10), 6) AS log10_p FROM t"""
+
+
+@query("pearson_strong", STRONG)
+def pearson_strong(spark, folder):
+    """Parts whose net price goes with the quantity, and how surely: p values of many magnitudes."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_partkey", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")
+    )
+    out = statistics.pearson_test(rows, ["l_partkey"], "l_quantity", "net").where(F.abs("r") >= 0.5)
+    return out.select("l_partkey", "n", F.round("r", 9).alias("r"), F.round(F.log10("p_value"), 6).alias("log10_p"))
+
+
 @query("regression_line", f"""WITH {LINES} SELECT l_returnflag, measure, n, round(slope, 9) AS slope,
   round(intercept, 6) AS intercept, round(se, 6) AS residual_error, round(se / sqrt(sxx), 9) AS slope_error FROM lines""")
 def regression_line(spark, folder):
