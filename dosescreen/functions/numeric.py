@@ -47,16 +47,6 @@ def log10(x: Column | str) -> Column:
     return F.when(x == 0, F.lit(-INF)).when(x == INF, F.lit(INF)).when(x > 0, F.log10(x))
 
 
-def row_max(*cols: Column | str) -> Column:
-    """Largest value in the row, NULLs skipped; -Infinity if every value is NULL."""
-    return F.greatest(F.lit(-INF), *[col(c).cast("double") for c in cols])
-
-
-def row_min(*cols: Column | str) -> Column:
-    """Smallest value in the row, NULLs skipped; +Infinity if every value is NULL."""
-    return F.least(F.lit(INF), *[col(c).cast("double") for c in cols])
-
-
 def row_max_strict(*cols: Column | str) -> Column:
     """Largest value in the row, NULL as soon as one value is NULL."""
     cols = [col(c) for c in cols]

@@ -94,9 +94,3 @@ def abbreviate(text: Column | str, replacements) -> Column:
 def day_month_year(text: Column | str, corrections: dict[str, str] | None = None) -> Column:
     """Parse ``02Jul2014``-like dates after literal corrections; unreadable text gives NULL."""
     return F.try_to_date(recode(text, corrections or {}), "ddMMMyyyy")
-
-
-def join_present(*cols: Column | str, sep: str = ", ") -> Column:
-    """Join the non-NULL values of a row."""
-    return F.concat_ws(sep, *[col(c) for c in cols])
-

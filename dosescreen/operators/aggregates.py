@@ -48,9 +48,3 @@ def collapse_all(df: DataFrame, keys: list[str], value: str, out: str, sep: str
 def has_any(test: Column) -> Column:
     """True if a row of the group meets the condition; NULL conditions count as false."""
     return F.coalesce(F.max(F.coalesce(test, F.lit(False))), F.lit(False))
-
-
-def groups_without(df: DataFrame, keys: list[str], test: Column) -> DataFrame:
-    """Keys of the groups in which no row meets the condition."""
-    found = df.groupBy(*[named(k) for k in keys]).agg(has_any(test).alias("__any"))
-    return found.where(~F.col("__any")).drop("__any")

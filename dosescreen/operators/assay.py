@@ -151,11 +151,10 @@ def lec_mfc(
     )
 
 
-def tested_range(conc: DataFrame, keys: list[str], value: str = "conc", dose: str = "dose_level") -> DataFrame:
-    """Concentration at the highest and at the lowest dose level, in one aggregation; NULL levels take no part."""
+def tested_range(conc: DataFrame, keys: list[str], value: str = "conc") -> DataFrame:
+    """Largest and smallest concentration, the ends of the dose order, in one aggregation; NULL takes no part."""
     return conc.groupBy(*[named(k) for k in keys]).agg(
-        F.max_by(quoted(value), quoted(dose)).alias("max_tested_conc"),
-        F.min_by(quoted(value), quoted(dose)).alias("min_tested_conc"),
+        F.max(quoted(value)).alias("max_tested_conc"), F.min(quoted(value)).alias("min_tested_conc")
     )
 
 

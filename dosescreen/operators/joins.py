@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 from dosescreen.operators.reshape import named, quoted
 
 
-def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
-    """Columns both sides have; these are the keys of a natural join and should be written out by the caller."""
-    return [c for c in left.columns if c in right.columns]
-
-
 def join_on(
     left: DataFrame,
     right: DataFrame,

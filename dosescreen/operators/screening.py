@@ -178,12 +178,12 @@ def override_labels(cluster: Column, chem: Column, substrates=None) -> Column:
     ).otherwise(F.coalesce(cluster, F.lit(fixed.BORDERLINE_LABEL)))
 
 
-def final_tables(table: DataFrame) -> dict[str, DataFrame]:
+def final_tables(table: DataFrame, substrates: list[str] | None = None) -> dict[str, DataFrame]:
     """The published table of each hormone: fixed names and column order, the other hormone's direction renamed."""
     fixed_spelling = {fixed.TOXICITY_SUMMARY: "Developmental or reproductive toxicity (Summary)"}
     named = rename(rename(table, fixed_spelling), fixed.PUBLISHED_NAMES)
     laid_out = pick(named, fixed.PUBLISHED_COLUMNS).withColumn(
-        "Efficacy/potency", override_labels(quoted("Efficacy/potency"), F.col("CASN"))
+        "Efficacy/potency", override_labels(quoted("Efficacy/potency"), F.col("CASN"), substrates)
     )
     out = {}
     for hormone, other in ((fixed.ESTRADIOL, fixed.PROGESTERONE), (fixed.PROGESTERONE, fixed.ESTRADIOL)):

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from dosescreen import fixed_values as fixed
 from dosescreen.functions import numeric as num
-from dosescreen.operators import assay, evidence, exposure, quality, screening
+from dosescreen.operators import assay, charts, evidence, exposure, quality, screening, statistics
 from dosescreen.operators.aggregates import distinct_by
-from dosescreen.operators.joins import join_on
-from dosescreen.operators.reshape import column_range, pick, quoted, rename
+from dosescreen.operators.joins import join_on, member_of
+from dosescreen.operators.reshape import column_range, pick, quoted, rename, unpivot
 from dosescreen.session import cut_lineage
 
 PLATE = "date_chnm_plate"
@@ -23,10 +23,16 @@ PLATE = "date_chnm_plate"
 def potency(
     direction: DataFrame, hits: DataFrame, concentrations: DataFrame, wells: DataFrame, distances: DataFrame,
     ac50: DataFrame, substances: DataFrame, predictions: DataFrame, check: bool = False,
+    known_gaps: DataFrame | None = None,
 ) -> DataFrame:
-    """Chemicals that raise a hormone: LEC, MFC, hits, tested range, directions, distance, AC50, predicted intake."""
+    """Chemicals that raise a hormone: LEC, MFC, hits, tested range, directions, distance, AC50, predicted intake.
+
+    With ``check`` the tables must have what the joins rely on; ``known_gaps`` (chnm) lists who may lack a prediction.
+    """
     plates = [c for c in direction.columns if c != "steroid"]
     directions = assay.direction_table(direction, plates)
+    if check:
+        quality.require_unique(distinct_by(directions, ["chnm", PLATE]), ["chnm"])
     channels = column_range(hits, "OH-Pregnenolone", "Estradiol")
     ids = [PLATE, "chnm", "casn"]
     slots = assay.unpack_hits(pick(hits, ids + channels), ids, channels)
@@ -48,6 +54,9 @@ def potency(
         "control_bar", "control_flag_bar",
     )
     folds = assay.fold_change(means, controls, ["steroid", "date", "plate"])
+    if check:
+        unnamed = quality.null_count(means, ["chnm"]).exceptAll(quality.null_count(folds, ["chnm"]))
+        quality.require_empty(unnamed, "the controls change the number of wells without a name")
     folds = assay.dose_levels(folds, ["casn", "steroid", "plate", "date"])
     folds = pick(folds, ["casn", "steroid", "plate", "dose_level", "foldchange"])
     if check:
@@ -56,7 +65,7 @@ def potency(
 
     keys = [PLATE, "steroid", "direction", "plate", "chnm", "casn", "hits"]
     effects = assay.lec_mfc(combined.where(F.col("direction") == 1), keys)
-    tested = assay.tested_range(levels, [PLATE])
+    tested = assay.tested_range(pick(concentrations, [PLATE, "conc"]), [PLATE])
     ranged = join_on(effects, tested, [PLATE])
     chosen = assay.responders(
         ranged, directions, [PLATE, "plate", "chnm", "casn", "max_tested_conc", "min_tested_conc"], "chnm",
@@ -65,11 +74,17 @@ def potency(
     distanced = assay.attach_distance(chosen, distances, [PLATE, "chnm", "casn"], "adj_maxmMD")
     if check:
         quality.require_unique(substances, ["code"])
+        coded = join_on(pick(ac50, ["code"]), pick(substances, ["code", "casn"]), ["code"], "inner")
+        quality.require_unique(member_of(coded, "casn", distanced, "casn"), ["casn"])
     measured = assay.attach_matrix(
         distanced, ac50, substances, {c: f"AC50_{h}" for c, h in fixed.MATRIX_COLUMNS.items()}
     ).drop("adj_maxmMD_text", *[f"AC50_{h}_text" for h in fixed.CHANNELS])
     renamed = predictions.withColumn("chnm", assay.clean_names(F.col("Substance_Name")))
-    return assay.attach_prediction(measured, renamed, {"casn": "CAS", "chnm": "chnm"}, keep=("Pathway",))
+    potent = assay.attach_prediction(measured, renamed, {"casn": "CAS", "chnm": "chnm"}, keep=("Pathway",))
+    if check and known_gaps is not None:
+        gaps = quality.unexpected_nulls(potent, "seem3", "chnm", known_gaps, "chnm")
+        quality.require_empty(gaps, "chemicals without a prediction that are not known gaps")
+    return potent
 
 
 def sources(
@@ -109,8 +124,15 @@ def invivo(
 def integration(
     potent: DataFrame, tidy_sources: DataFrame, evidence_matrix: DataFrame, areas: DataFrame, pesticides: DataFrame,
     ac10: DataFrame, hit_calls: DataFrame, substances: DataFrame, drug_products: DataFrame, pesticide_status: DataFrame,
+    uses: DataFrame | None = None, check: bool = False,
 ) -> dict[str, DataFrame]:
-    """Integrated, ranked and prioritised tables, among them the two published ones."""
+    """Integrated, ranked and prioritised tables, the two published ones, correlations and the tables behind the charts.
+
+    ``uses`` is ``specific`` of :func:`sources`; without it there is no ``use_counts``.
+    """
+    if check:
+        for side, key in ((tidy_sources, "casrn"), (evidence_matrix, "casn"), (pesticides, "CASRN")):
+            quality.require_unique(side, [key])
     labelled = assay.label_areas(
         areas.withColumnRenamed("CASRN_Adj (4-30-21)", "CASRN"), "CASRN", "AUC.Agonist", "AUC.Antagonist"
     )
@@ -135,12 +157,25 @@ def integration(
     points = join_on(
         rename(points, {"AC10": "AC10_all"}), distinct_by(ranked, ["CASN", "hormone"]), ["CASN", "hormone"], "left_semi"
     )
-    updated = screening.annotate(table, assay_calls, rename(ranked, {"Chemical name": "Synonym"}))
+    long = unpivot(points, ["hormone", "LEC"], ["AC50_active", "AC10_all", "AC10_active"], "POD", "value")
+    updated = cut_lineage(screening.annotate(table, assay_calls, rename(ranked, {"Chemical name": "Synonym"})))
     ingredients = screening.ingredient_counts(drug_products)
     status = screening.active_products(updated, pesticide_status)
-    prioritised = screening.prioritise(updated, ingredients, status)
+    prioritised = cut_lineage(screening.prioritise(updated, ingredients, status))
     published = screening.final_tables(prioritised)
+    plotted = charts.plotted(ranked)
+    keys = ["Chemical name", "CASN"]
+    reported = charts.source_long(updated.where(quoted("Efficacy/potency").isNotNull()), keys)
+    figures = {
+        "correlations": statistics.pearson_test(long, ["hormone", "POD"], "LEC", "value"),
+        "bands": statistics.regression_band(long, ["hormone", "POD"], "LEC", "value"),
+        "cluster_sizes": charts.cluster_sizes(plotted), "labels": charts.label_window(plotted),
+        "exposure_bins": charts.exposure_bins(charts.hormone_sets(updated, [*keys, fixed.INTAKE])),
+        "source_counts": charts.source_hormone_counts(reported, keys),
+    }
+    if uses is not None:
+        figures["use_counts"] = charts.use_hormone_counts(uses, reported, "casrn", keys, "CASN")
     return {
         "table": table, "ranked": ranked, "points": points, "updated": updated, "ingredients": ingredients,
-        "pesticide_products": status, "prioritised": prioritised, **published,
+        "pesticide_products": status, "prioritised": prioritised, **published, **figures,
     }

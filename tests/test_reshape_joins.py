@@ -77,11 +77,6 @@ def test_collapse(spark):
     assert rows(aggregates.collapse_distinct(df, ["k"], "v", "o")) == [("k", "a, b"), ("m", "")]
 
 
-def test_groups_without(spark):
-    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", None)], "k string, f int")
-    assert rows(aggregates.groups_without(df, ["k"], df.f == 1)) == [("b",), ("c",)]
-
-
 def test_quality_reports(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "x"), ("b", None)], "k string, v string")
     right = spark.createDataFrame([("a",), ("a",), ("c",)], "k string")

@@ -12,8 +12,7 @@ B1 = "20130321_Beta_x_Plate1"
 DOSES = [0.1, 0.5, 1.0, 5.0, 10.0, 50.0]
 
 
-@pytest.fixture(scope="module")
-def potent(spark):
+def study(spark):
     # Alpha raises estradiol on its first plate; Beta_x raises both; the second plate of Alpha is ignored
     direction = spark.createDataFrame(
         [("OH-Pregnenolone", 0, 0, 0), ("Progesterone", 0, 1, 1), ("Estradiol", 1, -1, 1)],
@@ -45,7 +44,30 @@ def potent(spark):
                                        "chnm string, casn string, code string")
     predictions = spark.createDataFrame([("1-1-1", '"Alpha"', 0.01, 0.02345, "All Four")],
         "CAS string, Substance_Name string, seem3 double, `seem3.u95` double, Pathway string")
-    return stages.potency(direction, hits, conc, wells, distances, ac50, substances, predictions, check=True).cache()
+    return {"direction": direction, "hits": hits, "concentrations": conc, "wells": wells, "distances": distances,
+            "ac50": ac50, "substances": substances, "predictions": predictions}
+
+
+@pytest.fixture(scope="module")
+def potent(spark):
+    gaps = spark.createDataFrame([("Beta_x",)], "chnm string")
+    return stages.potency(**study(spark), check=True, known_gaps=gaps).cache()
+
+
+@pytest.mark.parametrize("broken, message", [
+    ({"direction": lambda d: d.withColumn("20140702_Alpha_Plate1", F.col(P1))}, "chnm.* not unique"),
+    ({"concentrations": lambda d: d.union(d)}, "dose_level.* not unique"),
+    ({"wells": lambda d: d.union(d.withColumn("apid", F.lit("20130321.x.1")))}, "foldchange|dose_level.* not unique"),
+    ({"substances": lambda d: d.union(d)}, "code.* not unique"),
+    ({"ac50": lambda d: d.union(d)}, "casn.* not unique"),
+    ({}, "known gaps"),
+])
+def test_potency_checks(spark, broken, message):
+    tables = study(spark)
+    for name, spoil in broken.items():
+        tables[name] = spoil(tables[name])
+    with pytest.raises(ValueError, match=message):
+        stages.potency(**tables, check=True, known_gaps=spark.createDataFrame([], "chnm string"))
 
 
 def test_potency(potent):
@@ -113,7 +135,7 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
     drugs = spark.createDataFrame([("ALPHA; OMEGA", "RX")], "Ingredient string, Type string")
     status = spark.createDataFrame([("2-2-2", 3.0, None)], "CASN string, `Active products` double, `Not active products` double")
     out = stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], areas, pesticides, ac10, calls,
-                             substances, drugs, status)
+                             substances, drugs, status, uses=exposure_tables["specific"], check=True)
     e2, p4 = out[fixed.ESTRADIOL], out[fixed.PROGESTERONE]
     assert len(e2.columns) == 39 and len(p4.columns) == 39
     assert "Direction of P4 synthesis" in e2.columns and "Direction of E2 synthesis" in p4.columns
@@ -128,3 +150,16 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
     assert rows(p4, "CASN", "Efficacy/potency") == [("2-2-2", "borderline active")]
     assert rows(out["points"], "CASN", "hormone", "AC10_active") == [("1-1-1", "Estradiol", 1.0)]
     assert out["ingredients"].where(F.col("ingredients") == "omega").count() == 1
+    # one complete pair per hormone at most: counted, not tested
+    assert {(r["hormone"], r["POD"]): r["n"] for r in out["correlations"].collect()} == {
+        ("Estradiol", "AC50_active"): 1, ("Estradiol", "AC10_all"): 1, ("Estradiol", "AC10_active"): 1}
+    assert out["bands"].count() == 0
+    assert rows(out["cluster_sizes"]) == [("Estradiol", "lower", 1)]
+    assert rows(out["source_counts"], "category", "hormones", "n") == [
+        ("Consumer", "Estradiol", 1), ("Diet", "Estradiol", 1), ("Industrial", "Estradiol", 1), ("Pest.", "Estradiol", 1)]
+    assert rows(out["use_counts"], "value", "Hormone_set", "n") == [("Fragrance", "Estradiol", 1), ("Hair dye", "Estradiol", 1)]
+    assert rows(out["labels"], "CASN", "cluster") == [("1-1-1", "lower")]
+    assert out["exposure_bins"].count() <= 1
+    with pytest.raises(ValueError, match="not unique"):
+        stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], areas, pesticides.union(pesticides),
+                           ac10, calls, substances, drugs, status, check=True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dosescreen.functions import numeric as num
 from dosescreen.operators import assay, ranking
 from dosescreen.operators.joins import join_on
-from dosescreen.operators.reshape import unpivot, unpivot_groups, widen
+from dosescreen.operators.reshape import column_range, split_columns, unpivot, unpivot_groups, widen
 from dosescreen.session import cut_lineage
 from workload.registry import query, table
 
@@ -228,8 +228,7 @@ def lec_mfc(spark, folder):
 SELECT l_partkey AS chem, l_returnflag AS channel, max(l_quantity) AS max_tested_conc, min(l_quantity) AS min_tested_conc
 FROM lineitem GROUP BY 1, 2""")
 def tested_range(spark, folder):
-    levels = assay.dose_levels(wells(spark, folder).select("chem", "channel", "conc"), ["chem", "channel"])
-    return assay.tested_range(levels, ["chem", "channel"])
+    return assay.tested_range(wells(spark, folder).select("chem", "channel", "conc"), ["chem", "channel"])
 
 
 @query("responders_wide", f"WITH {RESPOND} SELECT * FROM respond")
@@ -352,3 +351,61 @@ def bioactivity_label(spark, folder):
         F.col("l_partkey").alias("chem"), F.col("l_discount").alias("agonist"), F.col("l_tax").alias("antagonist")
     )
     return assay.label_areas(areas, "chem", "agonist", "antagonist", "bioactivity")
+
+
+@query("tidy_wells", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN DATE '2013-03-20' WHEN o_orderkey % 11 > 0 THEN CAST(o_orderdate AS DATE) END
+  AS date, CAST(o_custkey AS DOUBLE) AS plate, CASE WHEN o_orderstatus IN ('F', 'P') THEN 1 ELSE 0 END AS flag FROM orders""")
+def tidy_wells(spark, folder):
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    day = F.when(key % 7 == 0, "20130320").when(key % 11 == 0, "no date").otherwise(F.date_format("o_orderdate", "ddMMMyyyy"))
+    rows = table(spark, folder, "orders").select(
+        key, F.concat(day, F.lit(".x."), F.col("o_custkey").cast("string")).alias("apid"),
+        F.when(status == "F", "ND").when(status == "P", "NQ").otherwise(F.col("o_totalprice").cast("string")).alias("ceetox_raw"),
+    )
+    return assay.tidy_wells(rows).select("o_orderkey", "date", "plate", "flag")
+
+
+# plate ids of two chemicals: one with plates 10 and 2, one with two plates 3
+PLATES = {1: "20130320_a_b_Plate10", 2: "20130320_a_b_Plate2", 3: "20130321_c_Plate3", 4: "20140702_c_Plate3"}
+
+
+@query("direction_table", " UNION ALL ".join(
+    f"""SELECT l_partkey, l_returnflag AS steroid, '{name}' AS date_chnm_plate, '{name.split('_')[0]}' AS date, '{chem}' AS chnm,
+  CAST({plate} AS DOUBLE) AS plate, sum(CASE WHEN l_linenumber = {k} AND l_discount > 0.05 THEN 1 ELSE 0 END) % 3 - 1 AS direction
+  FROM lineitem GROUP BY 1, 2""" for k, (name, chem, plate) in {
+      2: (PLATES[2], "a_b", 2), 3: (PLATES[3], "c", 3), 4: (PLATES[4], "c", 3)}.items()))
+def direction_table(spark, folder):
+    ways = table(spark, folder, "lineitem").groupBy("l_partkey", F.col("l_returnflag").alias("steroid")).agg(*[
+        (F.count_if((F.col("l_linenumber") == k) & (F.col("l_discount") > 0.05)) % 3 - 1).alias(name)
+        for k, name in PLATES.items()
+    ])
+    keyed = ways.select(F.struct("l_partkey", "steroid").alias("steroid"), *PLATES.values())
+    return assay.direction_table(keyed, list(PLATES.values())).select("steroid.*", "date_chnm_plate", "date", "chnm", "plate", "direction")
+
+
+@query("rank_key_join", """
+WITH a AS (SELECT l_partkey AS chem, l_quantity AS conc, rank() OVER (PARTITION BY l_partkey ORDER BY l_quantity)
+           + (count(*) OVER (PARTITION BY l_partkey, l_quantity) - 1) / 2.0 AS dose_level FROM lineitem),
+x AS (SELECT l_partkey AS chem, l_tax, rank() OVER (PARTITION BY l_partkey ORDER BY l_tax)
+      + (count(*) OVER (PARTITION BY l_partkey, l_tax) - 1) / 2.0 AS dose_level FROM lineitem),
+b AS (SELECT chem, dose_level, max(l_tax) AS conc FROM x GROUP BY 1, 2)
+SELECT a.chem, a.dose_level, a.conc AS conc_left, b.conc AS conc_right
+FROM a LEFT JOIN b ON a.chem = b.chem AND a.dose_level = b.dose_level""")
+def rank_key_join(spark, folder):
+    """Two series of a chemical joined by their ranks, halves included; both have a column of the same name."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("chem"), F.col("l_quantity").alias("conc"), "l_tax")
+    left = assay.dose_levels(rows.drop("l_tax"), ["chem"])
+    right = assay.dose_levels(rows.select("chem", F.col("l_tax").alias("conc")), ["chem"])
+    right = right.groupBy("chem", "dose_level").agg(F.max("conc").alias("conc"))
+    out = join_on(left, right, ["chem", "dose_level"], suffixes=("_left", "_right"))
+    return out.select("chem", "dose_level", "conc_left", "conc_right")
+
+
+@query("name_parts", """
+SELECT p_partkey, split_part(p_name, ' ', 1) AS first, nullif(split_part(p_name, ' ', 2), '') AS second,
+  nullif(split_part(p_name, ' ', 3), '') AS third, p_brand, p_type FROM part""")
+def name_parts(spark, folder):
+    parts = table(spark, folder, "part")
+    named_ = parts.select(*column_range(parts, "p_partkey", "p_type"))
+    return split_columns(named_, "p_name", ["first", "second", "third"], " ", remove=True)

@@ -140,7 +140,7 @@ def updated(spark, folder) -> DataFrame:
 
 def drug_products(spark, folder) -> DataFrame:
     return table(spark, folder, "part").select(
-        F.when(F.col("p_size") < 2, F.concat(F.upper("p_name"), F.lit("; "), F.col("p_brand"))).alias("Ingredient"),
+        F.concat(F.upper("p_name"), F.when(F.col("p_size") < 2, "; ").otherwise(" "), "p_brand").alias("Ingredient"),
         F.when(F.col("p_type") == "PROMO", fixed.DISCONTINUED).otherwise("RX").alias("Type"),
     )
 
@@ -237,8 +237,9 @@ updated AS (SELECT i.* EXCLUDE (auc_agonist, auc_antagonist, auc_bioactivity), a
   FROM integrated i LEFT JOIN ac10t a ON a.c = i.casn AND a.h = i.hormone
   LEFT JOIN ranked r ON r.casn = i.casn AND r.hormone = i.hormone)"""
 PRIORITISED = UPDATED + """, ingredients AS (
-  SELECT DISTINCT unnest(string_split(lower(upper(p_name) || '; ' || p_brand), '; ')) AS g FROM part
-  WHERE p_size < 2 AND p_type <> 'PROMO'),
+  SELECT DISTINCT unnest(string_split(
+    lower(upper(p_name) || CASE WHEN p_size < 2 THEN '; ' ELSE ' ' END || p_brand), '; ')) AS g FROM part
+  WHERE p_type <> 'PROMO'),
 p1 AS (SELECT *, CASE WHEN lower(chemical_name) IN (SELECT g FROM ingredients) THEN 'yes' ELSE 'no' END
     AS fda_approved_drug_products,
   CASE WHEN casn IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size > 40) THEN 'yes' ELSE 'no' END
