@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +46,7 @@ def use_checkpoints(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="dosescreen-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -58,15 +63,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> int:
-    """Delete the tables this session's :func:`cut_lineage` calls have left; returns how many there were."""
+def _stage_paths(spark: SparkSession):
+    """The file system of the checkpoint folder, and the written tables in it by path."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if not folder:
-        return 0
+        return None, {}
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
-    stages = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith(STAGE_PREFIX)]
-    for stage in stages:
+    found = [s.getPath() for s in files.listStatus(path)]
+    return files, {p.toString(): p for p in found if p.getName().startswith(STAGE_PREFIX)}
+
+
+def drop_stages(spark: SparkSession, keep: set[str] | None = None) -> int:
+    """Delete the tables this session's :func:`cut_lineage` calls have left, but for ``keep``; returns how many."""
+    files, stages = _stage_paths(spark)
+    dropped = [p for name, p in stages.items() if name not in (keep or set())]
+    for stage in dropped:
         files.delete(stage, True)
-    return len(stages)
+    return len(dropped)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut_lineage` writes inside the block are deleted at its end, also after a failure.
+
+    Results must be written or collected inside the block, since they read those tables. One block of a session runs at
+    a time.
+    """
+    before = set(_stage_paths(spark)[1])
+    try:
+        yield
+    finally:
+        drop_stages(spark, before)

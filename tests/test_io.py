@@ -1,4 +1,8 @@
-from dosescreen.session import cut_lineage
+import os
+
+import pytest
+
+from dosescreen.session import cut_lineage, scratch
 from dosescreen.sources import readers, writers
 from tests.conftest import rows
 
@@ -70,3 +74,13 @@ def test_cut_lineage_keeps_odd_names(spark):
     df = spark.createDataFrame([(1, "a")], "`No effect >= 100 mg/kg-day (Db), {x}` int, `Cons.` string")
     cut = cut_lineage(df)
     assert cut.columns == df.columns and rows(cut) == rows(df)
+
+
+def test_scratch_tables_go_after_a_failure(spark):
+    kept = cut_lineage(spark.range(3))
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        inside = cut_lineage(spark.range(5))
+        assert inside.count() == 5
+        1 / 0
+    assert kept.count() == 3
+    assert not os.path.exists(inside.inputFiles()[0].removeprefix("file://"))

@@ -371,6 +371,10 @@ def prioritise(spark, folder):
     return plain(prioritised(spark, folder))
 
 
+# part numbers that stand for the identifiers of hormones
+SUBSTRATES = [str(k) for k in range(3, 400, 7)]
+
+
 def published_sql(hormone: str, other: str) -> str:
     renamed = {
         "rank": "Efficacy/potency rank", "rank_percent": "Efficacy/potency percentile",
@@ -392,7 +396,9 @@ def published_sql(hormone: str, other: str) -> str:
         if name in ("hormone", hormone, other):
             continue
         if column == "efficacy_potency":
-            out.append("coalesce(efficacy_potency, 'borderline active') AS efficacy_potency")
+            listed = ", ".join(f"'{k}'" for k in SUBSTRATES)
+            out.append(f"CASE WHEN casn IN ({listed}) THEN 'hormone substrate' "
+                       "ELSE coalesce(efficacy_potency, 'borderline active') END AS efficacy_potency")
         else:
             out.append(f"{back[column]} AS {column}" if column in back else column)
     return f"WITH {PRIORITISED} SELECT {', '.join(out)} FROM prioritised WHERE hormone = '{hormone}'"
@@ -400,12 +406,12 @@ def published_sql(hormone: str, other: str) -> str:
 
 @query("final_table_estradiol", published_sql("Estradiol", "Progesterone"))
 def final_table_estradiol(spark, folder):
-    return plain(screening.final_tables(prioritised(spark, folder))[fixed.ESTRADIOL])
+    return plain(screening.final_tables(prioritised(spark, folder), SUBSTRATES)[fixed.ESTRADIOL])
 
 
 @query("final_table_progesterone", published_sql("Progesterone", "Estradiol"))
 def final_table_progesterone(spark, folder):
-    return plain(screening.final_tables(prioritised(spark, folder))[fixed.PROGESTERONE])
+    return plain(screening.final_tables(prioritised(spark, folder), SUBSTRATES)[fixed.PROGESTERONE])
 
 
 @query("cluster_sizes", f"""WITH {RANKED} SELECT hormone, cluster, count(*) AS n FROM ranked
