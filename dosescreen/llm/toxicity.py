@@ -1,12 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(threshold_k - w . x): one weight vector serves all thresholds, which are kept in order. Features
-are log(1 + count) of the lower-cased words of a text; the output is the expected severity, sum over k of P(grade > k).
+are log(1 + count) of the lower-cased words of a text and of their onsets, the first four to six characters of longer
+words, so that inflected and compound forms not seen in the sample count too. The output is the expected severity, sum
+over k of P(grade > k).
 
 Fitting uses a bounded sample: at most ``per_class`` labelled documents of each label value, those with the smallest
 hash of their id. The labels say only whether a document is toxic, so severity grades are set within the sample: a toxic
-document gets grade 1 to ``GRADES`` - 1 by how many words of it are clearly more frequent among toxic documents than
-among others. Scoring reads whole texts of all documents.
+document gets grade 1 to ``GRADES`` - 1 by how many of its features are clearly more frequent among toxic documents
+than among others. Scoring reads whole texts of all documents.
 
 Defined results: NULL or empty texts have no features and the severity of the empty text; rows are scored one by one, so
 repeated rows and NULL ids change nothing; labels that are NULL or without document are left out; without labelled
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import log1p
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +36,13 @@ GRADES = 4
 PER_CLASS = 3000
 LEAST_DOCS = 5
 WORD = re.compile(r"\w+")
+ONSETS = (4, 5, 6)
+#: Weight of the squared weights against the mean log likelihood.
+RIDGE = 4e-3
+#: Smaller weights count as none.
+LEAST_WEIGHT = 0.01
+#: Words whose features a scoring task keeps at hand.
+REMEMBERED = 200_000
 #: Documents whose expected severity reaches this are rejected.
 REJECT = 0.5
 
@@ -43,7 +53,12 @@ class Model(NamedTuple):
 
 
 def counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    """How often a text has each feature."""
+    found = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        for x in forms(word):
+            found[x] += n
+    return found
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id",
@@ -63,7 +78,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
 
 
 def grades(column: np.ndarray, row: np.ndarray, count: np.ndarray, toxic: np.ndarray, top: int = GRADES) -> np.ndarray:
-    """0 for documents that are not toxic, else 1 to ``top`` - 1 by the number of their telling words."""
+    """0 for documents that are not toxic, else 1 to ``top`` - 1 by the number of their telling features."""
     words = int(column.max(initial=-1)) + 1
     seen = [np.bincount(column[toxic[row] == t], minlength=words) for t in (0, 1)]
     share = [max(1, int((toxic == t).sum())) for t in (0, 1)]
@@ -78,8 +93,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(rows: Iterable[tuple[str, int]], top: int = GRADES, ridge: float = 2e-4, rounds: int = 200) -> Model:
-    """Fit by gradient descent with per-weight step sizes (Adam) on the mean log likelihood with a ridge penalty."""
+def fit(rows: Iterable[tuple[str, int]], top: int = GRADES, ridge: float = RIDGE, rounds: int = 200) -> Model:
+    """Fit by gradient descent on the mean log likelihood with a ridge penalty; steps are sized per weight (Adam) and
+    shrink to nothing over the rounds, so that the fit settles."""
     place: dict[str, int] = {}
     grown, columns, values = [], [], []
     for text, t in rows:
@@ -119,23 +135,35 @@ def fit(rows: Iterable[tuple[str, int]], top: int = GRADES, ridge: float = 2e-4,
                                 tail[1:] * np.exp(gaps)))
         moment[0] = 0.9 * moment[0] + 0.1 * slope
         moment[1] = 0.99 * moment[1] + 0.01 * slope ** 2
-        move = 0.1 * (moment[0] / (1 - 0.9 ** step)) / (np.sqrt(moment[1] / (1 - 0.99 ** step)) + 1e-8)
+        move = 0.1 * (1 - (step - 1) / rounds) * (moment[0] / (1 - 0.9 ** step)) / (np.sqrt(moment[1] / (1 - 0.99 ** step)) + 1e-8)
         w -= move[:len(place)]
         first -= move[len(place)]
         gaps -= move[len(place) + 1:]
-    return Model({x: float(w[i]) for x, i in place.items() if abs(w[i]) > 1e-3},
+    return Model({x: float(w[i]) for x, i in place.items() if abs(w[i]) > LEAST_WEIGHT},
                  tuple(float(c) for c in first + np.concatenate(([0], np.cumsum(np.exp(gaps))))))
 
 
-def severity(text: str | None, model: Model) -> float:
-    """Expected severity: the sum over the thresholds of the probability of a higher grade."""
-    known = model.weights
-    score, seen = 0.0, {}
-    for word in WORD.findall((text or "").lower()):
-        if word in known:
-            seen[word] = seen.get(word, 0) + 1
-    for word in sorted(seen):
-        score += known[word] * float(np.log1p(seen[word]))
+def forms(word: str) -> list[str]:
+    """A word and its onsets; onsets end in a mark that no word holds."""
+    return [word, *[word[:k] + "*" for k in ONSETS if len(word) > k]]
+
+
+def severity(text: str | None, model: Model, seen: dict[str, list[str]] | None = None) -> float:
+    """Expected severity: the sum over the thresholds of the probability of a higher grade.
+
+    ``seen`` remembers the known features of at most ``REMEMBERED`` words from one text to the next.
+    """
+    known, found = model.weights, {}
+    seen = {} if seen is None else seen
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        held = seen.get(word)
+        if held is None:
+            held = [x for x in forms(word) if x in known]
+            if len(seen) < REMEMBERED:
+                seen[word] = held
+        for x in held:
+            found[x] = found.get(x, 0) + n
+    score = sum([known[x] * log1p(n) for x, n in found.items()])
     return float(sum(sigmoid(np.array(score) - c) for c in model.thresholds))
 
 
@@ -147,9 +175,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[s
     schema = docs.select(*[f"`{c}`" for c in kept], F.lit(0.0).alias("severity")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = received(shared)
+        model, seen = received(shared), {}
         for batch in batches:
-            marks = [severity(t.as_py(), model) for t in batch.column(len(kept))]
+            marks = [severity(t.as_py(), model, seen) for t in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.float64())], batch.schema.names)
 
     return docs.mapInArrow(work, schema)

@@ -146,6 +146,13 @@ def test_toxicity_on_held_out_rows(docs):
     assert sum(marks) / len(marks) > 0.97
     assert model.thresholds == tuple(sorted(model.thresholds)) and len(model.thresholds) == 3
     assert toxicity.severity("vile vile foul foul nasty nasty", model) > toxicity.severity("vile", model)
+    assert set(toxicity.counts("Trash trashing trashing")) == {"trash", "tras*", "trashing", "trash*", "trashi*"}
+    assert toxicity.counts("trash trashing trashing")["trash*"] == 2
+    # compounds that the sample lacks are known by their onsets
+    forms = [(" ".join(prose(i, 40) + [f"schund{i % 50}"] * (2 * (i % 2))), i % 2) for i in range(400)]
+    unseen = toxicity.fit(forms)
+    assert toxicity.severity(" ".join(prose(9999, 40) + ["schundwerk", "schundblatt"]), unseen) >= toxicity.REJECT
+    assert toxicity.severity(" ".join(prose(9999, 40)), unseen) < toxicity.REJECT
     assert toxicity.fit([]).weights == {} and toxicity.severity("x", toxicity.fit([])) == 0
     assert toxicity.score(docs(EDGE), model).count() == len(EDGE)
 
