@@ -5,9 +5,10 @@ counted over all documents with map-side combining; those that repeat are writte
 both as plain tables, so that Spark can split a digest that a third of all lines has. Offsets are code points of the
 original text.
 
-Defined results: NULL and empty texts have no units; units of fewer than ``least`` words are never removed; occurrences
-rank by id (NULL last), then place; rows that repeat an id are the same document, its rows keep or lose a unit together;
-an empty table gives an empty result; further columns are ignored or, by :func:`removed`, kept.
+Defined results: NULL and empty texts have no units; units of fewer than ``least`` words are never removed, which by
+default are blank ones alone; occurrences rank by id (NULL last), then place; rows that repeat an id are the same
+document, its rows keep or lose a unit together; an empty table gives an empty result; further columns are ignored or,
+by :func:`removed`, kept.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from dosescreen.session import cut_lineage
 ship(__name__)
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")}
+#: The words that a unit of the query op1_repeated_lines has at least, as its SQL says.
 LEAST = 8
 LAST = (1 << 63) - 1
 
 
-def units(text: str | None, unit: str = "line", least: int = LEAST) -> Iterator[tuple[int, int, bytes]]:
+def units(text: str | None, unit: str = "line", least: int = 1) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of the units with at least ``least`` words."""
     for found in UNITS[unit].finditer(text or ""):
         words = found[0].lower().split()
@@ -38,7 +40,7 @@ def units(text: str | None, unit: str = "line", least: int = LEAST) -> Iterator[
             yield found.start(), found.end(), xxhash.xxh3_128_digest(" ".join(words))
 
 
-def occurrences(docs: DataFrame, unit: str = "line", least: int = LEAST, id_col: str = "doc_id",
+def occurrences(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(id, first, last, digest) of the units of all texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +56,7 @@ def occurrences(docs: DataFrame, unit: str = "line", least: int = LEAST, id_col:
     return slim.mapInArrow(work, "id long, first long, last long, digest binary")
 
 
-def repeats(docs: DataFrame, unit: str = "line", least: int = LEAST, id_col: str = "doc_id",
+def repeats(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """(id, first, last, kept_id, kept_first) of every unit to remove and of the earliest occurrence that stays."""
     found = cut_lineage(occurrences(docs, unit, least, id_col, text_col))
@@ -66,7 +68,7 @@ def repeats(docs: DataFrame, unit: str = "line", least: int = LEAST, id_col: str
         F.col("kept.first").alias("kept_first"))
 
 
-def removed(docs: DataFrame, unit: str = "line", least: int = LEAST, id_col: str = "doc_id",
+def removed(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``docs`` without repeated units and the line breaks after them."""
     spans = repeats(docs, unit, least, id_col, text_col).distinct().groupBy("id").agg(

@@ -37,13 +37,33 @@ SELECT doc_id, s AS start_pos, s + n AS end_pos, k.d AS kept_doc_id, k.s AS kept
 WHERE k.d <> doc_id OR k.s <> s"""
 
 
-@query("op1_repeated_lines", LINES_SQL)
-def op1_repeated_lines(spark, folder):
-    return lines.repeats(table(spark, folder, "documents")).select(
+def _repeated_lines(docs: DataFrame, least: int) -> DataFrame:
+    return lines.repeats(docs, least=least).select(
         F.col("id").alias("doc_id"), F.col("first").alias("start_pos"), F.col("last").alias("end_pos"),
         F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
 
 
+@query("op1_repeated_lines", LINES_SQL)
+def op1_repeated_lines(spark, folder):
+    return _repeated_lines(table(spark, folder, "documents"), lines.LEAST)
+
+
+#: Every line with a word in it, however short.
+ALL_LINES_SQL = """WITH cut AS (SELECT doc_id, l, i, l[i] AS line FROM (
+  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+units AS (SELECT doc_id, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: len(x) + 1)), 0) AS s, len(line) AS n,
+  trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit FROM cut),
+filled AS (SELECT * FROM units WHERE unit <> ''),
+kept AS (SELECT unit, min({'d': doc_id, 's': s}) AS k FROM filled GROUP BY unit)
+SELECT doc_id, s AS start_pos, s + n AS end_pos, k.d AS kept_doc_id, k.s AS kept_start FROM filled JOIN kept USING (unit)
+WHERE k.d <> doc_id OR k.s <> s"""
+
+
+@query("op1_all_repeated_lines", ALL_LINES_SQL)
+def op1_all_repeated_lines(spark, folder):
+    return _repeated_lines(table(spark, folder, "documents"), 1)
+
+
 @query("op2_embedding_collisions")
 def op2_embedding_collisions(spark, folder):
     return collisions.near_duplicates(table(spark, folder, "embeddings"))

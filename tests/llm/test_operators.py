@@ -52,6 +52,17 @@ def test_repeated_lines(docs):
     assert lines.repeats(docs([])).count() == 0
 
 
+def test_short_repeated_lines(docs):
+    mark = "Released under the MIT license."
+    rows = [*EDGE, (10, f"one\n{mark}\n \n"), (11, f"two\n \n{mark.lower()}"), (12, "One")]
+    found = {(r["id"], r["first"], r["last"], r["kept_id"], r["kept_first"]) for r in lines.repeats(docs(rows)).collect()}
+    n = len(mark)
+    assert found == {(11, 6, 6 + n, 10, 4), (12, 0, 3, 10, 0)}
+    left = {r["doc_id"]: r["text"] for r in lines.removed(docs(rows)).collect() if (r["doc_id"] or 0) >= 10}
+    assert left == {10: rows[-3][1], 11: "two\n \n", 12: ""}
+    assert lines.repeats(docs(rows), least=8).count() == 0
+
+
 def test_embeddings_against_brute_force(spark):
     draw = np.random.default_rng(3)
     base = draw.standard_normal((60, 16))
