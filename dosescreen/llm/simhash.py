@@ -10,8 +10,9 @@ group of near copies costs about as many links as it has members; a variant with
 fingerprints is dealt into blocks that meet in pairs.
 
 Defined results: a NULL, empty or blank text has fingerprint zero and links like any other; texts of fewer words than a
-shingle are one shingle; rows that repeat an id are rows of their own with the same id; NULL ids are kept and count
-towards no smallest id; an empty table gives an empty result; further columns are ignored.
+shingle are one shingle; rows that repeat an id are rows of their own with the same id; NULL ids count towards no
+smallest id, and :func:`keep_one` keeps a row without id if its group has no other row, or one row if none of them has an
+id; an empty table gives an empty result; further columns are ignored or, by :func:`keep_one`, kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dosescreen.llm.common import BLOCK, Forest, block_pairs, components, runs, ship
 from dosescreen.session import cut_lineage
@@ -151,11 +153,37 @@ def hexadecimal(mark: Column) -> Column:
     return F.lower(F.lpad(F.hex(mark), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE) -> DataFrame:
-    """``docs`` with the smallest id of every group of near-duplicates; rows that share an id stay or go together."""
-    found = near_duplicates(docs, id_col, text_col, most)
-    gone = cut_lineage(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone"))
-                       .distinct())
-    stay = cut_lineage(found.where(F.col("id") == F.col("component")).select(F.col("id").alias("__gone")).distinct())
-    gone = gone.join(stay, "__gone", "left_anti")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+def keep_rows(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows with the smallest id of every group; of a group without ids one row.
+
+    ``rows`` is a written table whose column ``__mark`` tells what a row is equal to, and ``groups`` has the
+    ``component`` of each linked mark (``vertex``). Rows of one group that share an id stay or go together.
+    """
+    marks = cut_lineage(rows.groupBy("__mark").agg(F.min(F.col(id_col).cast("long")).alias("first"), F.count("*").alias("n")))
+    owned = cut_lineage(marks.join(groups, marks["__mark"] == groups["vertex"], "left").select(
+        "__mark", "first", "n", F.coalesce("component", "__mark").alias("__group")))
+    least = cut_lineage(owned.groupBy("__group").agg(F.min("first").alias("__first"), F.sum("n").alias("__n"))
+                        .where("__n > 1").drop("__n"))
+    named = cut_lineage(owned.select("__mark", "__group").join(least, "__group"))
+    joined = rows.join(named, "__mark", "left")
+    stay = joined.where(F.col("__group").isNull() | (F.col(id_col).cast("long") == F.col("__first"))).select(rows.columns)
+    # combined in the map tasks
+    lone = joined.where(F.col("__group").isNotNull() & F.col("__first").isNull()).groupBy("__group").agg(
+        F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("row")).select("row.*")
+    return stay.unionByName(lone)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE,
+             shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the smallest id of every group of near-duplicates; of a group without ids one row."""
+    at, names = docs.columns.index(text_col), [*docs.columns, "__mark"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.large_binary())
+            marks = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], names)
+
+    rows = cut_lineage(docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__mark", LongType())])))
+    groups = components(links(rows.select(F.col("__mark").alias("mark")).distinct(), most))
+    return keep_rows(rows, groups, id_col).select(docs.columns)

@@ -113,6 +113,16 @@ def test_simhash_against_brute_force(docs, block):
     assert kept - {None} == set(want.values())
 
 
+def test_rows_without_id_are_judged_by_their_text(docs):
+    text, other = " ".join(prose(1, 80)), " ".join(prose(2, 80))
+    rows = [*EDGE, (20, text), (None, text), (None, other), (None, other)]
+    for module in (simhash,):
+        kept = sorted(((r["doc_id"], r["text"]) for r in module.keep_one(docs(rows)).collect()), key=repr)
+        want = [(None, "a b"), (1, None), *[r for r in EDGE if (r[0] or 0) > 3], (20, text), (None, other)]
+        assert kept == sorted(want, key=repr)
+        assert module.keep_one(docs([])).count() == 0
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "x<p>é"), (2, "http://b", "y\r\n\r\nWARC/1.1\r\n\r\n"), (3, "http://c d", "x<p>é"), (4, None, None),
              (5, "u", ""), (None, "n", "x<p>é"), (6, "u6", "z" * 300000)]
