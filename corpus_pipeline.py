@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosescreen.llm import decontaminate, mixture, near_copies, secret_scan, toxicity
+from dosescreen.llm import decontaminate, mixture, secret_scan, simhash, toxicity
 from dosescreen.llm.common import table
-from dosescreen.session import STAGE_PREFIX, use_checkpoints
+from dosescreen.session import STAGE_PREFIX, drop_stages, stage_tables, use_checkpoints
 
 
 def mild(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def mild(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group that shares four of five shingles of five words."""
-    return near_copies.keep_one(docs)
+    """One document, that with the smallest id, of each group of linked SimHash fingerprints."""
+    return simhash.keep_one(docs, most=simhash.DISTANCE, shingle=simhash.SHINGLE)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +39,22 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return plan.where("taken > 0").select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("toxicity", mild), ("near_copies", distinct), ("decontamination", clean), ("secrets", safe), ("mixture", mixed)]
+STAGES = [("toxicity", mild), ("simhash", distinct), ("decontamination", clean), ("secrets", safe), ("mixture", mixed)]
 
 #: SQL expresses neither the fitted model nor the fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again.
+
+    A stage's own tables, and the output of the stage before it, go as soon as its output is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = stage_tables(spark)
     for name, stage in STAGES:
-        path = f"{use_checkpoints(spark)}/{STAGE_PREFIX}{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        output = f"{STAGE_PREFIX}{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(f"{use_checkpoints(spark)}/{output}")
+        docs = spark.read.parquet(f"{use_checkpoints(spark)}/{output}")
+        drop_stages(spark, before | {output})
     return docs

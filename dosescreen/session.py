@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def _stage_paths(spark: SparkSession):
-    """The file system of the checkpoint folder, and the written tables in it by path."""
+    """The file system of the checkpoint folder, and the paths of the written tables in it by name."""
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if not folder:
@@ -72,7 +72,12 @@ def _stage_paths(spark: SparkSession):
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     found = [s.getPath() for s in files.listStatus(path)]
-    return files, {p.toString(): p for p in found if p.getName().startswith(STAGE_PREFIX)}
+    return files, {p.getName(): p for p in found if p.getName().startswith(STAGE_PREFIX)}
+
+
+def stage_tables(spark: SparkSession) -> set[str]:
+    """The names of the tables this session has written to the checkpoint folder."""
+    return set(_stage_paths(spark)[1])
 
 
 def drop_stages(spark: SparkSession, keep: set[str] | None = None) -> int:
@@ -91,7 +96,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     Results must be written or collected inside the block, since they read those tables. One block of a session runs at
     a time.
     """
-    before = set(_stage_paths(spark)[1])
+    before = stage_tables(spark)
     try:
         yield
     finally:
