@@ -39,6 +39,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``docs`` has it, so that working columns replace none."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected ``links`` (a, b): one row (vertex, component) for each linked vertex.
 

@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dosescreen.llm.common import fresh
 from dosescreen.session import cut_lineage
 
 
@@ -158,20 +159,23 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
         lambda acc: acc["out"])
 
 
-def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``spans``: array of (start, kind as number of the rule, end), by start, then kind."""
+def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
+         output: str = "spans") -> DataFrame:
+    """``docs`` with a column ``output``, which replaces one of that name: array of (start, kind as number of the rule,
+    end), by start, then kind."""
     hits = cut_lineage(candidates(index(docs, vocabulary(rules), id_col, text_col), rules))
-    hits = hits.select(F.col("id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
+    held_id, held_rules = fresh(docs, "_secret_id", "_secret_rules")
+    hits = hits.select(F.col("id").alias(held_id), F.col("rules").alias(held_rules))
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for number, rule in enumerate(rules):
-        due = F.array_contains("__secret_rules", number) if trigram_query(rule.pattern) else F.lit(True)
+        due = F.array_contains(held_rules, number) if trigram_query(rule.pattern) else F.lit(True)
         if rule.guard:
             due = due & F.rlike(text, F.lit(rule.guard))
         found.append(F.when(due, _spans(text, rule, number)).otherwise(none))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits["__secret_id"]), "left")
-    return joined.withColumn("spans", F.array_sort(F.concat(*found))).drop("__secret_id", "__secret_rules")
+    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[held_id]), "left")
+    return joined.withColumn(output, F.array_sort(F.concat(*found))).drop(held_id, held_rules)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -184,13 +188,14 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
            mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one. Other texts stay as they are."""
-    found = find(docs, rules, id_col, text_col)
+    (spans,) = fresh(docs, "_spans")
+    found = find(docs, rules, id_col, text_col, spans)
     text = F.col(text_col)
     pieces = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
             s["end"].alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
                 acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, pieces).otherwise(text)).select(docs.columns)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, pieces).otherwise(text)).select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from dosescreen.llm.common import BLOCK, Forest, block_pairs, components, runs, ship
+from dosescreen.llm.common import BLOCK, Forest, block_pairs, components, fresh, runs, ship
 from dosescreen.session import cut_lineage
 
 ship(__name__)
@@ -153,22 +153,24 @@ def hexadecimal(mark: Column) -> Column:
     return F.lower(F.lpad(F.hex(mark), 16, "0"))
 
 
-def keep_rows(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows with the smallest id of every group; of a group without ids one row.
+def keep_rows(rows: DataFrame, mark: str, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows with the smallest id of every group of linked fingerprints; of a group without ids one row.
 
-    ``rows`` is a written table whose column ``__mark`` tells what a row is equal to, and ``groups`` has the
-    ``component`` of each linked mark (``vertex``). Rows of one group that share an id stay or go together.
+    ``rows`` is a written table whose column ``mark`` holds the fingerprint, and ``groups`` has the ``component`` of each
+    linked fingerprint (``vertex``). Rows of one group that share an id stay or go together.
     """
-    marks = cut_lineage(rows.groupBy("__mark").agg(F.min(F.col(id_col).cast("long")).alias("first"), F.count("*").alias("n")))
-    owned = cut_lineage(marks.join(groups, marks["__mark"] == groups["vertex"], "left").select(
-        "__mark", "first", "n", F.coalesce("component", "__mark").alias("__group")))
-    least = cut_lineage(owned.groupBy("__group").agg(F.min("first").alias("__first"), F.sum("n").alias("__n"))
-                        .where("__n > 1").drop("__n"))
-    named = cut_lineage(owned.select("__mark", "__group").join(least, "__group"))
-    joined = rows.join(named, "__mark", "left")
-    stay = joined.where(F.col("__group").isNull() | (F.col(id_col).cast("long") == F.col("__first"))).select(rows.columns)
+    group, least, count = fresh(rows, "_group", "_first", "_n")
+    own = F.col(id_col).cast("long")
+    marks = cut_lineage(rows.groupBy(mark).agg(F.min(own).alias(least), F.count("*").alias(count)))
+    owned = cut_lineage(marks.join(groups, marks[mark] == groups["vertex"], "left").select(
+        mark, least, count, F.coalesce("component", mark).alias(group)))
+    firsts = cut_lineage(owned.groupBy(group).agg(F.min(least).alias(least), F.sum(count).alias(count))
+                         .where(F.col(count) > 1).drop(count))
+    named = cut_lineage(owned.select(mark, group).join(firsts, group))
+    joined = rows.join(named, mark, "left")
+    stay = joined.where(F.col(group).isNull() | (own == F.col(least))).select(rows.columns)
     # combined in the map tasks
-    lone = joined.where(F.col("__group").isNotNull() & F.col("__first").isNull()).groupBy("__group").agg(
+    lone = joined.where(F.col(group).isNotNull() & F.col(least).isNull()).groupBy(group).agg(
         F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns)).alias("row")).select("row.*")
     return stay.unionByName(lone)
 
@@ -176,7 +178,8 @@ def keep_rows(rows: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Dat
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DISTANCE,
              shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the smallest id of every group of near-duplicates; of a group without ids one row."""
-    at, names = docs.columns.index(text_col), [*docs.columns, "__mark"]
+    at, (mark,) = docs.columns.index(text_col), fresh(docs, "_mark")
+    names = [*docs.columns, mark]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,6 +187,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             marks = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], names)
 
-    rows = cut_lineage(docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__mark", LongType())])))
-    groups = components(links(rows.select(F.col("__mark").alias("mark")).distinct(), most))
-    return keep_rows(rows, groups, id_col).select(docs.columns)
+    rows = cut_lineage(docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(mark, LongType())])))
+    groups = components(links(rows.select(F.col(mark).alias("mark")).distinct(), most))
+    return keep_rows(rows, mark, groups, id_col).select(docs.columns)

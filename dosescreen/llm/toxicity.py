@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosescreen.llm.common import received, send, ship
+from dosescreen.llm.common import fresh, received, send, ship
 
 ship(__name__)
 
@@ -167,12 +167,13 @@ def severity(text: str | None, model: Model, seen: dict[str, list[str]] | None =
     return float(sum(sigmoid(np.array(score) - c) for c in model.thresholds))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all by default) with a column ``severity``, which replaces one of that name."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None,
+          output: str = "severity") -> DataFrame:
+    """``columns`` of ``docs`` (all by default) with a column ``output``, which replaces one of that name."""
     shared = send(docs.sparkSession, model)
-    kept = [c for c in (docs.columns if columns is None else columns) if c != "severity"]
-    docs = docs.select(*[f"`{c}`" for c in kept], F.col(text_col).cast("string").alias("severity"))
-    schema = docs.select(*[f"`{c}`" for c in kept], F.lit(0.0).alias("severity")).schema
+    kept = [c for c in (docs.columns if columns is None else columns) if c.lower() != output.lower()]
+    docs = docs.select(*[f"`{c}`" for c in kept], F.col(text_col).cast("string").alias(output))
+    schema = docs.select(*[f"`{c}`" for c in kept], F.lit(0.0).alias(output)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = received(shared), {}
@@ -191,5 +192,6 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_co
 def keep_mild(docs: DataFrame, labels: DataFrame, reject: float = REJECT, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``docs`` without those whose expected severity reaches ``reject``."""
-    scored = score(docs, fitted(docs, labels, id_col=id_col, text_col=text_col), text_col)
-    return scored.where(F.col("severity") < reject).select(docs.columns)
+    (mark,) = fresh(docs, "_severity")
+    scored = score(docs, fitted(docs, labels, id_col=id_col, text_col=text_col), text_col, output=mark)
+    return scored.where(F.col(mark) < reject).select(docs.columns)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dosescreen.llm import (
@@ -261,3 +262,22 @@ def test_mixture(docs, spark):
         s[2] = max(s[2], r["size"])
     assert all(abs(taken - target) <= largest for taken, target, largest in by_source.values())
     assert mixture.mix(mixture.weighted(frame.limit(0), labels)).count() == 0
+
+
+def test_columns_of_the_documents_stay_as_they_are(docs, spark):
+    """Columns with names that operators use inside come through untouched."""
+    names = ["spans", "severity", "_spans", "_severity", "_mark", "_group", "_first", "_n", "_secret_id", "_secret_rules",
+             "vertex", "component", "mark", "id", "line", "key", "rules", "text_", "label", "count"]
+    frame = docs([*EDGE, (20, "token = abcdefgh12 and more"), (21, " ".join(prose(3, 30)))])
+    for name in names:
+        frame = frame.withColumn(name, F.lit(f"own {name}"))
+    labels = spark.createDataFrame([(20, 1, 0), (21, 0, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "a question of some words. an answer.")], "item_id long, text string")
+    results = {"simhash": simhash.keep_one(frame), "secrets": secret_scan.redact(frame),
+               "toxicity": toxicity.keep_mild(frame, labels), "leaks": decontaminate.keep_clean(frame, benchmark),
+               "lines": lines.removed(frame)}
+    for operator, result in results.items():
+        assert result.columns == frame.columns, operator
+        rows = result.where("doc_id = 21").collect()
+        assert all(r[name] == f"own {name}" for r in rows for name in names), operator
+        assert rows or operator == "toxicity"
