@@ -167,7 +167,8 @@ def keep_rows(rows: DataFrame, mark: str, groups: DataFrame, id_col: str = "doc_
     firsts = cut_lineage(owned.groupBy(group).agg(F.min(least).alias(least), F.sum(count).alias(count))
                          .where(F.col(count) > 1).drop(count))
     named = cut_lineage(owned.select(mark, group).join(firsts, group))
-    joined = rows.join(named, mark, "left")
+    # the groups grow with the documents, so their table is never broadcast
+    joined = rows.join(named.hint("merge"), mark, "left")
     stay = joined.where(F.col(group).isNull() | (own == F.col(least))).select(rows.columns)
     # combined in the map tasks
     lone = joined.where(F.col(group).isNotNull() & F.col(least).isNull()).groupBy(group).agg(
