@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosescreen.llm import (
-    chats, collisions, decontaminate, lines, mixture, secret_scan, simhash, suffixes, toxicity, warc,
+    chats, collisions, decontaminate, divergence, lines, mixture, resampling, secret_scan, sharding, simhash, suffixes,
+    toxicity, warc,
 )
 from dosescreen.llm.common import table
 
@@ -171,3 +172,79 @@ def op9_bm25_decontamination(spark, folder):
 def op10_mixture_sampling(spark, folder):
     rows = mixture.weighted(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return mixture.mix(rows).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+SHARDS = 24
+
+
+@query("op11_hash_ring_shards")
+def op11_hash_ring_shards(spark, folder):
+    found = sharding.placed(table(spark, folder, "documents"), SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum's table follows from its polynomial; only distinct words are hashed.
+RESAMPLING_SQL = f"""WITH steps AS (SELECT list(c ORDER BY i) AS steps FROM (SELECT i, list_reduce(
+  list_prepend(i::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1
+  THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(i))),
+texts AS (SELECT row_number() OVER () AS r, 'd' AS side, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), 'b', NULL, text FROM benchmark),
+words AS (SELECT r, side, doc_id, unnest(w) AS word FROM (SELECT r, side, doc_id, regexp_extract_all(translate(text,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts)),
+hexes AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM words)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2),
+  lambda k: ('0x' || substr(x, (2 * k + 1)::INT, 2))::BIGINT)), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])),
+  4294967295) % {resampling.BUCKETS} AS bucket FROM hexes, steps),
+placed AS (SELECT r, side, doc_id, bucket FROM words JOIN hashed USING (word)),
+totals AS (SELECT count(*) FILTER (side = 'd') AS s_all, count(*) FILTER (side = 'b') AS t_all FROM placed),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + {resampling.BUCKETS})::DOUBLE
+  / ((s + 1) * (t_all + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM (SELECT bucket,
+  (count(*) FILTER (side = 'd'))::DOUBLE AS s, (count(*) FILTER (side = 'b'))::DOUBLE AS t FROM placed GROUP BY bucket), totals),
+sums AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)
+  / 4294967296::DOUBLE)))::BIGINT AS score FROM texts LEFT JOIN sums USING (r) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id) AS place,
+  count(*) FILTER (n_features >= {resampling.LEAST_WORDS}) OVER () AS eligible FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.LEAST_WORDS}
+  AND place <= {resampling.PERCENT} * eligible // 100 THEN place END AS rank FROM ranked"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12_importance_resampling(spark, folder):
+    found = resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+DIVERGENCE_SQL = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(
+  coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+held AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL
+  HAVING count(*) >= {divergence.LEAST_DOCS}),
+cells AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d)
+  JOIN held USING (lang, term) GROUP BY ALL),
+sized AS (SELECT g.lang, g.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM held GROUP BY ALL) h ON g.lang = h.lang),
+p AS (SELECT s.lang, s.source, h.term, coalesce(n, 0) AS n,
+  1 + {divergence.SCALE}::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p
+  FROM sized s JOIN held h ON s.lang = h.lang LEFT JOIN cells c ON c.lang = s.lang AND c.source = s.source AND c.term = h.term),
+q AS (SELECT lang, term, 1 + {divergence.SCALE}::HUGEINT * (of_term + 2) // (total + 2 * v) AS q FROM
+  (SELECT lang, term, sum(n) AS of_term FROM cells GROUP BY ALL) JOIN (SELECT lang, sum(n) AS total FROM cells GROUP BY ALL)
+  USING (lang) JOIN (SELECT lang, count(*) AS v FROM held GROUP BY ALL) USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM sized a JOIN sized b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
