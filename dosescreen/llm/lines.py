@@ -1,14 +1,17 @@
-"""Repeated lines or paragraphs: the earliest occurrence stays, later ones go.
+"""Repeated lines, paragraphs or clauses: the earliest occurrence stays, later ones go.
 
 Texts are cut into units, which are normalised (lower case, single spaces) and known by a 128-bit digest. Digests are
 counted over all documents with map-side combining; those that repeat are written and joined back to the occurrences,
-both as plain tables, so that Spark can split a digest that a third of all lines has. Offsets are code points of the
+both as plain tables, so that Spark can split a digest that a third of all units has. Offsets are code points of the
 original text.
 
+A passage pasted into longer lines repeats no whole line. :func:`passages` therefore takes clauses, and reports the runs of
+neighbouring clauses that occur elsewhere: a single short clause is common, a run of ``RUN`` words is a passage.
+
 Defined results: NULL and empty texts have no units; units of fewer than ``least`` words are never removed, which by
-default are blank ones alone; occurrences rank by id (NULL last), then place; rows that repeat an id are the same
-document, its rows keep or lose a unit together; an empty table gives an empty result; further columns are ignored or,
-by :func:`removed`, kept.
+default are blank ones alone; occurrences rank by id (NULL last), text, then place; rows that repeat id and text are one
+document and keep or lose a unit together, rows that share an id or have none but differ in the text are judged each by
+itself; an empty table gives an empty result; further columns are ignored or, by :func:`removed`, kept.
 """
 
 from __future__ import annotations
@@ -18,62 +21,123 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosescreen.llm.common import ship
+from dosescreen.llm.common import fresh, ship
 from dosescreen.session import cut_lineage
 
 ship(__name__)
 
-UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*")}
-#: The words that a unit of the query op1_repeated_lines has at least, as its SQL says.
-LEAST = 8
+UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*"),
+         "clause": re.compile(r"[^\n.,;:!?]+")}
 LAST = (1 << 63) - 1
+#: Words of neighbouring clauses that make a repeated passage.
+RUN = 40
+#: A document: its id, and two hashes of its text that tell rows of one id apart.
+DOC = ["id", "r1", "r2"]
 
 
-def units(text: str | None, unit: str = "line", least: int = 1) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units with at least ``least`` words."""
+def units(text: str | None, unit: str = "line", least: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units with at least ``least`` words."""
     for found in UNITS[unit].finditer(text or ""):
         words = found[0].lower().split()
         if len(words) >= least:
-            yield found.start(), found.end(), xxhash.xxh3_128_digest(" ".join(words))
+            yield found.start(), found.end(), len(words), xxhash.xxh3_128_digest(" ".join(words))
+
+
+def occurrences(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id", text_col: str = "text",
+                totals: bool = False) -> DataFrame:
+    """(id, r1, r2, place, first, last, words, digest) of the units of all texts; ``place`` counts a text's units.
 
+    With ``totals`` each text has one more row, with place -1, the number of its units as words and no digest.
+    """
+    kinds = [pa.int64()] * 7 + [pa.binary()]
+    names = [*DOC, "place", "first", "last", "words", "digest"]
 
-def occurrences(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """(id, first, last, digest) of the units of all texts."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *u) for i, t in zip(batch.column(0).to_pylist(), batch.column(1))
-                     for u in units(t.as_py(), unit, least)]
+            found = []
+            for i, a, b, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                n = len(found)
+                found.extend((i, a, b, k, *u) for k, u in enumerate(units(t.as_py(), unit, least)))
+                if totals:
+                    found.append((i, a, b, -1, 0, 0, len(found) - n, None))
             if found:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)],
-                                                 ["id", "first", "last", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), *_hashes(text), text.alias("text"))
+    return slim.mapInArrow(work, ", ".join(f"{n} long" for n in names[:-1]) + ", digest binary")
+
+
+def _hashes(text) -> list:
+    return [F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(1), text).alias("r2")]
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(work, "id long, first long, last long, digest binary")
+
+def _rank():
+    """The rank of an occurrence; the earliest one stays."""
+    return F.struct(F.coalesce("id", F.lit(LAST)).alias("rank"), "r1", "r2", "first")
+
+
+def _earliest(found: DataFrame) -> DataFrame:
+    """(digest, kept): the smallest rank of the digests that occur more than once."""
+    return cut_lineage(found.groupBy("digest").agg(F.min(_rank()).alias("kept"), F.count("*").alias("n"))
+                       .where("n > 1").drop("n"))
 
 
 def repeats(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """(id, first, last, kept_id, kept_first) of every unit to remove and of the earliest occurrence that stays."""
+    """(id, r1, r2, first, last, kept_id, kept_first) of every unit to remove and of the occurrence that stays."""
     found = cut_lineage(occurrences(docs, unit, least, id_col, text_col))
-    rank = F.struct(F.coalesce("id", F.lit(LAST)).alias("rank"), F.col("first"))
-    earliest = cut_lineage(found.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n"))
-                           .where("n > 1").drop("n"))
-    return found.join(earliest, "digest").where(rank != F.col("kept")).select(
-        "id", "first", "last", F.nullif(F.col("kept.rank"), F.lit(LAST)).alias("kept_id"),
+    return found.join(_earliest(found), "digest").where(_rank() != F.col("kept")).select(
+        *DOC, "first", "last", F.nullif(F.col("kept.rank"), F.lit(LAST)).alias("kept_id"),
         F.col("kept.first").alias("kept_first"))
 
 
+def passages(docs: DataFrame, unit: str = "clause", run: int = RUN, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """One row for each document (id and text): (id, units, repeated_units, later_units, longest_run, spans).
+
+    ``repeated_units`` occur elsewhere, ``later_units`` of them not for the first time; ``longest_run`` is the largest
+    number of words in neighbouring repeated units; ``spans`` are the runs of later units of at least ``run`` words.
+    """
+    found = cut_lineage(occurrences(docs, unit, 1, id_col, text_col, totals=True))
+    held = found.where("place >= 0")
+    met = held.join(_earliest(held), "digest").select(*DOC, "place", "first", "last", "words", (_rank() != F.col("kept")).alias("later"))
+    # neighbours have the same difference of place and rank; identical rows are one
+    by = Window.partitionBy(*DOC)
+    met = cut_lineage(met.distinct().select(
+        "*", (F.col("place") - F.row_number().over(by.orderBy("place"))).alias("run"),
+        (F.col("place") - F.row_number().over(Window.partitionBy(*DOC, "later").orderBy("place"))).alias("gone")))
+    runs = (met.groupBy(*DOC, "run").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.count_if("later").alias("later"))
+            .groupBy(*DOC).agg(F.sum("n").alias("repeated_units"), F.sum("later").alias("later_units"),
+                               F.max("words").alias("longest_run")))
+    gone = (met.where("later").groupBy(*DOC, "gone")
+            .agg(F.sum("words").alias("words"), F.min("first").alias("first"), F.max("last").alias("last"))
+            .where(F.col("words") >= run).groupBy(*DOC)
+            .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
+    base = found.where("place < 0").select(*DOC, F.col("words").alias("units")).distinct()
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    for side in (runs, gone):
+        side = side.withColumnsRenamed({c: f"_{c}" for c in DOC})
+        same = base["id"].eqNullSafe(side["_id"]) & (base["r1"] == side["_r1"]) & (base["r2"] == side["_r2"])
+        base = base.join(side, same, "left").drop(*[f"_{c}" for c in DOC])
+    zero = F.lit(0).cast("long")
+    return base.select("id", "units", *[F.coalesce(c, zero).alias(c) for c in ("repeated_units", "later_units", "longest_run")],
+                       F.coalesce("spans", none).alias("spans"))
+
+
 def removed(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """``docs`` without repeated units and the line breaks after them."""
-    spans = repeats(docs, unit, least, id_col, text_col).distinct().groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("id", "__line_id"), docs[id_col].eqNullSafe(F.col("__line_id")), "left")
+    held = fresh(docs, "_line_id", "_line_r1", "_line_r2", "_r1", "_r2", "_spans")
+    spans = repeats(docs, unit, least, id_col, text_col).select(*DOC, "first", "last").distinct().groupBy(*DOC).agg(
+        F.sort_array(F.collect_list(F.struct("first", "last"))).alias(held[5])).withColumnsRenamed(dict(zip(DOC, held)))
+    marked = docs.select("*", *[h.alias(n) for h, n in zip(_hashes(F.col(text_col).cast("string")), held[3:])])
+    same = (marked[id_col].cast("long").eqNullSafe(spans[held[0]]) & (marked[held[3]] == spans[held[1]])
+            & (marked[held[4]] == spans[held[2]]))
+    joined = marked.join(spans, same, "left")
     order, at = docs.columns, docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,4 +153,4 @@ def removed(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, order)
 
-    return joined.select(*[docs[c] for c in order], "__spans").mapInArrow(work, docs.schema)
+    return joined.select(*[marked[c] for c in order], held[5]).mapInArrow(work, docs.schema)

@@ -27,26 +27,34 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-LINES_SQL = f"""WITH cut AS (SELECT doc_id, l, i, l[i] AS line FROM (
-  SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
-units AS (SELECT doc_id, list_sum(list_transform(l[1:i - 1], lambda x: len(x) + 1)) AS s, len(line) AS n,
-  trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit FROM cut),
-long AS (SELECT doc_id, coalesce(s, 0) AS s, n, unit FROM units
-  WHERE len(unit) - len(replace(unit, ' ', '')) + 1 >= {lines.LEAST}),
-kept AS (SELECT unit, min({{'d': doc_id, 's': s}}) AS k FROM long GROUP BY unit)
-SELECT doc_id, s AS start_pos, s + n AS end_pos, k.d AS kept_doc_id, k.s AS kept_start FROM long JOIN kept USING (unit)
-WHERE k.d <> doc_id OR k.s <> s"""
-
-
-def _repeated_lines(docs: DataFrame, least: int) -> DataFrame:
-    return lines.repeats(docs, least=least).select(
-        F.col("id").alias("doc_id"), F.col("first").alias("start_pos"), F.col("last").alias("end_pos"),
-        F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
-
-
-@query("op1_repeated_lines", LINES_SQL)
+PASSAGES_SQL = f"""WITH cut AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (
+  SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n.,;:!?]') AS p FROM documents)),
+sited AS (SELECT doc_id, piece, i, coalesce(sum(len(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, trim(regexp_replace(lower(piece), '\\s+', ' ', 'g')) AS unit FROM cut),
+units AS (SELECT doc_id, s, s + len(piece) AS e, unit, len(unit) - len(replace(unit, ' ', '')) + 1 AS words,
+  row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM sited WHERE unit <> ''),
+kept AS (SELECT unit, min({{'d': doc_id, 's': s}}) AS k FROM units GROUP BY unit HAVING count(*) > 1),
+met AS (SELECT doc_id, s, e, words, place, k.d <> doc_id OR k.s <> s AS later FROM units JOIN kept USING (unit)),
+placed AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run,
+  place - row_number() OVER (PARTITION BY doc_id, later ORDER BY place) AS gone FROM met),
+runs AS (SELECT doc_id, sum(n)::BIGINT AS repeated_units, sum(l)::BIGINT AS later_units, max(w)::BIGINT AS longest_run FROM (
+  SELECT doc_id, run, count(*) AS n, count(*) FILTER (later) AS l, sum(words) AS w FROM placed GROUP BY ALL) GROUP BY ALL),
+spans AS (SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS removed FROM (SELECT doc_id, gone, min(s) AS s, max(e) AS e
+  FROM placed WHERE later GROUP BY ALL HAVING sum(words) >= {lines.RUN}) GROUP BY ALL),
+counted AS (SELECT doc_id, count(*) AS units FROM units GROUP BY ALL)
+SELECT d.doc_id, coalesce(units, 0) AS units, coalesce(repeated_units, 0) AS repeated_units, coalesce(later_units, 0)
+  AS later_units, coalesce(longest_run, 0) AS longest_run, coalesce(longest_run, 0) >= {lines.RUN} AS repeats_passage,
+  coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN counted USING (doc_id)"""
+
+
+@query("op1_repeated_lines", PASSAGES_SQL)
 def op1_repeated_lines(spark, folder):
-    return _repeated_lines(table(spark, folder, "documents"), lines.LEAST)
+    """Clauses, the parts of lines: passages that were pasted into longer lines repeat these and no whole line."""
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string")))
+    return lines.passages(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "units", "repeated_units", "later_units", "longest_run",
+        (F.col("longest_run") >= lines.RUN).alias("repeats_passage"), F.array_join(spans, ",").alias("removed"))
 
 
 #: Every line with a word in it, however short.
@@ -62,7 +70,9 @@ WHERE k.d <> doc_id OR k.s <> s"""
 
 @query("op1_all_repeated_lines", ALL_LINES_SQL)
 def op1_all_repeated_lines(spark, folder):
-    return _repeated_lines(table(spark, folder, "documents"), 1)
+    return lines.repeats(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("first").alias("start_pos"), F.col("last").alias("end_pos"),
+        F.col("kept_id").alias("kept_doc_id"), F.col("kept_first").alias("kept_start"))
 
 
 @query("op2_embedding_collisions")

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +67,57 @@ def test_short_repeated_lines(docs):
     assert lines.repeats(docs(rows), least=8).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_text(docs):
+    rows = [(1, "shared line one two three\nx"), (7, "shared line one two three\nalpha"),
+            (7, "completely different text that nobody repeats\nbeta")]
+    for ids in ((1, 7, 7), (None, None, None)):
+        some = docs([(i, t) for i, (_, t) in zip(ids, rows)])
+        left = sorted(r["text"] for r in lines.removed(some).collect())
+        kept = [rows[2][1], "x", "alpha", "shared line one two three\nx", "shared line one two three\nalpha"]
+        assert left in (sorted([kept[0], kept[2], kept[3]]), sorted([kept[0], kept[1], kept[4]]))
+        assert ids[0] is None or "shared line one two three\nx" in left
+
+
+def test_passages_in_clauses_by_hand(docs):
+    pick = random.Random(8)
+    pasted = ". ".join(" ".join(prose(500 + k, 5)) for k in range(12))
+    rows = list(EDGE)
+    for d in range(30):
+        own = [" ".join(prose(600 + d * 50 + k, 4)) for k in range(12)] + ["Common words"] * (d % 3)
+        pick.shuffle(own)
+        text = ", ".join(own[:6]) + "; " + (pasted + "! " if d % 4 == 0 else pasted[:60] if d % 4 == 1 else "") + "\n".join(own[6:])
+        rows.append((20 + d, text))
+    rows += [(20, rows[-1][1]), (None, rows[-2][1]), rows[-3]]
+    cut = {(i, t): [(m.start(), m.end(), " ".join(m[0].lower().split())) for m in re.finditer(r"[^\n.,;:!?]+", t or "")
+                    if m[0].strip()] for i, t in rows}
+    count = Counter(u for i, t in rows for *_, u in cut[i, t])
+    seen, want = {}, {}
+    ranked = {(r["doc_id"], r["text"]): (r["doc_id"] is None, r["doc_id"] or 0, r["r1"], r["r2"]) for r in docs(rows).select(
+        "doc_id", "text", *lines._hashes(F.col("text"))).collect()}
+    for key in sorted(cut, key=ranked.get):
+        for a, _, u in cut[key]:
+            seen.setdefault(u, (key, a))
+    for key, found in cut.items():
+        run = longest = repeated = later = words = 0
+        spans, start = [], None
+        for a, b, u in [*found, (None, None, None)]:
+            again = count[u] > 1 if u else False
+            gone = again and seen[u] != (key, a)
+            run = run + len(u.split()) if again else 0
+            longest, repeated, later = max(longest, run), repeated + again, later + gone
+            if gone:
+                words, start, end = words + len(u.split()), a if start is None else start, b
+            elif start is not None:
+                spans += [(start, end)] if words >= lines.RUN else []
+                words, start = 0, None
+        want[key[0], len(found), repeated, later, longest, tuple(spans)] = 1
+    got = Counter((r["id"], r["units"], r["repeated_units"], r["later_units"], r["longest_run"], tuple(map(tuple, r["spans"])))
+                  for r in lines.passages(docs(rows)).collect())
+    assert set(got) == set(want) and sum(got.values()) == len(cut)
+    assert sum(bool(k[5]) for k in want) >= 7
+    assert lines.passages(docs([])).count() == 0
+
+
 def test_embeddings_against_brute_force(spark):
     draw = np.random.default_rng(3)
     base = draw.standard_normal((60, 16))
