@@ -10,6 +10,7 @@ from dosescreen.functions import numeric as num
 from dosescreen.functions import text as txt
 from dosescreen.operators import ranking
 from dosescreen.operators.joins import join_on
+from dosescreen.operators.quality import Audit
 from dosescreen.operators.reshape import explode_slots, named, pick, quoted, unpivot, widen
 from dosescreen.session import cut_lineage
 
@@ -25,11 +26,12 @@ def plate_parts(df: DataFrame, plate_id: str = "date_chnm_plate") -> DataFrame:
 
 
 def direction_table(
-    matrix: DataFrame, plate_columns: list[str], channel: str = "steroid", plate_id: str = "date_chnm_plate"
+    matrix: DataFrame, plate_columns: list[str], channel: str = "steroid", plate_id: str = "date_chnm_plate",
+    audit: Audit | None = None,
 ) -> DataFrame:
     """Channel x plate matrix to rows (plate id, date, chemical, plate, channel, direction), lowest plate per chemical."""
     long = unpivot(matrix, [channel], plate_columns, plate_id, "direction")
-    return ranking.lowest_with_ties(plate_parts(long, plate_id), ["chnm"], "plate")
+    return ranking.lowest_with_ties(plate_parts(long, plate_id), ["chnm"], "plate", plate_id, audit)
 
 
 def unpack_hits(
@@ -40,9 +42,11 @@ def unpack_hits(
     return explode_slots(long.withColumn("__v", F.col("hits")), "__v", slots, "dose_level", "hit")
 
 
-def dose_levels(conc: DataFrame, keys: list[str], value: str = "conc", out: str = "dose_level") -> DataFrame:
+def dose_levels(
+    conc: DataFrame, keys: list[str], value: str = "conc", out: str = "dose_level", ties: str | None = None,
+) -> DataFrame:
     """Concentration to dose level: its rank among the concentrations of the same keys, ties averaged."""
-    return ranking.average_rank(conc, keys, value, out)
+    return ranking.average_rank(conc, keys, value, out, ties)
 
 
 def tidy_wells(wells: DataFrame, corrections=None, non_detects=None) -> DataFrame:

@@ -1,13 +1,20 @@
-"""Data-quality reports. Each returns a small table of findings; ``require_empty`` turns one into a failure."""
+"""Data-quality reports. Each returns a small table of findings; ``require_empty`` turns one into a failure.
+
+A report is a job of its own. Inside a stage, :class:`Audit` takes counts in the pass that writes the stage's table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dosescreen.operators.aggregates import count_by, distinct_by, duplicated_keys
 from dosescreen.operators.joins import not_member_of
 from dosescreen.operators.reshape import quoted
+from dosescreen.session import cut_lineage
 
 
 def key_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,3 +86,61 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Return ``df`` after making sure that its keys are unique (what a join partner must satisfy)."""
     require_empty(duplicated_keys(df, keys), f"keys {keys} are not unique")
     return df
+
+
+Counts = dict[str, dict[str, int]]
+
+
+class Audit:
+    """Assertions on counts that Spark takes while it writes a stage's table.
+
+    :meth:`watch` puts counts at a point of the plan, :meth:`expect` says what must hold between them, and
+    :meth:`settled` writes the table and then tests. No job is started but the write. A task that runs again after a
+    lost executor may be counted twice, so a test that fails is repeated exactly, by the findings given for it, before
+    it becomes an error.
+    """
+
+    def __init__(self) -> None:
+        self._observed: dict[str, Observation] = {}
+        self._tests: list[tuple[Callable[[Counts], bool], Callable[[], DataFrame], str]] = []
+        self._counts: Counts = {}
+
+    def watch(self, df: DataFrame, name: str, **counts: Column) -> DataFrame:
+        """``df``, its rows and the aggregates ``counts`` being counted whenever it is computed."""
+        if name in self._observed or name in self._counts:
+            raise ValueError(f"{name} is watched already")
+        self._observed[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self._observed[name], F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()])
+
+    def expect(self, test: Callable[[Counts], bool], findings: Callable[[], DataFrame], message: str) -> None:
+        """``test`` on the counts by name; ``findings`` gives the rows that break it, computed only if it fails."""
+        self._tests.append((test, findings, message))
+
+    def same_rows(self, before: str, after: str, findings: Callable[[], DataFrame], message: str) -> None:
+        """A join neither multiplies nor loses rows."""
+        self.expect(lambda c: c[before]["rows"] == c[after]["rows"], findings, message)
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, after all tests."""
+        table = cut_lineage(df)
+        self.verify()
+        return table
+
+    def counts(self) -> Counts:
+        """The counts of all watched tables; waits until they have been computed once."""
+        for name, observation in self._observed.items():
+            self._counts[name] = {k: v or 0 for k, v in observation.get.items()} or {"rows": 0}
+        self._observed = {}
+        return self._counts
+
+    def verify(self) -> None:
+        counts, tests = self.counts(), self._tests
+        self._tests = []
+        for test, findings, message in tests:
+            if not test(counts):
+                require_empty(findings(), message)
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(name, metric, value) of all counts."""
+        rows = [(n, m, v) for n, c in self.counts().items() for m, v in c.items()]
+        return spark.createDataFrame(rows, "name string, metric string, value bigint")

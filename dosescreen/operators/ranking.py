@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosescreen.functions.numeric import INF
+from dosescreen.operators.quality import Audit
 from dosescreen.operators.reshape import quoted
 from dosescreen.session import cut_lineage
 
@@ -94,9 +95,10 @@ def attach_ranks(df: DataFrame, groups: list[str], out: dict[str, tuple[str, Col
     return df
 
 
-def average_rank(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
-    """Rank from 1 inside the group, ties sharing their mean rank."""
-    return attach_ranks(df, groups, {out: (value, F.col("below") + (F.col("ties") + 1) / F.lit(2.0))})
+def average_rank(df: DataFrame, groups: list[str], value: str, out: str, ties: str | None = None) -> DataFrame:
+    """Rank from 1 inside the group, ties sharing their mean rank; ``ties`` names a column for the rows of one rank."""
+    wanted = {out: (value, F.col("below") + (F.col("ties") + 1) / F.lit(2.0))}
+    return attach_ranks(df, groups, wanted | ({ties: (value, F.col("ties"))} if ties else {}))
 
 
 def percent_rank(df: DataFrame, groups: list[str], out: dict[str, tuple[str, bool]]) -> DataFrame:
@@ -147,11 +149,24 @@ def _directed(column: Column, spec) -> Column:
     return column.desc_nulls_last() if isinstance(spec, Descending) else column.asc_nulls_last()
 
 
-def lowest_with_ties(df: DataFrame, groups: list[str], weight: str) -> DataFrame:
-    """Rows that carry the group's smallest weight, all of them on a tie; NULL weights are dropped."""
-    least = df.groupBy(*[quoted(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(
-        F.min(quoted(weight)).alias("__least")
-    )
+def lowest_with_ties(
+    df: DataFrame, groups: list[str], weight: str, single: str | None = None, audit: Audit | None = None,
+) -> DataFrame:
+    """Rows that carry the group's smallest weight, all of them on a tie; NULL weights are dropped.
+
+    The input is computed once and settled; minima are combined in the map tasks and joined back, so that a group whose
+    rows all tie stays spread over its partitions. With ``audit`` the groups whose lowest rows differ in ``single`` are
+    counted as ``lowest.ambiguous``; the weight is a number then.
+    """
+    df = cut_lineage(df.where(quoted(weight).isNotNull()))
+    wanted = [F.min(quoted(weight)).alias("__least")]
+    if audit:
+        low = F.min(F.struct(quoted(weight).alias("w"), quoted(single).alias("v")))["v"]
+        high = F.max(F.struct((-quoted(weight)).alias("w"), quoted(single).alias("v")))["v"]
+        wanted.append((low != high).alias("__several"))
+    least = df.groupBy(*[quoted(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(*wanted)
+    if audit:
+        least = audit.watch(least, "lowest", ambiguous=F.count_if("__several"))
     same = [quoted(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
     return df.join(least, reduce(lambda a, b: a & b, same + [quoted(weight) == F.col("__least")]), "left_semi")
 

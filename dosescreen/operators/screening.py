@@ -12,6 +12,7 @@ from dosescreen.functions.rules import flag_number
 from dosescreen.operators import assay, ranking
 from dosescreen.operators.aggregates import count_by, distinct_by
 from dosescreen.operators.joins import join_on, with_membership
+from dosescreen.operators.quality import Audit
 from dosescreen.operators.reshape import explode_tokens, pick, quoted, rename, to_front, unpivot_groups
 
 
@@ -33,19 +34,25 @@ def mammary_label(listed_as: Column, pesticide_status: Column) -> Column:
 def integrated_long(
     potency: DataFrame, areas: DataFrame, sources: DataFrame, pesticides: DataFrame, evidence: DataFrame,
     channels: list[str] | None = None, measures: tuple[str, ...] = ("LEC", "MFC", "hits", "AC50"),
+    audit: Audit | None = None,
 ) -> DataFrame:
     """One row per chemical and hormone with receptor areas, exposure sources and in-vivo evidence beside it.
 
     ``areas`` (CASRN, AUC.Agonist, AUC.Antagonist, AUC.Bioactivity as text), ``sources`` (casrn, ...), ``pesticides``
-    (CASRN, status) and ``evidence`` (casn, ...) have one row per chemical.
+    (CASRN, status) and ``evidence`` (casn, ...) have one row per chemical. With ``audit`` the rows beside the areas and
+    those of the result are counted as ``with_areas`` and ``integrated``.
     """
     long = unpivot_groups(potency, channels or fixed.CHANNELS, list(measures), "hormone")
     long = long.where(F.col("LEC").isNotNull()).drop("date_chnm_plate", "plate")
     long = long.withColumn("AC50", ac50_label(F.col("AC50")))
     joined = join_on(long, areas, {"casn": "CASRN"})
+    if audit:
+        joined = audit.watch(joined, "with_areas")
     joined = join_on(joined, sources, {"casn": "casrn"})
     joined = join_on(joined, pick(pesticides, ["CASRN", "status"]), {"casn": "CASRN"})
     joined = join_on(joined, evidence.drop("chnm"), ["casn"])
+    if audit:
+        joined = audit.watch(joined, "integrated")
     labelled = joined.withColumn("Effects on mammary gland", mammary_label(F.col(fixed.MAMMARY_COLUMN), F.col("status")))
     return rename(labelled.drop(fixed.MAMMARY_COLUMN, "status"), fixed.INTEGRATED_NAMES)
 

@@ -1,7 +1,8 @@
 """The four stages of the analysis, each from tables to tables.
 
 Nothing is written between stages; pass the result of one to the next, or land it with ``sources.writers.write_stage``.
-Key columns of all joins are written out. Checks return reports and are not run unless ``check`` is set.
+Key columns of all joins are written out. Checks are not made unless ``check`` is set: then the stage's table is written,
+and what the joins rely on is counted in the same pass (see :class:`~dosescreen.operators.quality.Audit`).
 """
 
 from __future__ import annotations
@@ -12,27 +13,34 @@ from pyspark.sql import functions as F
 from dosescreen import fixed_values as fixed
 from dosescreen.functions import numeric as num
 from dosescreen.operators import assay, charts, evidence, exposure, quality, screening, statistics
-from dosescreen.operators.aggregates import distinct_by
-from dosescreen.operators.joins import join_on, member_of
+from dosescreen.operators.aggregates import distinct_by, duplicated_keys
+from dosescreen.operators.joins import join_on, member_of, with_membership
 from dosescreen.operators.reshape import column_range, pick, quoted, rename, unpivot
 from dosescreen.session import cut_lineage
 
 PLATE = "date_chnm_plate"
 
 
+def _not_unique(keys: list[str]) -> str:
+    return f"keys {keys} are not unique"
+
+
 def potency(
     direction: DataFrame, hits: DataFrame, concentrations: DataFrame, wells: DataFrame, distances: DataFrame,
     ac50: DataFrame, substances: DataFrame, predictions: DataFrame, check: bool = False,
-    known_gaps: DataFrame | None = None,
+    known_gaps: DataFrame | None = None, audit: quality.Audit | None = None,
 ) -> DataFrame:
     """Chemicals that raise a hormone: LEC, MFC, hits, tested range, directions, distance, AC50, predicted intake.
 
     With ``check`` the tables must have what the joins rely on; ``known_gaps`` (chnm) lists who may lack a prediction.
+    ``audit`` may be given to read the counts afterwards.
     """
+    audit = (audit or quality.Audit()) if check else None
     plates = [c for c in direction.columns if c != "steroid"]
-    directions = assay.direction_table(direction, plates)
-    if check:
-        quality.require_unique(distinct_by(directions, ["chnm", PLATE]), ["chnm"])
+    directions = assay.direction_table(direction, plates, audit=audit)
+    if audit:
+        several = distinct_by(directions, ["chnm", PLATE])
+        audit.expect(lambda c: not c["lowest"]["ambiguous"], lambda: duplicated_keys(several, ["chnm"]), _not_unique(["chnm"]))
     channels = column_range(hits, "OH-Pregnenolone", "Estradiol")
     ids = [PLATE, "chnm", "casn"]
     slots = assay.unpack_hits(pick(hits, ids + channels), ids, channels)
@@ -40,9 +48,11 @@ def potency(
     marked = join_on(
         pick(directions, [PLATE, "steroid", "direction", "plate"]), slots, [PLATE, "steroid"]
     )
-    levels = assay.dose_levels(pick(concentrations, [PLATE, "conc"]), [PLATE])
-    if check:
-        quality.require_unique(levels, [PLATE, "dose_level"])
+    levels = assay.dose_levels(pick(concentrations, [PLATE, "conc"]), [PLATE], ties="__ties" if audit else None)
+    if audit:
+        slots = [PLATE, "dose_level"]
+        levels = audit.watch(levels, "levels", tied=F.count_if(F.col("__ties") > 1)).drop("__ties")
+        audit.expect(lambda c: not c["levels"]["tied"], lambda: duplicated_keys(levels, slots), _not_unique(slots))
     dosed = join_on(marked, levels, [PLATE, "dose_level"])
 
     tidy = assay.tidy_wells(wells)
@@ -53,15 +63,24 @@ def potency(
         tidy.where(F.col("spid") == fixed.CONTROL_SAMPLE), ["steroid", "date", "plate"], "uM", "flag",
         "control_bar", "control_flag_bar",
     )
+    if audit:
+        means = audit.watch(means, "means", unnamed=F.count_if(F.col("chnm").isNull()))
     folds = assay.fold_change(means, controls, ["steroid", "date", "plate"])
-    if check:
-        unnamed = quality.null_count(means, ["chnm"]).exceptAll(quality.null_count(folds, ["chnm"]))
-        quality.require_empty(unnamed, "the controls change the number of wells without a name")
+    if audit:
+        changed = folds = audit.watch(folds, "folds", unnamed=F.count_if(F.col("chnm").isNull()))
+        audit.expect(
+            lambda c: c["means"]["unnamed"] == c["folds"]["unnamed"],
+            lambda: quality.null_count(means, ["chnm"]).exceptAll(quality.null_count(changed, ["chnm"])),
+            "the controls change the number of wells without a name",
+        )
     folds = assay.dose_levels(folds, ["casn", "steroid", "plate", "date"])
     folds = pick(folds, ["casn", "steroid", "plate", "dose_level", "foldchange"])
-    if check:
-        quality.require_unique(folds.where(F.col("casn").isNotNull()), ["casn", "steroid", "plate", "dose_level"])
-    combined = assay.signed_hits(join_on(dosed, folds, ["casn", "steroid", "plate", "dose_level"]))
+    doses = ["casn", "steroid", "plate", "dose_level"]
+    combined = assay.signed_hits(join_on(audit.watch(dosed, "dosed") if audit else dosed, folds, doses))
+    if audit:
+        combined = audit.watch(combined, "combined")
+        audit.same_rows("dosed", "combined", lambda: duplicated_keys(folds.where(F.col("casn").isNotNull()), doses),
+                        _not_unique(doses))
 
     keys = [PLATE, "steroid", "direction", "plate", "chnm", "casn", "hits"]
     effects = assay.lec_mfc(combined.where(F.col("direction") == 1), keys)
@@ -72,19 +91,28 @@ def potency(
         fixed.CHANNELS,
     )
     distanced = assay.attach_distance(chosen, distances, [PLATE, "chnm", "casn"], "adj_maxmMD")
-    if check:
-        quality.require_unique(substances, ["code"])
+    if audit:
+        distanced = audit.watch(distanced, "distanced")
         coded = join_on(pick(ac50, ["code"]), pick(substances, ["code", "casn"]), ["code"], "inner")
-        quality.require_unique(member_of(coded, "casn", distanced, "casn"), ["casn"])
+        codes = lambda: duplicated_keys(substances, ["code"])
+        names = lambda: duplicated_keys(member_of(coded, "casn", distanced, "casn"), ["casn"])
+        for findings, key in ((codes, "code"), (names, "casn")):
+            audit.same_rows("distanced", "measured", findings, _not_unique([key]))
     measured = assay.attach_matrix(
         distanced, ac50, substances, {c: f"AC50_{h}" for c, h in fixed.MATRIX_COLUMNS.items()}
     ).drop("adj_maxmMD_text", *[f"AC50_{h}_text" for h in fixed.CHANNELS])
+    if audit:
+        measured = audit.watch(measured, "measured")
     renamed = predictions.withColumn("chnm", assay.clean_names(F.col("Substance_Name")))
     potent = assay.attach_prediction(measured, renamed, {"casn": "CAS", "chnm": "chnm"}, keep=("Pathway",))
-    if check and known_gaps is not None:
-        gaps = quality.unexpected_nulls(potent, "seem3", "chnm", known_gaps, "chnm")
-        quality.require_empty(gaps, "chemicals without a prediction that are not known gaps")
-    return potent
+    if not audit:
+        return potent
+    known = with_membership(potent, "chnm", {"__known": (known_gaps if known_gaps is not None else potent.limit(0), "chnm")})
+    watched = audit.watch(known, "potent", gaps=F.count_if(F.col("seem3").isNull() & ~F.col("__known"))).drop("__known")
+    if known_gaps is not None:
+        audit.expect(lambda c: not c["potent"]["gaps"], lambda: quality.unexpected_nulls(potent, "seem3", "chnm", known_gaps, "chnm"),
+                     "chemicals without a prediction that are not known gaps")
+    return audit.settled(watched)
 
 
 def sources(
@@ -124,20 +152,22 @@ def invivo(
 def integration(
     potent: DataFrame, tidy_sources: DataFrame, evidence_matrix: DataFrame, areas: DataFrame, pesticides: DataFrame,
     ac10: DataFrame, hit_calls: DataFrame, substances: DataFrame, drug_products: DataFrame, pesticide_status: DataFrame,
-    uses: DataFrame | None = None, check: bool = False,
+    uses: DataFrame | None = None, check: bool = False, audit: quality.Audit | None = None,
 ) -> dict[str, DataFrame]:
     """Integrated, ranked and prioritised tables, the two published ones, correlations and the tables behind the charts.
 
     ``uses`` is ``specific`` of :func:`sources`; without it there is no ``use_counts``.
     """
-    if check:
-        for side, key in ((tidy_sources, "casrn"), (evidence_matrix, "casn"), (pesticides, "CASRN")):
-            quality.require_unique(side, [key])
+    audit = (audit or quality.Audit()) if check else None
     labelled = assay.label_areas(
         areas.withColumnRenamed("CASRN_Adj (4-30-21)", "CASRN"), "CASRN", "AUC.Agonist", "AUC.Antagonist"
     )
     # read by five of the results below, and the ranking reads its input several times
-    table = cut_lineage(screening.integrated_long(potent, labelled, tidy_sources, pesticides, evidence_matrix))
+    table = cut_lineage(screening.integrated_long(potent, labelled, tidy_sources, pesticides, evidence_matrix, audit=audit))
+    if audit:
+        for side, key in ((tidy_sources, "casrn"), (evidence_matrix, "casn"), (pesticides, "CASRN")):
+            audit.same_rows("with_areas", "integrated", lambda s=side, k=key: duplicated_keys(s, [k]), _not_unique([key]))
+        audit.verify()
     filtered = screening.potency_filter(table).withColumns({
         "seem": num.parse_number(quoted(fixed.INTAKE)),
         "Chemical name": screening.display_name(quoted("Chemical name")),
