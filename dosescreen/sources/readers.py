@@ -6,17 +6,21 @@ Unknown columns of a file are ignored by name. A text file that is read more tha
 
 from __future__ import annotations
 
+import csv
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dosescreen.functions import text as txt
 from dosescreen.operators.quality import parse_failures
 from dosescreen.operators.reshape import quoted
-from dosescreen.session import STAGE_PREFIX, use_checkpoints
+from dosescreen.session import STAGE_PREFIX, cut_lineage, use_checkpoints
 
 MISSING = "NA"
+#: Files that a landed matrix may have for each column.
+LANDED_PARTS = 8
 
 # column types of the known inputs; columns not named here stay text
 SCHEMAS: dict[str, dict[str, str]] = {
@@ -39,12 +43,14 @@ def read_delimited(
     ``skip`` lines before the header are left out of every file. ``missing`` is NULL. So is the empty text, and short rows
     are filled with NULL, unless ``keep_blank``: then both are empty texts.
     """
-    if skip:
-        path = _without_top(spark, path, skip)
-    df = spark.read.options(
-        header="true", sep=sep, quote=quote, nullValue="" if keep_blank else missing, emptyValue="", mode="PERMISSIVE",
-        multiLine=str(multiline).lower(),
-    ).csv(path)
+    options = _options(sep, quote, "" if keep_blank else missing)
+    if skip and not multiline:
+        names, lines = _body(numbered_lines(spark, path), sep, quote, skip)
+        df = lines.select(_parsed(names, options).alias("__row")).select("__row.*")
+    else:
+        if skip:
+            path = _without_top(spark, path, skip)
+        df = spark.read.options(header="true", multiLine=str(multiline).lower(), **options).csv(path)
     first = df.columns[0]
     df = df.withColumnRenamed(first, "code") if first in ("_c0", "", "X1") else df
     if keep_blank:
@@ -52,16 +58,81 @@ def read_delimited(
     return df.select(*[F.nullif(quoted(c), F.lit("")).alias(c) for c in df.columns])
 
 
+def _options(sep: str, quote: str, missing: str) -> dict[str, str]:
+    return {"sep": sep, "quote": quote, "nullValue": missing, "emptyValue": "", "mode": "PERMISSIVE"}
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of all files, numbered from 1 in each, however the files are split.
+
+    Lines keep their order inside a block of a file, so a line's number is its place in the block and the lines of the
+    blocks before. The table of blocks has one row per block; the lines are settled, so that places are fixed.
+    """
+    lines = cut_lineage(spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    ))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "start").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(blocks, ["file", "start"]).select("file", (F.col("place") + F.col("shift")).alias("line"), "value")
+
+
+def _body(lines: DataFrame, sep: str, quote: str, skip: int) -> tuple[list[str], DataFrame]:
+    """The names in the header, and the filled lines behind it. All files have the header of the first one."""
+    filled = lines.where((F.col("line") > skip) & (F.trim("value") != ""))
+    headers = filled.groupBy("file").agg(F.min(F.struct("line", "value")).alias("top")).select("file", "top.*")
+    top = headers.orderBy("file").select("value").first()
+    if top is None:
+        raise ValueError("no header line")
+    marked = {"quotechar": quote} if quote else {"quoting": csv.QUOTE_NONE}
+    names = next(csv.reader([top["value"].removeprefix("\ufeff")], delimiter=sep, **marked))
+    names = [n or f"_c{i}" for i, n in enumerate(names)]
+    seen = [n.lower() for n in names]
+    names = [f"{n}{i}" if seen.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+    heads = headers.select(F.col("file").alias("__file"), F.col("line").alias("__line"))
+    return names, filled.join(heads, F.col("file") == F.col("__file")).where("line > __line").drop("__file", "__line")
+
+
+def _parsed(names: list[str], options: dict[str, str]) -> Column:
+    return F.from_csv("value", ", ".join(f"`{n.replace('`', '``')}` string" for n in names), options)
+
+
 def _without_top(spark: SparkSession, path: str, skip: int) -> str:
-    """Copy each file without its first lines into the shared folder, by position whatever they hold.
+    """Copy each file without its first lines into the shared folder, for records that span lines.
 
-    A file passes as one value, so files with lines to skip (published lists with a title) are limited to 2 GB each.
+    The lines of a file are written in their order by one task, as Spark reads such files by one task too.
     """
     folder = f"{use_checkpoints(spark)}/{STAGE_PREFIX}{uuid.uuid4().hex}"
-    rest = F.regexp_replace("value", r"\A(?:[^\n]*(?:\n|\z)){%d}" % skip, "")
-    files = spark.read.text(path, wholetext=True).select(rest.alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(folder)
-    return folder
+    rest = numbered_lines(spark, path).where(F.col("line") > skip).withColumn("of", F.sha1("file"))
+    rest.repartition("of").sortWithinPartitions("of", "line").select("of", "value").write.partitionBy("of").text(folder)
+    return f"{folder}/*"
+
+
+def rejected_rows(
+    spark: SparkSession, path: str, types: dict[str, str], sep: str = ",", quote: str = '"', skip: int = 0,
+    missing: str = MISSING,
+) -> DataFrame:
+    """(file, line, reason, columns, raw): the lines that do not give a whole row of the wanted types.
+
+    The reason is ``short`` or ``long`` for too few or too many fields, else ``type`` with the columns that do not parse,
+    comma-joined. Records are single lines; ``types`` of columns that the file lacks are ignored.
+    """
+    names, lines = _body(numbered_lines(spark, path), sep, quote, skip)
+    mark = re.escape(quote) if quote else None
+    bare = F.regexp_replace("value", f"{mark}(?:[^{mark}]|{mark}{mark})*{mark}", "") if quote else F.col("value")
+    fields = F.regexp_count(bare, F.lit(re.escape(sep))) + 1
+    row = _parsed(names, _options(sep, quote, missing)).alias("__row")
+    wrong = F.array_compact(F.array(*[
+        F.when((F.col(f"__row.`{c}`") != "") & F.col(f"__row.`{c}`").try_cast(t).isNull(), F.lit(c))
+        for c, t in types.items() if c in names
+    ])) if any(c in names for c in types) else F.array().cast("array<string>")
+    reason = (F.when(F.col("__fields") < len(names), "short").when(F.col("__fields") > len(names), "long")
+              .when(F.size("__wrong") > 0, "type"))
+    found = lines.select("*", row, fields.alias("__fields")).withColumn("__wrong", wrong)
+    columns = F.when(F.col("reason") == "type", F.array_join("__wrong", ",")).otherwise(F.lit(""))
+    return (found.withColumn("reason", reason).where("reason IS NOT NULL")
+            .select("file", "line", "reason", columns.alias("columns"), F.col("value").alias("raw")))
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -100,6 +171,26 @@ def read_matrix(spark: SparkSession, path: str, columns: list[str], sep: str = "
     return numeric_except(wide.select(quoted(code), *[quoted(c) for c in columns]), [code])
 
 
+def land_matrix(spark: SparkSession, path: str, folder: str, sep: str = ",", code: str = "code") -> DataFrame:
+    """Read a wide assay matrix once and land it as a long table, one folder for each column, sorted by code.
+
+    Gives (row, code, value, name), ``row`` telling rows of one code apart. Cells that are no numbers are NULL.
+    """
+    wide = numeric_except(read_delimited(spark, path, sep=sep), [code]).withColumn("row", F.monotonically_increasing_id())
+    names = [c for c in wide.columns if c not in (code, "row")]
+    # one table in wide form is settled, as the columns' folders are written by many tasks
+    long = cut_lineage(wide).unpivot(["row", quoted(code)], [quoted(c) for c in names], "name", "value")
+    dealt = long.repartition(F.col("name"), F.pmod("row", F.lit(LANDED_PARTS))).sortWithinPartitions("name", code)
+    dealt.write.mode("overwrite").partitionBy("name").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def read_landed(spark: SparkSession, folder: str, columns: list[str], code: str = "code") -> DataFrame:
+    """A few columns of a landed matrix in wide form: only the folders of these columns are read."""
+    long = spark.read.parquet(folder).where(F.col("name").isin(columns))
+    return long.groupBy("row", quoted(code)).pivot("name", columns).agg(F.first("value")).drop("row")
+
+
 def without_guard(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, txt.strip_guard(quoted(column)))
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosescreen.functions import numeric as num
-from dosescreen.operators import assay, ranking
+from dosescreen.operators import assay, joins, ranking
 from dosescreen.operators.joins import join_on
+from dosescreen.operators.quality import Audit
 from dosescreen.operators.reshape import column_range, split_columns, unpivot, unpivot_groups, widen
 from dosescreen.session import cut_lineage
 from workload.registry import query, table
@@ -136,6 +137,23 @@ def control_fold_change(spark, folder):
     return folds(spark, folder)
 
 
+@query("natural_join", f"""WITH {FOLDS} SELECT m.*, c.control_bar, c.control_flags FROM means m NATURAL LEFT JOIN controls c""")
+def natural_join(spark, folder):
+    """Means beside the controls of the columns that both tables have: channel and plate."""
+    controls = assay.collapse_replicates(
+        wells(spark, folder).where("disc = 0"), ["channel", "plate"], "resp", "flag", "control_bar", "control_flags", 2
+    )
+    audit = Audit()
+    joined = joins.natural_join(replicate_means(spark, folder), controls, keys=["channel", "plate"], null_keys_match=False, audit=audit)
+    return audit.settled(joined)
+
+
+@query("natural_join_keys", """SELECT 'doc_id' AS key, 'bigint' AS left_type, 'bigint' AS right_type,
+  (SELECT count(*) FILTER (doc_id IS NULL) FROM documents) AS left_nulls, (SELECT count(*) FILTER (doc_id IS NULL) FROM labels) AS right_nulls""")
+def natural_join_keys(spark, folder):
+    return joins.key_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("dose_level_avg_rank", """
 SELECT l_orderkey, l_linenumber, l_partkey AS chem, l_returnflag AS channel, l_quantity AS conc,
        rank() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_quantity)
