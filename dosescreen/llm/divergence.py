@@ -1,8 +1,9 @@
 """How far the sources of a language diverge in their words, with identical texts collapsed first.
 
-Identical texts of a language become one row with the number of copies in each source (combined in the map tasks), and
-are tokenised once; a text's counts and document frequencies are weighted by the copies. A language keeps the terms that
-enough of its documents hold. Every source, and the language, gives a kept term ``p = 1 + floor(SCALE * (count + 2) /
+Identical texts of a language meet by digest, with the number of copies in each source, and are tokenised once; a text's
+counts and document frequencies are weighted by the copies. Every task sends a text once and its copies as numbers, so a
+text that a third of all documents have costs one row for each task. A language keeps the terms that enough of its
+documents hold; counts are exchanged once, by language and term. Every source, and the language, gives a kept term ``p = 1 + floor(SCALE * (count + 2) /
 (N + 2 V))``, and two distributions differ by the sum over the kept terms of ``floor((p - q)^2 / (p + q))``.
 
 Pairs are evaluated on the sparse counts: a term that neither source holds adds the same to the sum, so the sum starts
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ TOP = 10
 SCALE = 1_000_000_000
 #: Sources that a tile holds on each side, and the slices that the terms of a tile are cut into.
 BLOCK, SLICES = 256, 32
-#: Terms that a task counts before it hands its sums on.
-HELD = 400_000
+#: Texts and terms that a task counts before it hands its sums on.
+TEXTS, HELD = 200_000, 600_000
+LOW = (1 << 64) - 1
 #: Letters stay, A-Z in lower case, as do bytes of other characters; everything else parts terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -46,58 +49,99 @@ def terms(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LETTERS).split()
 
 
-def collapsed(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
-              text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lang, text, sources) with each distinct text of a language once, and (lang, source) of all groups.
+def collapsed(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(lang, digest, source, n, text), dealt and sorted by language and digest.
 
-    ``sources`` is an array of (source, n), n being the documents of that source with the text.
+    The first row of a digest has the text; others may repeat it, or have a source and the number of its copies.
     """
     def filled(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
+    names = ["lang", "digest", "source", "n", "text"]
+    kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies: dict[tuple[str, bytes], Counter] = {}
+
+        def numbers() -> Iterator[pa.RecordBatch]:
+            rows = [(lang, digest, source, n, None) for (lang, digest), held in copies.items() for source, n in held.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+        for batch in batches:
+            first, digests = [], []
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k, (lang, source, text) in enumerate(zip(langs, sources, batch.column(2).cast(pa.large_binary()))):
+                digest = xxhash.xxh3_128_digest(memoryview(text.as_buffer()))
+                held = copies.get((lang, digest))
+                if held is None:
+                    held = copies[lang, digest] = Counter()
+                    first.append(k)
+                    digests.append(digest)
+                held[source] += 1
+            if first:
+                at = pa.array(first, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), pa.array(digests, pa.binary()), pa.nulls(len(first), pa.string()),
+                     pa.nulls(len(first), pa.int64()), batch.column(2).take(at)], names)
+            if len(copies) > TEXTS:
+                yield from numbers()
+                copies = {}
+        yield from numbers()
+
     slim = docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), filled(text_col).alias("text"))
-    slim = slim.withColumn("digest", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"),
-                                              F.octet_length("text").alias("n")))
-    copies = cut_lineage(slim.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")))
-    sources = copies.groupBy("lang", "digest").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))
-    texts = slim.groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    return (texts.join(sources, ["lang", "digest"]).select("lang", "text", "sources"),
-            copies.select("lang", "source").distinct())
+    sent = slim.mapInArrow(work, "lang string, digest binary, source string, n long, text string")
+    return sent.repartition("lang", "digest").sortWithinPartitions("lang", "digest", F.col("n").asc_nulls_first())
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents that hold the term, of each group."""
+    """(lang, source, term, n, docs): occurrences, and documents that hold the term, in each group; parts of the sums.
+
+    Every group also has the empty term, with 0.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[dict, dict]] = {}
-        size = 0
+        # occurrences and documents of a term in one whole number, which is exact at any size
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size, key, found, copies = 0, None, [], Counter()
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (number, docs) in held.items():
-                k = len(number)
+            for (lang, source), sums in held.items():
+                k = len(sums)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, k), pa.repeat(source, k), pa.array(number, pa.binary()).cast(pa.string()),
-                     pa.array(number.values(), pa.int64()), pa.array(docs.values(), pa.int64())],
-                    ["lang", "source", "term", "n", "docs"])
+                    [pa.repeat(lang, k), pa.repeat(source, k), pa.array(sums, pa.binary()).cast(pa.string()),
+                     pa.array([v >> 64 for v in sums.values()], pa.int64()),
+                     pa.array([v & LOW for v in sums.values()], pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+        def add() -> int:
+            grown = 0
+            for source, n in copies.items():
+                sums = held.setdefault((key[0], source), {b"": 0})
+                grown -= len(sums)
+                if n == 1:
+                    for term, number in found:
+                        sums[term] = sums.get(term, 0) + number
+                else:
+                    for term, number in found:
+                        sums[term] = sums.get(term, 0) + number * n
+                grown += len(sums)
+            return grown
 
         for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lang, text, places in zip(langs, batch.column(1).cast(pa.large_binary()), sources):
-                found = Counter(terms(text.as_py()))
-                for place in places:
-                    copies = place["n"]
-                    number, docs = held.setdefault((lang, place["source"]), ({}, {}))
-                    size -= len(number)
-                    for term, k in found.items():
-                        number[term] = number.get(term, 0) + k * copies
-                        docs[term] = docs.get(term, 0) + copies
-                    size += len(number)
+            rows = zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4).cast(pa.large_binary()))
+            for lang, digest, source, n, text in rows:
+                if (lang, digest) != key:
+                    size += add()
+                    key, copies = (lang, digest), Counter()
+                    found = [(term, (k << 64) + 1) for term, k in Counter(terms(text.as_py())).items()]
+                if n is not None:
+                    copies[source] += n
             if size > HELD:
                 yield from flushed()
                 held, size = {}, 0
+        add()
         yield from flushed()
 
-    parts = texts.mapInArrow(work, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return texts.mapInArrow(work, "lang string, source string, term string, n long, docs long")
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -240,12 +284,15 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, lang_col: st
     Part ``pair`` has the distance to each other source, ``term`` the ``top`` terms that the source has more of than its
     language, by their share of the distance to the language.
     """
-    texts, present = collapsed(docs, lang_col, source_col, text_col)
-    cells = cut_lineage(counted(texts))
-    kept = cut_lineage(cells.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("of_lang"))
-                       .where(F.col("docs") >= least).drop("docs"))
-    sparse = cut_lineage(cells.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "of_lang"))
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("lang_total"))
+    parts = counted(collapsed(docs, lang_col, source_col, text_col))
+    # tasks have combined their counts; dealt by language and term, sums by source and over all sources need no other exchange
+    cells = parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    cells = cut_lineage(cells.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("of_lang"),
+                                     F.sum("docs").over(of_term).alias("docs")).where((F.col("docs") >= least) | (F.col("term") == "")))
+    sparse, present = cells.where("term <> ''").drop("docs"), cells.where("term = ''").select("lang", "source")
+    kept = sparse.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
     totals = sparse.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = cut_lineage(present.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
         "lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "kept", "lang_total")],
