@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosescreen import fixed_values as fixed
 from dosescreen.functions import text as txt
 from dosescreen.functions.rules import append_match, first_match, flag_text
-from dosescreen.operators.aggregates import collapse_distinct, count_by
+from dosescreen.operators.aggregates import collapse_distinct, count_by, distinct_by
 from dosescreen.operators.joins import join_on, member_of
 from dosescreen.operators.reshape import named, quoted, stack_rows
+from dosescreen.session import cut_lineage
 
 
 def catalogue_records(
@@ -52,14 +55,32 @@ def broad_label(
     }
 
 
-def categorise(records: DataFrame, **rules) -> DataFrame:
-    """Add ``fromsource``, ``split``, ``cassette3`` and the broad category ``cassette4`` to catalogue records."""
-    out = records
+def by_distinct(df: DataFrame, fields: list[str], add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with the columns that ``add`` derives from ``fields``, derived once for each distinct value of these.
+
+    Catalogues repeat few paths over many records, and a step tries dozens of patterns. The values are combined in the
+    map tasks and joined back, NULL matching NULL; ``df`` is settled, as both sides read it.
+    """
+    df = cut_lineage(df)
+    return join_on(df, add(distinct_by(df, fields)), fields, null_keys_match=True)
+
+
+# what the rules of catalogues and of products read
+PATH, PRODUCT = ["source", "cassette"], ["product_use_category"]
+
+
+def _categorised(paths: DataFrame, **rules) -> DataFrame:
+    out = paths
     for name, expression in broad_label(**rules).items():
         out = out.withColumn(name.rstrip("_"), expression)
     return out
 
 
+def categorise(records: DataFrame, **rules) -> DataFrame:
+    """Add ``fromsource``, ``split``, ``cassette3`` and the broad category ``cassette4`` to catalogue records."""
+    return by_distinct(records, PATH, lambda paths: _categorised(paths, **rules))
+
+
 def product_uses(
     ids: DataFrame, ingredients: DataFrame, products: DataFrame, universe: DataFrame,
     record: str = "cpdat_substance_record_id", product: str = "product_id", chem: str = "casrn",
@@ -78,7 +99,7 @@ def product_uses(
 def categorise_products(uses: DataFrame, rules=None) -> DataFrame:
     """Everything in the product list is a consumer product, some also pesticides."""
     rules = fixed.PRODUCT_RULES if rules is None else rules
-    return uses.withColumn("cassette4", first_match(rules, F.lit(fixed.PRODUCT_DEFAULT)))
+    return by_distinct(uses, PRODUCT, lambda p: p.withColumn("cassette4", first_match(rules, F.lit(fixed.PRODUCT_DEFAULT))))
 
 
 def _titled(label: Column) -> Column:
@@ -112,9 +133,10 @@ def source_summary(records: DataFrame, uses: DataFrame, chem: str = "casrn") ->
 
     Gives the same rows as joining :func:`category_flags` and :func:`specific_uses`.
     """
+    product = first_match(fixed.PRODUCT_RULES, F.lit(fixed.PRODUCT_DEFAULT))
     both = [
-        categorise(catalogue_uses(records)),
-        categorise_products(product_specific_uses(uses)),
+        by_distinct(records, PATH, lambda paths: _categorised(_used(paths, fixed.USE_RULES, fixed.USE_APPENDS))),
+        by_distinct(uses, PRODUCT, lambda p: _product_used(p, fixed.PRODUCT_USE_RULES).withColumn("cassette4", product)),
     ]
     labels = F.array(*[
         F.struct(F.lit(i).alias("__kind"), quoted(c).alias("__label")) for i, c in enumerate(("cassette4", "Other"))
@@ -131,20 +153,20 @@ def source_summary(records: DataFrame, uses: DataFrame, chem: str = "casrn") ->
     return _with_flags(cells)
 
 
+def _used(paths: DataFrame, rules, appends) -> DataFrame:
+    first = paths.withColumn("term1", txt.term("cassette")).withColumn("Other", first_match(rules, F.lit(fixed.NO_USE)))
+    return first.withColumn("Other", append_match(appends, F.col("cassette"), F.col("Other"))).drop("term1")
+
+
 def catalogue_uses(records: DataFrame, rules=None, appends=None) -> DataFrame:
     """Specific use of catalogue records: the first rule that applies, then at most one appended use."""
     rules = fixed.USE_RULES if rules is None else rules
     appends = fixed.USE_APPENDS if appends is None else appends
-    first = records.withColumn("term1", txt.term("cassette")).withColumn(
-        "Other", first_match(rules, F.lit(fixed.NO_USE))
-    )
-    return first.withColumn("Other", append_match(appends, F.col("cassette"), F.col("Other"))).drop("term1")
+    return by_distinct(records, ["cassette"], lambda paths: _used(paths, rules, appends))
 
 
-def product_specific_uses(uses: DataFrame, rules=None) -> DataFrame:
-    """Specific use of products; a personal-care product names that first."""
-    rules = fixed.PRODUCT_USE_RULES if rules is None else rules
-    first = uses.withColumn("Other", first_match(rules, F.lit(fixed.NO_USE)))
+def _product_used(products: DataFrame, rules) -> DataFrame:
+    first = products.withColumn("Other", first_match(rules, F.lit(fixed.NO_USE)))
     personal = txt.matches("product_use_category", fixed.PERSONAL_PRODUCT)
     return first.withColumn(
         "Other",
@@ -153,6 +175,12 @@ def product_specific_uses(uses: DataFrame, rules=None) -> DataFrame:
     )
 
 
+def product_specific_uses(uses: DataFrame, rules=None) -> DataFrame:
+    """Specific use of products; a personal-care product names that first."""
+    rules = fixed.PRODUCT_USE_RULES if rules is None else rules
+    return by_distinct(uses, PRODUCT, lambda products: _product_used(products, rules))
+
+
 def specific_uses(tables: list[DataFrame], chem: str = "casrn") -> DataFrame:
     """One row per chemical with all specific uses in one cell."""
     collapsed = _collapse_titles(tables, "Other", chem, "Other")

@@ -92,3 +92,15 @@ def test_tokens(spark):
         ("a", "fragrance, fragrance"), ("b", "personal care, hair dye"), ("c", ""), ("d", "")]
     assert rows(exposure.rows_to_tokens(exposure.use_tokens(table))) == [
         ("a", "fragrance, fragrance"), ("b", "personal care, hair dye")]
+
+
+def test_rules_run_on_distinct_paths(spark):
+    """Every pattern is tried behind the aggregation that leaves each path once."""
+    known = records(spark, [("Cat", "pesticide|consumer_use", i, "c1") for i in range(50)] + [(None, None, 99, "c2")])
+    used = spark.createDataFrame([("c1", "toys", "s")] * 5, "casrn string, product_use_category string, source string")
+    for out in (exposure.categorise(known), exposure.catalogue_uses(known), exposure.product_specific_uses(used)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        distinct = next(i for i, line in enumerate(plan) if "Aggregate [" in line)
+        # what the aggregation puts out is computed once for each path
+        assert any("RLIKE" in line for line in plan[:distinct + 1]) and not any("RLIKE" in line for line in plan[distinct + 1:])
+    assert exposure.categorise(known).count() == 51 and exposure.categorise(known).columns[:4] == known.columns

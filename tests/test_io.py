@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -84,3 +85,45 @@ def test_scratch_tables_go_after_a_failure(spark):
         1 / 0
     assert kept.count() == 3
     assert not os.path.exists(inside.inputFiles()[0].removeprefix("file://"))
+
+
+@pytest.mark.parametrize("block", ["9", "64", "1m"])
+def test_lines_are_numbered_in_blocks_of_any_size(spark, tmp_path, block):
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    save(folder / "a.csv", "Title\nsecond\n,e,e\n" + "".join(f"C{i},{i},x\n" for i in range(40)))
+    save(folder / "b.csv", "Other\n\n\n,e,e\nD1,1,\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = readers.numbered_lines(spark, str(folder))
+        found = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in lines.collect())
+        df = readers.read_commas(spark, str(folder), skip=2)
+        assert df.columns == ["code", "e1", "e2"]
+        assert rows(df) == sorted([(f"C{i}", str(i), "x") for i in range(40)] + [("D1", "1", None)], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(f.name, k + 1, v) for f in (folder / "a.csv", folder / "b.csv") for k, v in enumerate(f.read_text().splitlines())]
+    assert found == sorted(want)
+
+
+def test_rejected_rows(spark, tmp_path):
+    path = save(tmp_path / "w.csv", 'title\nname,uM,n\n"a, b",1.5,1\n"c,""d",x,2\nonly\n\ne,2,3,4\nf,NA,2.5\n')
+    found = readers.rejected_rows(spark, path, {"uM": "double", "n": "int", "other": "int"}, skip=1)
+    assert rows(found, "line", "reason", "columns", "raw") == sorted([
+        (4, "type", "uM", '"c,""d",x,2'), (5, "short", "", "only"), (7, "long", "", "e,2,3,4"), (8, "type", "n", "f,NA,2.5"),
+    ], key=repr)
+    assert {r["file"].rsplit("/", 1)[1] for r in found.collect()} == {"w.csv"}
+
+
+def test_landed_matrix(spark, tmp_path):
+    path = save(tmp_path / "m.csv", ",A up,B_up,C\nC1,1.5,NA,7\nC2,1000000,2,y\nC2,3,NA,8\n")
+    landed = readers.land_matrix(spark, path, str(tmp_path / "landed"))
+    assert landed.count() == 9
+    df = readers.read_landed(spark, str(tmp_path / "landed"), ["A up", "B_up"])
+    assert rows(df, "code", "A up", "B_up") == [("C1", 1.5, None), ("C2", 1000000.0, 2.0), ("C2", 3.0, None)]
+    one = readers.read_landed(spark, str(tmp_path / "landed"), ["C"])
+    assert rows(one) == [("C1", 7.0), ("C2", 8.0), ("C2", None)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(name#\d+ = C\)", plan)

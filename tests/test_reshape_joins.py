@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from dosescreen.operators import aggregates, joins, quality, reshape
+from dosescreen.operators.quality import Audit
 from tests.conftest import rows
 
 
@@ -91,3 +93,26 @@ def test_quality_reports(spark):
     with pytest.raises(ValueError):
         quality.require_unique(df, ["k"])
     assert quality.require_unique(right.distinct(), ["k"]).count() == 2
+
+
+def test_natural_join(spark):
+    left = spark.createDataFrame([(1, "a", 5), (None, "b", 6), (2, "c", 7)], "k int, t string, x int")
+    right = spark.createDataFrame([("a", 1, 10), ("b", None, 20)], "t string, k int, y int")
+    assert joins.common_columns(left, right) == ["k", "t"]
+    joined = joins.natural_join(left, right, keys=["t", "k"])
+    assert joined.columns == ["k", "t", "x", "y"]
+    assert rows(joined) == sorted([(1, "a", 5, 10), (None, "b", 6, 20), (2, "c", 7, None)], key=repr)
+    assert rows(joins.natural_join(left, right, null_keys_match=False)) == sorted([(1, "a", 5, 10), (None, "b", 6, None), (2, "c", 7, None)], key=repr)
+    assert rows(joins.key_report(left, right)) == [("k", "int", "int", 1, 1), ("t", "string", "string", 0, 0)]
+    with pytest.raises(ValueError, match="different types: k"):
+        joins.natural_join(left, right.withColumn("k", F.col("k").cast("string")))
+    with pytest.raises(ValueError, match="no column in common"):
+        joins.natural_join(left, right.select("y"))
+    with pytest.raises(ValueError, match="share"):
+        joins.natural_join(left, right, keys=["t"])
+    audit = Audit()
+    with pytest.raises(ValueError, match="NULL in the keys"):
+        audit.settled(joins.natural_join(left, right, null_keys_match=False, audit=audit))
+    audit = Audit()
+    whole = joins.natural_join(left.where("k > 0"), right.where("k > 0"), null_keys_match=False, audit=audit)
+    assert audit.settled(whole).count() == 2 and audit.counts()["natural_left"] == {"rows": 2, "null_keys": 0}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosescreen import fixed_values as fixed
+from dosescreen.operators import quality
 from dosescreen.plans import stages
 from tests.conftest import rows
 
@@ -163,3 +164,25 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
     with pytest.raises(ValueError, match="not unique"):
         stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], areas, pesticides.union(pesticides),
                            ac10, calls, substances, drugs, status, check=True)
+
+
+def test_checks_start_no_job_of_their_own(spark, monkeypatch):
+    """Nothing but the writes computes anything; a count that is off is made sure of before it is an error."""
+    def fail(*_):
+        raise AssertionError("a check computed its findings")
+
+    monkeypatch.setattr(quality, "require_empty", fail)
+    audit = quality.Audit()
+    gaps = spark.createDataFrame([("Beta_x",)], "chnm string")
+    assert stages.potency(**study(spark), check=True, known_gaps=gaps, audit=audit).count() == 2
+    counts = audit.counts()
+    assert counts["lowest"] == {"rows": 2, "ambiguous": 0} and counts["potent"] == {"rows": 2, "gaps": 0}
+    assert counts["means"]["unnamed"] == counts["folds"]["unnamed"] == 2
+    monkeypatch.undo()
+    audit = quality.Audit()
+    table = audit.watch(spark.range(5), "five", odd=F.count_if(F.col("id") % 2 == 1))
+    audit.expect(lambda c: c["five"]["odd"] == 7, lambda: spark.range(0), "a false alarm")
+    assert audit.settled(table).count() == 5
+    assert rows(audit.report(spark)) == [("five", "odd", 2), ("five", "rows", 5)]
+    with pytest.raises(ValueError, match="watched already"):
+        audit.watch(spark.range(1), "five")

@@ -81,8 +81,9 @@ def integrated(spark, folder) -> DataFrame:
     peaks = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("CASRN")).agg(
         F.max("l_discount").alias("AUC.Agonist"), F.max("l_tax").alias("AUC.Antagonist")
     )
-    sources = parts.where(size > 2).select(
-        F.col("casn").alias("casrn"), F.when(F.col("p_type").isin(list(CONSUMER)), txt.recode("p_type", CONSUMER))
+    # parts of some sizes are there under another id, so that both sides have rows without a partner
+    sources = parts.select(
+        F.when(size > 2, F.col("casn")).otherwise(F.concat(F.lit("other "), "casn")).alias("casrn"), F.when(F.col("p_type").isin(list(CONSUMER)), txt.recode("p_type", CONSUMER))
         .alias("Cons."),
         F.when(size > 25, "1").otherwise("0").alias("Diet"), F.when(size < 10, "1*").otherwise("0").alias("Ind."),
         F.when(size.between(20, 30), "1").otherwise("0").alias("Pharma."),
@@ -90,8 +91,8 @@ def integrated(spark, folder) -> DataFrame:
         F.when(F.col("p_type") == "MEDIUM", "1").otherwise(" ").alias("No Toxcast Info."),
         F.lower("p_brand").alias("Sources of Interest"),
     )
-    pesticides = parts.where(size < 25).select(
-        F.col("casn").alias("CASRN"),
+    pesticides = parts.select(
+        F.when(size < 25, F.col("casn")).otherwise(F.concat(F.lit("other "), "casn")).alias("CASRN"),
         F.when(F.col("p_type").isin(list(STATUS)), txt.recode("p_type", STATUS)).alias("status"),
     )
     evidence = parts.select(

@@ -54,21 +54,27 @@ def pearson_test(spark, folder):
 STRONG = """WITH g AS (
   SELECT l_partkey, count(*) AS n, corr(l_extendedprice * (1 - l_discount), l_quantity) AS r FROM lineitem GROUP BY 1
   HAVING count(*) >= 3),
-s AS (SELECT l_partkey, n, r, (n - 2) / 2.0 AS a, 1 - r * r AS x FROM g WHERE abs(r) >= 0.5),
-t AS (SELECT l_partkey, any_value(n) AS n, any_value(r) AS r, any_value(a) AS a, any_value(x) AS x,
-      sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + k * ln(x)) / (a + k)) AS series
-  FROM (SELECT *, unnest(range(0, 200)) AS k FROM s) GROUP BY 1)
-SELECT l_partkey, n, round(r, 9) AS r,
-  round((a * ln(x) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + ln(series)) / ln(10), 6) AS log10_p FROM t"""
+s AS (SELECT l_partkey, n, r, (n - 2) / 2.0 AS a, 1 - r * r AS x, r * r AS y FROM g),
+t AS (SELECT l_partkey, sum(exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1.0) + k * ln(x)) / (a + k)) AS series
+  FROM (SELECT *, unnest(range(0, 200)) AS k FROM s WHERE abs(r) >= 0.5) GROUP BY 1),
+u AS (SELECT l_partkey, sum(exp(lgamma(a + 0.5 + k) - lgamma(a + 0.5) - lgamma(1.5 + k) + lgamma(1.5) + k * ln(y))) AS series
+  FROM (SELECT *, unnest(range(0, 200)) AS k FROM s WHERE abs(r) < 0.5 AND r <> 0) GROUP BY 1)
+SELECT l_partkey, n, round(r, 9) AS r, round(CASE WHEN abs(r) >= 0.5
+  THEN (a * ln(x) + lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + ln(t.series)) / ln(10)
+  WHEN r <> 0 THEN log10(1 - exp(0.5 * ln(y) + a * ln(x) + lgamma(a + 0.5) - lgamma(a) - lgamma(1.5)) * u.series)
+  ELSE 0 END, 6) AS log10_p FROM s LEFT JOIN t USING (l_partkey) LEFT JOIN u USING (l_partkey)"""
 
 
 @query("pearson_strong", STRONG)
 def pearson_strong(spark, folder):
-    """Parts whose net price goes with the quantity, and how surely: p values of many magnitudes."""
+    """How the net price of each part goes with the quantity, and how surely: p values of many magnitudes.
+
+    The SQL sums one series for strong correlations and another one for weak ones.
+    """
     rows = table(spark, folder, "lineitem").select(
         "l_partkey", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")
     )
-    out = statistics.pearson_test(rows, ["l_partkey"], "l_quantity", "net").where(F.abs("r") >= 0.5)
+    out = statistics.pearson_test(rows, ["l_partkey"], "l_quantity", "net")
     return out.select("l_partkey", "n", F.round("r", 9).alias("r"), F.round(F.log10("p_value"), 6).alias("log10_p"))
 
 
