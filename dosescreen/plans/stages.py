@@ -16,6 +16,7 @@ from dosescreen.operators import assay, charts, evidence, exposure, quality, scr
 from dosescreen.operators.aggregates import distinct_by, duplicated_keys
 from dosescreen.operators.joins import join_on, member_of, with_membership
 from dosescreen.operators.reshape import column_range, pick, quoted, rename, unpivot
+from dosescreen.plans.runs import Run, Tables
 from dosescreen.session import cut_lineage
 
 PLATE = "date_chnm_plate"
@@ -209,3 +210,19 @@ def integration(
         "table": table, "ranked": ranked, "points": points, "updated": updated, "ingredients": ingredients,
         "pesticide_products": status, "prioritised": prioritised, **published, **figures,
     }
+
+
+def study(run: Run, first: Tables, exposures: Tables, findings: Tables, rest: Tables, call_sources: list[str],
+          version: str = "1") -> dict[str, Tables]:
+    """All four stages, each resumed where ``run`` has complete tables of it.
+
+    ``first``, ``exposures``, ``findings`` and ``rest`` hold the inputs of :func:`potency`, :func:`sources`, :func:`invivo`
+    and :func:`integration` by the names of their arguments, without what earlier stages give.
+    """
+    potent = run.stage("potency", first, lambda: {"potent": potency(**first, check=True)}, version)
+    used = run.stage("sources", potent | exposures, lambda: sources(potent["potent"], **exposures), version)
+    seen = run.stage("invivo", potent | findings, lambda: invivo(potent["potent"], **findings, call_sources=call_sources),
+                     f"{version} {call_sources}")
+    given = {"potent": potent["potent"], "tidy_sources": used["tidy"], "evidence_matrix": seen["matrix"], "uses": used["specific"]}
+    return {"potency": potent, "sources": used, "invivo": seen,
+            "integration": run.stage("integration", given | rest, lambda: integration(**given, **rest, check=True), version)}

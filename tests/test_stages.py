@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dosescreen import fixed_values as fixed
 from dosescreen.operators import quality
-from dosescreen.plans import stages
+from dosescreen.plans import runs, stages
 from tests.conftest import rows
 
 P1, P2 = "20130320_Alpha_Plate1", "20130320_Alpha_Plate2"
@@ -88,15 +88,19 @@ def test_potency(potent):
     assert (a["seem"], a["Pathway"], b["seem"]) == ("0.023 (u)", "All Four", None)
 
 
-@pytest.fixture(scope="module")
-def exposure_tables(spark, potent):
+def exposure_inputs(spark):
     key = "cpdat_substance_record_id"
     ids = spark.createDataFrame([(1, "1-1-1"), (2, "9-9-9")], f"{key} int, casrn string")
     paths = spark.createDataFrame([("Cat", "pesticide|fragrance", 1), ("Cat", "toy", 2)], f"source string, cassette string, {key} int")
     products = spark.createDataFrame([(7, "hair color", "s")], "product_id int, product_use_category string, source string")
     ingredients = spark.createDataFrame([(1, 7)], f"{key} int, product_id int")
     predictions = spark.createDataFrame([("1-1-1", "All Four"), ("2-2-2", "Unknown")], "CAS string, Pathway string")
-    return stages.sources(potent, ids, paths, products, ingredients, predictions)
+    return {"ids": ids, "paths": paths, "products": products, "ingredients": ingredients, "predictions": predictions}
+
+
+@pytest.fixture(scope="module")
+def exposure_tables(spark, potent):
+    return stages.sources(potent, **exposure_inputs(spark))
 
 
 def test_sources(exposure_tables):
@@ -107,8 +111,7 @@ def test_sources(exposure_tables):
         ("1-1-1", "V1", "Fragrance"), ("1-1-1", "V2", "Hair dye"), ("2-2-2", None, None)]
 
 
-@pytest.fixture(scope="module")
-def evidence_tables(spark, potent):
+def evidence_inputs(spark):
     studies = spark.createDataFrame([("1-1-1", "Reproductive", "mammals", "LOAEL", "=", 5.0, "mg/kg-day")],
         "casrn string, risk_assessment_class string, species_supercategory string, toxval_type string, "
         "toxval_numeric_qualifier string, toxval_numeric double, toxval_units string")
@@ -117,7 +120,12 @@ def evidence_tables(spark, potent):
     lists = spark.createDataFrame([("2-2-2", "Beta")], "CAS_No string, name string")
     survey = spark.createDataFrame([("1-1-1",)], "CASRN string")
     listed = spark.createDataFrame([("Beta", "2-2-2/3", "cancer")], "Chemical string, `CAS No.` string, `Type of Toxicity` string")
-    return stages.invivo(potent, studies, calls, lists, lists, survey, listed, ["IARC", "EPA"])
+    return {"studies": studies, "cancer_calls": calls, "developmental": lists, "carcinogens": lists, "survey": survey, "listed": listed}
+
+
+@pytest.fixture(scope="module")
+def evidence_tables(spark, potent):
+    return stages.invivo(potent, **evidence_inputs(spark), call_sources=["IARC", "EPA"])
 
 
 def test_invivo(evidence_tables):
@@ -127,7 +135,7 @@ def test_invivo(evidence_tables):
     assert rows(evidence_tables["calls"]) == [("1-1-1", "Alpha", "Likely Human Carcinogen (oral)", None)]
 
 
-def test_integration(spark, potent, exposure_tables, evidence_tables):
+def integration_inputs(spark):
     areas = spark.createDataFrame([("1-1-1", 0.2, 0.05)], "`CASRN_Adj (4-30-21)` string, `AUC.Agonist` double, `AUC.Antagonist` double")
     pesticides = spark.createDataFrame([("1-1-1", "considered - other")], "CASRN string, status string")
     ac10 = spark.createDataFrame([("C1", 1.0, None)], "code string, CEETOX_H295R_ESTRADIOL_up double, CEETOX_H295R_PROG_up double")
@@ -135,8 +143,14 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
     substances = spark.createDataFrame([("C1", "1-1-1")], "code string, casn string")
     drugs = spark.createDataFrame([("ALPHA; OMEGA", "RX")], "Ingredient string, Type string")
     status = spark.createDataFrame([("2-2-2", 3.0, None)], "CASN string, `Active products` double, `Not active products` double")
-    out = stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], areas, pesticides, ac10, calls,
-                             substances, drugs, status, uses=exposure_tables["specific"], check=True)
+    return {"areas": areas, "pesticides": pesticides, "ac10": ac10, "hit_calls": calls, "substances": substances,
+            "drug_products": drugs, "pesticide_status": status}
+
+
+def test_integration(spark, potent, exposure_tables, evidence_tables):
+    given = integration_inputs(spark)
+    out = stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], **given,
+                             uses=exposure_tables["specific"], check=True)
     e2, p4 = out[fixed.ESTRADIOL], out[fixed.PROGESTERONE]
     assert len(e2.columns) == 39 and len(p4.columns) == 39
     assert "Direction of P4 synthesis" in e2.columns and "Direction of E2 synthesis" in p4.columns
@@ -161,9 +175,32 @@ def test_integration(spark, potent, exposure_tables, evidence_tables):
     assert rows(out["use_counts"], "value", "Hormone_set", "n") == [("Fragrance", "Estradiol", 1), ("Hair dye", "Estradiol", 1)]
     assert rows(out["labels"], "CASN", "cluster") == [("1-1-1", "lower")]
     assert out["exposure_bins"].count() <= 1
+    given["pesticides"] = given["pesticides"].union(given["pesticides"])
     with pytest.raises(ValueError, match="not unique"):
-        stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], areas, pesticides.union(pesticides),
-                           ac10, calls, substances, drugs, status, check=True)
+        stages.integration(potent, exposure_tables["tidy"], evidence_tables["matrix"], **given, check=True)
+
+
+def test_a_broken_run_is_taken_up_again(spark, tmp_path, monkeypatch):
+    """The third stage fails once; the next run builds it and what follows, and reads the first two stages."""
+    tables = (study(spark), exposure_inputs(spark), evidence_inputs(spark), integration_inputs(spark), ["IARC", "EPA"])
+
+    def killed(*_, **__):
+        raise RuntimeError("lost")
+
+    first = runs.Run(spark, str(tmp_path))
+    monkeypatch.setattr(stages, "invivo", killed)
+    with pytest.raises(RuntimeError, match="lost"):
+        stages.study(first, *tables)
+    assert (first.built, first.resumed) == (["potency", "sources"], [])
+    monkeypatch.undo()
+    second = runs.Run(spark, str(tmp_path))
+    out = stages.study(second, *tables)
+    assert (second.built, second.resumed) == (["invivo", "integration"], ["potency", "sources"])
+    assert rows(out["integration"][fixed.ESTRADIOL], "CASN", "MFC") == [("1-1-1", 2.0), ("2-2-2", float("-inf"))]
+    third = runs.Run(spark, str(tmp_path))
+    changed = {**tables[1], "predictions": tables[1]["predictions"].limit(1)}
+    stages.study(third, tables[0], changed, *tables[2:])
+    assert (third.built, third.resumed) == (["sources", "integration"], ["potency", "invivo"])
 
 
 def test_checks_start_no_job_of_their_own(spark, monkeypatch):
