@@ -9,9 +9,11 @@ Equal vectors are one point with a weight. A label with more points than a block
 so no task holds more than two blocks; collisions are counted there and never leave the task, only verified links do. The
 number of windows is fixed, so the work for a label grows with the square of its distinct vectors, in array operations.
 
-Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite components, vectors without label or id
-link with nothing and are returned with 0 links; vectors of different length have no cosine and do not link; rows that
-repeat an id are vectors of their own; an empty table gives an empty result; further columns are ignored.
+Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite components and vectors without label link
+with nothing and are returned with 0 links; vectors without id link like any other, but name no component (one of vectors
+without ids only has none, and all of them are kept); vectors of different length have no cosine and do not link; very
+small and very large vectors have the cosine of their directions; rows that repeat an id are vectors of their own; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,9 +52,15 @@ def needed(cosine: float = COSINE, projections: int = PROJECTIONS, width: float
     return projections
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is about 1 and squares neither vanish nor overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None])
+
+
 def linked(queries: np.ndarray, points: np.ndarray, cosine: float, projections: int, width: float, least: int,
            after: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of queries, row of points) that collide often enough and have the cosine; ``after``: only later rows."""
+    queries, points = scaled(queries), scaled(points)
     size = [np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (queries, points)]
     lines = np.random.default_rng(SEED).standard_normal((queries.shape[1], projections))
     at, among = (queries / size[0][:, None]) @ lines, (points / size[1][:, None]) @ lines
@@ -78,7 +86,7 @@ def linked(queries: np.ndarray, points: np.ndarray, cosine: float, projections:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, width: float = WIDTH,
                     recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors`` (vec_id, label, embedding)."""
-    usable = (F.col("id").isNotNull() & F.col("label").isNotNull()
+    usable = (F.col("label").isNotNull()
               & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("v", lambda x: x != 0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), "label",
@@ -86,7 +94,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
         "kind", F.when(usable, F.struct("label", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2"),
                                         F.size("v").alias("width"))))
     points = cut_lineage(rows.where("kind is not null").groupBy("kind")
-                         .agg(F.min("id").alias("point"), F.count("*").alias("weight"), F.min_by("v", "id").alias("v")))
+                         .agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("v").alias("v"))
+                         .withColumn("point", F.monotonically_increasing_id()))
     group = F.struct("kind.label", "kind.width")
     sizes = cut_lineage(points.groupBy(group.alias("group")).agg(F.count("*").alias("members")))
     dealt = block_pairs(points.select("point", "v", group.alias("group")).join(sizes, "group"), "members",
@@ -118,10 +127,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(weights, "b").groupBy(F.col("a").alias("point")).agg(F.sum("weight").alias("others"))
     groups = components(links).withColumnRenamed("vertex", "point")
-    named = cut_lineage(points.select("kind", "point", "weight").join(degree, "point", "left").join(groups, "point", "left")
-                        .select("kind", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-                                F.coalesce("component", "point").alias("component")))
+    owned = cut_lineage(points.select("kind", "point", "first", "weight").join(degree, "point", "left")
+                        .join(groups, "point", "left")
+                        .select("kind", "first", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+                                F.coalesce("component", "point").alias("group")))
+    least = owned.groupBy("group").agg(F.min("first").alias("component"))
+    named = cut_lineage(owned.join(least, "group").select("kind", "n_links", "component"))
     found = rows.select("id", "kind").join(named, "kind", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"))
+        F.when(F.col("kind").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -142,6 +142,16 @@ def test_embeddings_against_brute_force(spark):
     assert collisions.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_without_id_or_of_any_magnitude(spark):
+    rows = [(4, 1, [1.0, 2.0, 3.0]), (5, 1, [1.0, 2.0, 3.0]), (None, 1, [2.0, 4.0, 6.0]), (None, 2, [1.0, 0.0]), (None, 2, [1.0, 0.1]),
+            (10, 3, [1e-200, 0.0, 0.0]), (11, 3, [0.0, 2e-200, 0.0]), (12, 3, [1e300, 1e299, 0.0]), (13, 3, [5e-324, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = sorted(map(tuple, collisions.near_duplicates(frame).collect()), key=repr)
+    assert found == sorted([
+        (4, 2, 4, True), (5, 2, 4, False), (None, 2, 4, False), (None, 1, None, True), (None, 1, None, True),
+        (10, 2, 10, True), (11, 0, 11, True), (12, 2, 10, False), (13, 2, 10, False)], key=repr)
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_simhash_against_brute_force(docs, block):
     rows = list(EDGE)
