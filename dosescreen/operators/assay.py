@@ -14,6 +14,8 @@ from dosescreen.operators.quality import Audit
 from dosescreen.operators.reshape import explode_slots, named, pick, quoted, unpivot, widen
 from dosescreen.session import cut_lineage
 
+#: Doses of a key that stand in one row while neighbours are compared.
+BLOCK = 8
 PLATE_PATTERN = r"^([^_]+)_(.*)_Plate([0-9]+)$"
 
 
@@ -98,31 +100,36 @@ def signed_hits(df: DataFrame, fold: str = "foldchange", hit: str = "hit") -> Da
 def _neighbours(df: DataFrame, keys: list[str], dose: str, hit: str, fields: list[str]) -> DataFrame:
     """One row per key and dose: ``__own`` (hit and fields) and ``__counts``, the consecutive-dose rule. See below.
 
-    Each row goes to its own dose, and its hit to the doses before and after it; both meet in a hash exchange on key and
-    dose. So a key may have any number of doses and rows, and no task holds a whole key. Of several rows of one key and
-    dose the one with the largest hit, then the largest fields in their order, stands as a whole. Only whole numbers
-    from 1 on are doses; rows without one count nothing and keep their key.
+    The doses of a key are dealt into blocks of ``BLOCK``; a dose at the border of a block is sent to the block beside it
+    as well. Rows meet by key and block in one hash exchange, combined in the map tasks, and a block's doses stand side by
+    side in one row, so that neighbours are columns. A key may have any number of doses and rows, and no task holds a
+    whole key. Of several rows of one key and dose the one with the largest hit, then the largest fields in their order,
+    stands as a whole. Only whole numbers from 1 on are doses; rows without one count nothing and keep their key.
     """
-    at = f"CASE WHEN {named(dose)} >= 1 AND {named(dose)} = floor({named(dose)}) THEN CAST({named(dose)} AS BIGINT) END"
+    at = f"CASE WHEN {named(dose)} >= 1 AND {named(dose)} = floor({named(dose)}) THEN CAST({named(dose)} AS BIGINT) - 1 END"
     own = "named_struct({})".format(", ".join(f"'{f}', {named(f)}" for f in [hit, *fields]))
-    mark, none = f"CAST({named(hit)} AS INT)", "CAST(NULL AS INT)"
+    place = f"CAST(coalesce(__at % {BLOCK}, 0) AS INT)"
+    cells = (f"array(named_struct('__block', __at DIV {BLOCK}, '__place', {place}, '__cell', __cell),"
+             f" CASE WHEN __at % {BLOCK} = 0 AND __at > 0 THEN named_struct('__block', __at DIV {BLOCK} - 1, '__place', {BLOCK}, '__cell', __cell)"
+             f" WHEN __at % {BLOCK} = {BLOCK - 1} THEN named_struct('__block', __at DIV {BLOCK} + 1, '__place', -1, '__cell', __cell) END)")
+    sent = df.selectExpr(*[named(k) for k in keys], f"{at} AS __at", f"{own} AS __cell").selectExpr(
+        *[named(k) for k in keys], f"inline(array_compact({cells}))"
+    )
+    slots = range(-1, BLOCK + 1)
+    met = sent.groupBy(*[named(k) for k in keys], "__block").agg(*[
+        F.max(F.when(F.col("__place") == j, F.col("__cell"))).alias(f"__s{j + 1}") for j in slots
+    ])
 
-    def cell(place: str, held: str, before: str, after: str) -> str:
-        return f"named_struct('__dose', {place}, '__own', {held}, '__before', {before}, '__after', {after})"
+    def mark(j: int) -> str:
+        return f"CAST(__s{j + 1}.{named(hit)} AS INT)"
 
-    cells = ", ".join([
-        cell(at, own, none, none), cell(f"{at} - 1", "NULL", none, mark), cell(f"{at} + 1", "NULL", mark, none),
-    ])
-    sent = df.selectExpr(*[named(k) for k in keys], f"inline(array({cells}))").where(
-        "__own IS NOT NULL OR (__dose >= 1 AND coalesce(__before, __after) IS NOT NULL)"
+    out = ", ".join(
+        f"CASE WHEN __s{j + 1} IS NOT NULL THEN named_struct('__dose', __block * {BLOCK} + {j + 1}, '__own', __s{j + 1}, '__counts',"
+        f" __block IS NOT NULL AND __s{j + 1}.{named(hit)} <=> 1 AND ({mark(j - 1)} <=> 1 OR {mark(j + 1)} <=> 1"
+        f" OR (__block * {BLOCK} + {j + 1} > 1 AND {mark(j + 1)} IS NULL))) END"
+        for j in range(BLOCK)
     )
-    met = sent.groupBy(*[named(k) for k in keys], "__dose").agg(
-        F.max("__own").alias("__own"), F.max("__before").alias("__before"), F.max("__after").alias("__after")
-    ).where("__own IS NOT NULL")
-    return met.withColumn("__counts", F.expr(
-        f"__dose IS NOT NULL AND __own.{named(hit)} <=> 1"
-        " AND (__before <=> 1 OR __after <=> 1 OR (__dose > 1 AND __after IS NULL))"
-    ))
+    return met.selectExpr(*[named(k) for k in keys], f"inline(array_compact(array({out})))")
 
 
 def consecutive_hits(

@@ -1,5 +1,6 @@
 import datetime
 import itertools
+import random
 import math
 
 from pyspark.sql import functions as F
@@ -168,3 +169,18 @@ def test_bioactivity(spark):
     assert rows(assay.label_areas(df, "k", "g", "n", "top")) == [
         ("a", "0.1 (active)", "0.05 (ambiguous)", "0.1 (active)"), ("b", "0.01 (ambiguous)", None, None),
         ("c", "0", "0.001", "0.001")]
+
+
+def test_consecutive_rule_over_many_doses(spark):
+    """Series that cross the borders of blocks, with gaps, against the rule in plain Python."""
+    pick = random.Random(3)
+    series = {f"k{i}": {d: pick.choice([0, 1, 1, -1, None]) for d in range(1, 41) if pick.random() < 0.8} for i in range(60)}
+    data = [(k, float(d), h, float(d), 1.0 + d) for k, s in series.items() for d, h in s.items()]
+    data += [("k0", None, 1, 1.0, 1.0), ("k1", 2.5, 1, 1.0, 1.0), ("only", None, 1, 3.0, 4.0)]
+    df = spark.createDataFrame(data, "id string, dose_level double, hitd int, conc double, foldchange double")
+    want = {(k, d): h == 1 and (s.get(d - 1) == 1 or s.get(d + 1) == 1 or (d > 1 and s.get(d + 1) is None))
+            for k, s in series.items() for d, h in s.items()}
+    found = {(r["id"], r["dose_level"]): r["counts"] for r in assay.consecutive_hits(df, ["id"]).collect()}
+    assert found == want
+    lowest = {k: min([float(d) for d in s if want[k, d]], default=float("inf")) for k, s in series.items()} | {"only": float("inf")}
+    assert {r["id"]: r["LEC"] for r in assay.lec_mfc(df, ["id"]).collect()} == lowest
