@@ -11,8 +11,9 @@ are extended to the right and to the left; the first and last suffix of every pa
 is done once more with the words to the left before those to the right. Matches of at least ``PASSAGE`` words are joined back to all places and merged into spans of words.
 
 Defined results: words are separated by ASCII white space and compared as they are; NULL, empty and shorter texts have no
-spans; repeats inside one document count; rows that repeat an id repeat all their passages, and their spans are merged;
-documents without id are treated as one; an empty table gives an empty result; further columns are ignored.
+spans; repeats inside one document count; a document is known by id and text, so rows that repeat both are one document in
+the result and repeat all their passages, and rows that share an id or have none have spans of their own for each text; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ship(__name__)
 PASSAGE = 50
 GRAM = 8
 LAST = (1 << 63) - 1
+#: A document: its id, and a hash of its text that tells rows of one id, or without id, apart.
+DOC = ["id", "r"]
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
@@ -102,13 +105,14 @@ def _anchors(passage: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for (i, r), text in zip(keys, batch.column(2).cast(pa.large_binary())):
                 _, at, first, around, left, right = places(text.as_py() or b"", passage, gram)
-                found.append((np.full(len(at), i), at, first, around, left, right))
+                found.append((np.full(len(at), i), np.full(len(at), r), at, first, around, left, right))
             if found:
                 columns = [pa.array(np.concatenate(c), k) for c, k in zip(
-                    zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int16(), pa.int16()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "at", "first", "around", "lefts", "rights"])
+                    zip(*found), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int16(), pa.int16()))]
+                yield pa.RecordBatch.from_arrays(columns, [*DOC, "at", "first", "around", "lefts", "rights"])
 
     return work
 
@@ -124,7 +128,7 @@ def _content(passage: int, gram: int):
                 known = {int(p): k for k, p in enumerate(at)}
                 for w in wanted.as_py():
                     k = known.get(w["at"])
-                    # a repeated id may have another text
+                    # texts with one hash
                     if k is None or (int(first[k]), int(around[k])) != (w["first"], w["around"]):
                         continue
                     p, l, r = int(at[k]), int(left[k]), int(right[k])
@@ -186,19 +190,19 @@ def _neighbours(passage: int):
 def passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(id, spans): the spans (start, end) of words, end excluded, that occur at least twice in the corpus."""
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
-                       F.col(text_col).cast("string").alias("text"))
-    found = cut_lineage(slim.mapInArrow(_anchors(passage, gram), "id long, at int, first long, around long, "
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("r"), text.alias("text"))
+    found = cut_lineage(slim.mapInArrow(_anchors(passage, gram), "id long, r long, at int, first long, around long, "
                                                                  "lefts short, rights short"))
     shared = cut_lineage(found.groupBy("first").count().where("count > 1").select("first"))
     live = cut_lineage(found.join(shared, "first"))
     suffixes = cut_lineage(live.groupBy("first", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("at"), F.first("lefts").alias("lefts"),
+        F.count("*").alias("n"), F.min(F.struct(*DOC, "at")).alias("at"), F.first("lefts").alias("lefts"),
         F.first("rights").alias("rights")))
     several = cut_lineage(suffixes.groupBy("first").count().where("count > 1").select("first"))
-    wanted = (suffixes.join(several, "first").select("at.id", F.struct("at.at", "first", "around").alias("place"))
-              .groupBy("id").agg(F.collect_list("place").alias("places")))
-    content = cut_lineage(slim.join(wanted, "id").select("text", "places").mapInArrow(_content(passage, gram), FIELDS))
+    wanted = (suffixes.join(several, "first").select("at.id", "at.r", F.struct("at.at", "first", "around").alias("place"))
+              .groupBy(*DOC).agg(F.collect_list("place").alias("places")))
+    content = cut_lineage(slim.join(wanted, DOC).select("text", "places").mapInArrow(_content(passage, gram), FIELDS))
     # the best partner of a suffix is its neighbour by what follows or by what comes before
     matched = suffixes.where((F.col("n") > 1) & (F.col("lefts") + F.col("rights") >= passage))
     for order in (["first", "right", "left"], ["first", "left", "right"]):
@@ -208,10 +212,10 @@ def passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, id_col:
                  .mapInArrow(_neighbours(passage), FIELDS + ", edge boolean"))
         matched = matched.select(*EXTENT).union(step.union(edges).where("not edge").select(*EXTENT))
     matched = cut_lineage(matched.distinct())
-    spans = (live.select("id", "at", "first", "around").join(matched, ["first", "around"])
-             .select("id", F.struct((F.col("at") - F.col("lefts")).alias("start"),
+    spans = (live.select(*DOC, "at", "first", "around").join(matched, ["first", "around"])
+             .select(*DOC, F.struct((F.col("at") - F.col("lefts")).alias("start"),
                                     (F.col("at") + F.col("rights")).alias("end")).alias("span"))
-             .groupBy("id").agg(F.array_sort(F.collect_set("span")).alias("spans")))
+             .groupBy(*DOC).agg(F.array_sort(F.collect_set("span")).alias("spans")))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     merged = F.aggregate(
         "spans", empty, lambda acc, s: F.when(

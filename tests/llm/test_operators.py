@@ -268,6 +268,18 @@ def test_passages_against_brute_force(docs):
     assert suffixes.passages(docs([])).count() == 0
 
 
+def test_passages_of_rows_without_id(docs):
+    """Texts that share an id, or have none, have their own spans."""
+    shared, other = prose(950, 70), prose(951, 55)
+    texts = [" ".join(prose(1, 30) + shared), " ".join(shared + prose(2, 9)), " ".join(prose(3, 7) + other), " ".join(other), " ".join(prose(4, 80))]
+    want = [[(30, 100)], [(0, 70)], [(7, 62)], [(0, 55)]]
+    for i in (None, 7):
+        found = suffixes.passages(docs([(i, t) for t in texts] + [(i, None)])).collect()
+        assert sorted([tuple(s) for s in r["spans"]] for r in found) == sorted(want) and {r["id"] for r in found} == {i}
+    twice = suffixes.passages(docs([(None, texts[4])] * 3)).collect()
+    assert [(r["id"], [tuple(s) for s in r["spans"]]) for r in twice] == [(None, [(0, 80)])]
+
+
 def test_snapshots(spark):
     turns = [("user", "a"), ("assistant", "b"), ("user", "c"), (None, None)]
     rows = [(c, t, *turns[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1), (5, 3)) for t in range(n)]
