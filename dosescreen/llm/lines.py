@@ -1,17 +1,18 @@
-"""Repeated lines, paragraphs or clauses: the earliest occurrence stays, later ones go.
+"""Repeated lines, paragraphs or sentences: the earliest occurrence stays, later ones go.
 
 Texts are cut into units, which are normalised (lower case, single spaces) and known by a 128-bit digest. Digests are
 counted over all documents with map-side combining; those that repeat are written and joined back to the occurrences,
 both as plain tables, so that Spark can split a digest that a third of all units has. Offsets are code points of the
 original text.
 
-A passage pasted into longer lines repeats no whole line. :func:`passages` therefore takes clauses, and reports the runs of
-neighbouring clauses that occur elsewhere: a single short clause is common, a run of ``RUN`` words is a passage.
+A passage pasted into longer lines repeats no whole line. :func:`passages` therefore takes sentences, and reports the runs of
+neighbouring sentences that other documents have: a short sentence is common, a run of ``RUN`` words is a passage.
 
 Defined results: NULL and empty texts have no units; units of fewer than ``least`` words are never removed, which by
 default are blank ones alone; occurrences rank by id (NULL last), text, then place; rows that repeat id and text are one
 document and keep or lose a unit together, rows that share an id or have none but differ in the text are judged each by
-itself; an empty table gives an empty result; further columns are ignored or, by :func:`removed`, kept.
+itself (by :func:`passages` every row is a document of its own); an empty table gives an empty result; further columns are
+ignored or, by :func:`removed`, kept.
 """
 
 from __future__ import annotations
@@ -19,21 +20,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosescreen.llm.common import fresh, ship
+from dosescreen.llm.common import fresh, runs, ship
 from dosescreen.session import cut_lineage
 
 ship(__name__)
 
 UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*"),
-         "clause": re.compile(r"[^\n.,;:!?]+")}
+         "sentence": re.compile(r"[^\n.!?]+")}
 LAST = (1 << 63) - 1
-#: Words of neighbouring clauses that make a repeated passage.
-RUN = 40
+#: Words of neighbouring sentences that make a repeated passage.
+RUN = 25
 #: A document: its id, and two hashes of its text that tell rows of one id apart.
 DOC = ["id", "r1", "r2"]
 
@@ -46,29 +48,36 @@ def units(text: str | None, unit: str = "line", least: int = 1) -> Iterator[tupl
             yield found.start(), found.end(), len(words), xxhash.xxh3_128_digest(" ".join(words))
 
 
-def occurrences(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id", text_col: str = "text",
-                totals: bool = False) -> DataFrame:
-    """(id, r1, r2, place, first, last, words, digest) of the units of all texts; ``place`` counts a text's units.
+def _cut(docs: DataFrame, unit: str, least: int, totals: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the last, which is the text, for each unit, with place, first, last, words, digest.
 
-    With ``totals`` each text has one more row, with place -1, the number of its units as words and no digest.
+    ``place`` counts a text's units. With ``totals`` each text has one more row, with place -1 and its number of units as
+    words.
     """
-    kinds = [pa.int64()] * 7 + [pa.binary()]
-    names = [*DOC, "place", "first", "last", "words", "digest"]
+    keys = docs.columns[:-1]
+    names = [*keys, "place", "first", "last", "words", "digest"]
+    kinds = [pa.int64()] * len(keys) + [pa.int32()] * 4 + [pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for i, a, b, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            for *key, t in zip(*(batch.column(k).to_pylist() for k in range(len(keys))), batch.column(len(keys))):
                 n = len(found)
-                found.extend((i, a, b, k, *u) for k, u in enumerate(units(t.as_py(), unit, least)))
+                found.extend((*key, k, *u) for k, u in enumerate(units(t.as_py(), unit, least)))
                 if totals:
-                    found.append((i, a, b, -1, 0, 0, len(found) - n, None))
+                    found.append((*key, -1, 0, 0, len(found) - n, None))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
+    schema = [*(f"{k} long" for k in keys), "place int", "first int", "last int", "words int", "digest binary"]
+    return docs.mapInArrow(work, ", ".join(schema))
+
+
+def occurrences(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """(id, r1, r2, place, first, last, words, digest) of the units of all texts; ``place`` counts a text's units."""
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), *_hashes(text), text.alias("text"))
-    return slim.mapInArrow(work, ", ".join(f"{n} long" for n in names[:-1]) + ", digest binary")
+    return _cut(docs.select(F.col(id_col).cast("long").alias("id"), *_hashes(text), text.alias("text")), unit, least)
 
 
 def _hashes(text) -> list:
@@ -95,37 +104,65 @@ def repeats(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "
         F.col("kept.first").alias("kept_first"))
 
 
-def passages(docs: DataFrame, unit: str = "clause", run: int = RUN, id_col: str = "doc_id",
+def _runs(run: int):
+    """Rows (row, place, id, first, last, words, later), sorted by the first two; place -1 has the number of units."""
+    names = ["id", "units", "repeated_units", "later_units", "longest_run", "spans"]
+
+    def tops(values: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(breaks)
+        return starts, np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, place, ids, first, last, words, later in runs(batches, 1):
+            head = np.flatnonzero(place < 0)
+            of = np.cumsum(place < 0) - 1  # the document of each row
+            unit = np.flatnonzero(place >= 0)
+            d, w, gone, n = of[unit], words[unit].astype(np.int64), later[unit].astype(bool), len(head)
+            longest = np.zeros(n, np.int64)
+            # neighbours are next to each other in their text
+            apart = np.ones(len(unit), bool)
+            apart[1:] = (np.diff(d) != 0) | (np.diff(place[unit]) != 1)
+            start, size = tops(w, apart)
+            np.maximum.at(longest, d[start], size)
+            dg, pg, wg, fg, lg = d[gone], place[unit][gone], w[gone], first[unit][gone], last[unit][gone]
+            apart = np.ones(len(dg), bool)
+            apart[1:] = (np.diff(dg) != 0) | (np.diff(pg) != 1)
+            start, size = tops(wg, apart)
+            end = np.append(start[1:], len(dg)) - 1
+            wide = size >= run
+            spans: list[list] = [[] for _ in range(n)]
+            for k, a, b in zip(dg[start[wide]].tolist(), fg[start[wide]].tolist(), lg[end[wide]].tolist()):
+                spans[k].append({"first": a, "last": b})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[head]), pa.array(words[head].astype(np.int64)),
+                 pa.array(np.bincount(d, minlength=n)), pa.array(np.bincount(dg, minlength=n)), pa.array(longest),
+                 pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names)
+
+    return work
+
+
+def passages(docs: DataFrame, unit: str = "sentence", run: int = RUN, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """One row for each document (id and text): (id, units, repeated_units, later_units, longest_run, spans).
+    """One row for each row of ``docs``: (id, units, repeated_units, later_units, longest_run, spans).
 
-    ``repeated_units`` occur elsewhere, ``later_units`` of them not for the first time; ``longest_run`` is the largest
-    number of words in neighbouring repeated units; ``spans`` are the runs of later units of at least ``run`` words.
+    ``repeated_units`` are those that another document has too, ``later_units`` of them not the earliest occurrence;
+    ``longest_run`` is the largest number of words in neighbouring repeated units; ``spans`` are the runs of later units of
+    at least ``run`` words.
     """
-    found = cut_lineage(occurrences(docs, unit, 1, id_col, text_col, totals=True))
-    held = found.where("place >= 0")
-    met = held.join(_earliest(held), "digest").select(*DOC, "place", "first", "last", "words", (_rank() != F.col("kept")).alias("later"))
-    # neighbours have the same difference of place and rank; identical rows are one
-    by = Window.partitionBy(*DOC)
-    met = cut_lineage(met.distinct().select(
-        "*", (F.col("place") - F.row_number().over(by.orderBy("place"))).alias("run"),
-        (F.col("place") - F.row_number().over(Window.partitionBy(*DOC, "later").orderBy("place"))).alias("gone")))
-    runs = (met.groupBy(*DOC, "run").agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.count_if("later").alias("later"))
-            .groupBy(*DOC).agg(F.sum("n").alias("repeated_units"), F.sum("later").alias("later_units"),
-                               F.max("words").alias("longest_run")))
-    gone = (met.where("later").groupBy(*DOC, "gone")
-            .agg(F.sum("words").alias("words"), F.min("first").alias("first"), F.max("last").alias("last"))
-            .where(F.col("words") >= run).groupBy(*DOC)
-            .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
-    base = found.where("place < 0").select(*DOC, F.col("words").alias("units")).distinct()
-    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    for side in (runs, gone):
-        side = side.withColumnsRenamed({c: f"_{c}" for c in DOC})
-        same = base["id"].eqNullSafe(side["_id"]) & (base["r1"] == side["_r1"]) & (base["r2"] == side["_r2"])
-        base = base.join(side, same, "left").drop(*[f"_{c}" for c in DOC])
-    zero = F.lit(0).cast("long")
-    return base.select("id", "units", *[F.coalesce(c, zero).alias(c) for c in ("repeated_units", "later_units", "longest_run")],
-                       F.coalesce("spans", none).alias("spans"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
+                       F.col(text_col).cast("string").alias("text"))
+    found = cut_lineage(_cut(slim, unit, 1, totals=True))
+    rank = F.struct(F.coalesce("id", F.lit(LAST)).alias("rank"), "row", "first")
+    earliest = cut_lineage(found.where("place >= 0").groupBy("digest").agg(
+        F.min(rank).alias("kept"), F.max(F.struct(F.coalesce("id", F.lit(LAST)).alias("rank"), "row")).alias("last_doc"))
+        .where("kept.row <> last_doc.row").drop("last_doc"))
+    columns = ["row", "place", F.coalesce("id", F.lit(LAST)).alias("id"), "first", "last", "words"]
+    met = found.join(earliest, "digest").select(*columns, (rank != F.col("kept")).cast("int").alias("later"))
+    heads = found.where("place < 0").select(*columns, F.lit(0).alias("later"))
+    spans = "array<struct<first:int,last:int>>"
+    found = met.unionByName(heads).repartition("row").sortWithinPartitions("row", "place").mapInArrow(
+        _runs(run), f"id long, units long, repeated_units long, later_units long, longest_run long, spans {spans}")
+    return found.withColumn("id", F.nullif("id", F.lit(LAST)))
 
 
 def removed(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id",

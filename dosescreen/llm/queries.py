@@ -28,12 +28,12 @@ def query(name: str, sql: str | None = None):
 
 
 PASSAGES_SQL = f"""WITH cut AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (
-  SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n.,;:!?]') AS p FROM documents)),
+  SELECT doc_id, string_split_regex(coalesce(text, ''), '[\\n.!?]') AS p FROM documents)),
 sited AS (SELECT doc_id, piece, i, coalesce(sum(len(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, trim(regexp_replace(lower(piece), '\\s+', ' ', 'g')) AS unit FROM cut),
 units AS (SELECT doc_id, s, s + len(piece) AS e, unit, len(unit) - len(replace(unit, ' ', '')) + 1 AS words,
   row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM sited WHERE unit <> ''),
-kept AS (SELECT unit, min({{'d': doc_id, 's': s}}) AS k FROM units GROUP BY unit HAVING count(*) > 1),
+kept AS (SELECT unit, min({{'d': doc_id, 's': s}}) AS k FROM units GROUP BY unit HAVING count(DISTINCT doc_id) > 1),
 met AS (SELECT doc_id, s, e, words, place, k.d <> doc_id OR k.s <> s AS later FROM units JOIN kept USING (unit)),
 placed AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run,
   place - row_number() OVER (PARTITION BY doc_id, later ORDER BY place) AS gone FROM met),
@@ -50,7 +50,7 @@ FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN spans USING (doc_id) LE
 
 @query("op1_repeated_lines", PASSAGES_SQL)
 def op1_repeated_lines(spark, folder):
-    """Clauses, the parts of lines: passages that were pasted into longer lines repeat these and no whole line."""
+    """Sentences inside lines: passages that were pasted into longer lines repeat these and no whole line."""
     spans = F.transform("spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string")))
     return lines.passages(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "units", "repeated_units", "later_units", "longest_run",
