@@ -355,3 +355,50 @@ def test_columns_of_the_documents_stay_as_they_are(docs, spark):
         rows = result.where("doc_id = 21").collect()
         assert all(r[name] == f"own {name}" for r in rows for name in names), operator
         assert rows or operator == "toxicity"
+
+
+def test_toxicity_fit_is_a_minimum_of_its_likelihood():
+    """Finite differences of the objective, written out here, vanish at the fitted weights; grades are held in order."""
+    pick = random.Random(11)
+    marks = ["vile", "foul", "nasty", "rotten", "filthy"]
+    rows = []
+    for i in range(500):
+        toxic = i % 2
+        words = [f"w{pick.randrange(120)}" for _ in range(40)] + pick.choices(marks, k=1 + i % 9) * toxic
+        rows.append((" ".join(words), toxic))
+    model = toxicity.fit(rows, rounds=1500)
+    found = [toxicity.counts(t) for t, _ in rows]
+    names = sorted({x for f in found for x in f})
+    place = {x: k for k, x in enumerate(names)}
+    column = np.concatenate([[place[x] for x in f] for f in found])
+    count = np.concatenate([list(f.values()) for f in found])
+    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+    toxic = np.array([t for _, t in rows])
+    grade = toxicity.grades(column, row, count, toxic)
+    assert set(grade[toxic == 0]) == {0} and set(grade[toxic == 1]) == {1, 2, 3}
+    often = np.bincount(column, minlength=len(names)) >= toxicity.LEAST_DOCS
+    share = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+
+    def objective(w, cuts):
+        score = np.bincount(row, np.log1p(count) * (w * often)[column], len(rows))
+        edge = np.concatenate((np.zeros((len(rows), 1)), 1 / (1 + np.exp(score[:, None] - np.array(cuts))), np.ones((len(rows), 1))), 1)
+        likely = edge[np.arange(len(rows)), grade + 1] - edge[np.arange(len(rows)), grade]
+        return -(share * np.log(likely)).sum() + toxicity.RIDGE / 2 * (w * w).sum()
+
+    w = np.array([model.weights.get(x, 0.0) for x in names])
+    step = 1e-4
+    for k in np.argsort(-abs(w))[:12]:
+        move = step * (np.arange(len(w)) == k)
+        slope = (objective(w + move, model.thresholds) - objective(w - move, model.thresholds)) / (2 * step)
+        assert abs(slope) < 2e-3, (names[k], slope)
+    for k in range(3):
+        move = step * (np.arange(3) == k)
+        slope = (objective(w, model.thresholds + move) - objective(w, model.thresholds - move)) / (2 * step)
+        assert abs(slope) < 2e-3, (k, slope)
+    base = objective(w, model.thresholds)
+    draw = np.random.default_rng(1)
+    assert all(objective(w + 0.05 * draw.standard_normal(len(w)), model.thresholds) > base for _ in range(20))
+    # held-out graded texts: more telling words, more severity
+    held = [(k, " ".join([f"w{pick.randrange(120)}" for _ in range(40)] + pick.choices(marks, k=k))) for k in (0, 2, 5, 9) for _ in range(25)]
+    mean = {k: np.mean([toxicity.severity(t, model) for n, t in held if n == k]) for k in (0, 2, 5, 9)}
+    assert mean[0] < toxicity.REJECT <= mean[2] < mean[5] < mean[9]
