@@ -223,3 +223,18 @@ def test_checks_start_no_job_of_their_own(spark, monkeypatch):
     assert rows(audit.report(spark)) == [("five", "odd", 2), ("five", "rows", 5)]
     with pytest.raises(ValueError, match="watched already"):
         audit.watch(spark.range(1), "five")
+
+
+def test_a_table_that_spark_leaves_out_is_checked_exactly(spark):
+    asked = []
+
+    def findings():
+        asked.append(1)
+        return spark.range(0)
+
+    audit = quality.Audit()
+    side = audit.watch(spark.range(5).groupBy("id").count(), "side")
+    audit.expect(lambda c: c["side"]["rows"] == 5, findings, "never")
+    joined = spark.range(10).where("id > 100").join(side, "id", "left_semi")
+    assert audit.settled(joined).count() == 0 and audit.counts().get("side", {"rows": 5}) == {"rows": 5}
+    assert len(asked) == ("side" not in audit.counts())
