@@ -99,3 +99,27 @@ def test_source_and_use_counts(spark):
     tokens = spark.createDataFrame([("1", "Fragrance"), ("2", "Fragrance"), ("2", None), ("9", "Plastic")], "casrn string, value string")
     assert rows(charts.use_hormone_counts(tokens, table, "casrn", ["n", "c"], "c")) == [
         ("Estradiol", "Fragrance", 1, "Estradiol"), ("Estradiol, Progesterone", "Fragrance", 1, "Both")]
+
+
+def test_joins_of_the_integration_share_one_exchange(spark, tmp_path):
+    """With nothing broadcast, the long table and each side are exchanged once, however many joins there are."""
+    def stored(name, columns):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    potent = stored("potent", "date_chnm_plate string, plate double, chnm string, casn string, LEC_Estradiol double, LEC_Progesterone double,"
+                    " MFC_Estradiol double, MFC_Progesterone double, hits_Estradiol string, hits_Progesterone string, AC50_Estradiol double,"
+                    " AC50_Progesterone double")
+    evidence = stored("evidence", f"chnm string, casn string, Nhanes int, `{fixed.MAMMARY_COLUMN}` string")
+    sides = [stored("areas", "CASRN string, `AUC.Agonist` string"), stored("sources", "casrn string, `Cons.` string"),
+             stored("pesticides", "CASRN string, status string"), evidence]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        plan = screening.integrated_long(potent, *sides)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange hashpartitioning") == 5
