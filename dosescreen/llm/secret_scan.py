@@ -1,8 +1,8 @@
 """Secrets found through a trigram inverted index; DataFrame functions only.
 
 From every rule's pattern a Boolean query over trigrams is derived: the strings that each match must contain, as an AND
-of clauses, each clause an OR of alternatives, each alternative an AND of trigrams. The index has a posting (document,
-trigram) for every trigram of the queries. Postings are intersected per document, and only candidates of a rule are
+of clauses, each clause an OR of alternatives, each alternative an AND of trigrams. One pass over a text gives its
+distinct trigrams that queries name, which are its postings (document, trigram) in the index. Postings are intersected per document, and only candidates of a rule are
 verified with its pattern. A rule without a mandatory trigram has no query and scans every text.
 
 Spans are counted in code points, the end excluded. Matches of a kind are the leftmost non-overlapping ones; different
@@ -43,10 +43,44 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
 )
+# Formats of tokens and keys that their issuers document, each named by its prefix.
 EXTRA = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    Rule("xapp", r"xapp-[0-9]-[A-Za-z0-9-]+", 0, 20),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]+", 0, 60),
+    Rule("glpat", r"glpat-[A-Za-z0-9_-]+", 0, 26),
+    Rule("glsa", r"glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}", 0, 46),
+    Rule("AIza", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    Rule("ya29", r"ya29\.[A-Za-z0-9_-]+", 0, 30),
+    Rule("GOCSPX", r"GOCSPX-[A-Za-z0-9_-]+", 0, 35),
+    Rule("live_key", r"(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]+", 0, 24),
+    Rule("whsec", r"whsec_[A-Za-z0-9+/]+", 0, 38),
+    Rule("SK", r"SK[0-9a-f]{32}", 0, 34, r"SK[0-9a-f]{32}"),
+    Rule("SG", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", 0, 69),
+    Rule("key", r"key-[0-9a-f]{32}", 0, 36),
+    Rule("region_key", r"[0-9a-f]{32}-us[0-9]+", 0, 36),
+    Rule("npm", r"npm_[A-Za-z0-9]+", 0, 40),
+    Rule("pypi", r"pypi-AgEI[A-Za-z0-9_-]+", 0, 50),
+    Rule("rubygems", r"rubygems_[0-9a-f]{48}", 0, 57),
+    Rule("shop", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", 0, 38),
+    Rule("sq0", r"sq0(?:atp|csp)-[A-Za-z0-9_-]+", 0, 29),
+    Rule("v1", r"do[opr]_v1_[0-9a-f]{64}", 0, 71),
+    Rule("dapi", r"dapi[0-9a-f]{32}", 0, 36),
+    Rule("hf", r"hf_[A-Za-z]{34}", 0, 37),
+    Rule("bot", r"[0-9]+:AA[A-Za-z0-9_-]{33}", 0, 44),
+    Rule("hooks", r"/api/webhooks/[0-9]+/[A-Za-z0-9_-]+", 0, 60),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", 0, 74),
+    Rule("hvs", r"hvs\.[A-Za-z0-9_-]+", 0, 28),
+    Rule("atlas", r"\.atlasv1\.[A-Za-z0-9_-]+", 0, 60),
+    Rule("NRAK", r"NRAK-[A-Z0-9]{27}", 0, 32),
+    Rule("PMAK", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}", 0, 64),
+    Rule("lin_api", r"lin_api_[A-Za-z0-9]+", 0, 48),
+    Rule("dp", r"dp\.pt\.[A-Za-z0-9]+", 0, 46),
+    Rule("account", r"AccountKey=[A-Za-z0-9+/=]+", 0, 99),
+    Rule("userinfo", r"://[A-Za-z0-9._-]+:([A-Za-z0-9._%+!$*-]+)@", 1, 8),
 )
 RULES = BASE + EXTRA
 
@@ -114,11 +148,24 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted({g for r in rules for clause in trigram_query(r.pattern) for grams in clause for g in grams})
 
 
+def finder(grams: list[str]) -> str:
+    """A pattern that has at each place where one of ``grams`` starts an empty match, the trigram as group 1.
+
+    Alternatives branch by letter, so that a place costs about the same however many trigrams there are.
+    """
+    tree: dict[str, dict[str, str]] = {}
+    for a, b, c in grams:
+        tree.setdefault(a, {}).setdefault(b, "")
+        tree[a][b] += re.escape(c)
+    heads = [re.escape(a) + "(?:" + "|".join(f"{re.escape(b)}[{c}]" for b, c in of.items()) + ")" for a, of in tree.items()]
+    return f"(?=({'|'.join(heads)}))"
+
+
 def index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings (id, gram) of ``grams`` in whole lower-cased texts."""
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    return low.select("id", F.explode(held).alias("gram"))
+    """The postings (id, gram) of ``grams`` in whole lower-cased texts, each read once."""
+    low = F.lower(F.col(text_col))
+    held = F.array_distinct(F.regexp_extract_all(low, F.lit(finder(grams)), F.lit(1)))
+    return docs.select(F.col(id_col).alias("id"), F.explode(held).alias("gram"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
