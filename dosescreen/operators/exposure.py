@@ -21,11 +21,13 @@ def catalogue_records(
     chem: str = "casrn", universe_key: str = "casn", banned: str = fixed.BANNED_PATH,
 ) -> DataFrame:
     """Distinct (source, cassette, record) with their chemical, without banned paths, for chemicals of the universe."""
-    kept = paths.where(txt.not_matches("cassette", banned))
-    counted = count_by(kept, ["source", "cassette", record], "repeats")
+    path = ["source", "cassette", record]
+    kept = paths.where(txt.not_matches("cassette", banned)).select(*[quoted(c) for c in path])
     # the id table is cut to the universe first, so the wide side is joined with what can still match
     known = member_of(ids, chem, universe, universe_key).select(quoted(record), quoted(chem)).distinct()
-    return join_on(counted, known, [record], "inner")
+    # counted behind the join, where a record's rows are together: the wide side is exchanged once, by record
+    counted = count_by(join_on(kept, known, [record], "inner"), [*path, chem], "repeats")
+    return counted.select(*[quoted(c) for c in (*path, "repeats", chem)])
 
 
 def broad_label(
@@ -128,27 +130,43 @@ def category_flags(tables: list[DataFrame], chem: str = "casrn", label: str = "c
     return _with_flags(_collapse_titles(tables, label, chem, "broad"))
 
 
+def _titled_labels(
+    rows: DataFrame, chem: str, fields: list[str], add: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(chem, cassette4, Other) of every row, the labels that ``add`` derives from ``fields`` being as in the cells.
+
+    Labels are derived and title-cased once for each distinct value. These are settled too: the planner then knows how
+    few they are before it deals out the rows, which it would otherwise do by the values, few of which fill few tasks.
+    """
+    rows = cut_lineage(rows)
+    labels = add(distinct_by(rows, fields)).select(
+        *[quoted(f) for f in fields], *[_titled(quoted(n)).alias(n) for n in ("cassette4", "Other")]
+    )
+    joined = join_on(rows, cut_lineage(labels), fields, null_keys_match=True)
+    return joined.select(quoted(chem), "cassette4", "Other")
+
+
 def source_summary(records: DataFrame, uses: DataFrame, chem: str = "casrn") -> DataFrame:
     """Broad categories with their flags and specific uses of every chemical, from one pass over both inputs.
 
     Gives the same rows as joining :func:`category_flags` and :func:`specific_uses`.
     """
     product = first_match(fixed.PRODUCT_RULES, F.lit(fixed.PRODUCT_DEFAULT))
-    both = [
-        by_distinct(records, PATH, lambda paths: _categorised(_used(paths, fixed.USE_RULES, fixed.USE_APPENDS))),
-        by_distinct(uses, PRODUCT, lambda p: _product_used(p, fixed.PRODUCT_USE_RULES).withColumn("cassette4", product)),
-    ]
-    labels = F.array(*[
-        F.struct(F.lit(i).alias("__kind"), quoted(c).alias("__label")) for i, c in enumerate(("cassette4", "Other"))
-    ])
-    stacked = stack_rows(*[t.select(quoted(chem), F.inline(labels)) for t in both]).distinct()
-    label = _titled(F.col("__label"))
-
-    def cell(kind: int) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(F.when(F.col("__kind") == kind, label))), ", ")
-
-    cells = stacked.groupBy(quoted(chem)).agg(
-        cell(0).alias("broad"), F.regexp_replace(cell(1), "^ , ", " ").alias("Other")
+    known = _titled_labels(
+        records.select(quoted(chem), *PATH), chem, PATH,
+        lambda paths: _categorised(_used(paths, fixed.USE_RULES, fixed.USE_APPENDS)),
+    )
+    # the planner takes this and the count per use and source, which is not read here, as one aggregation
+    used = _titled_labels(
+        uses.select(quoted(chem), *PRODUCT).distinct(), chem, PRODUCT,
+        lambda p: _product_used(p, fixed.PRODUCT_USE_RULES).withColumn("cassette4", product),
+    )
+
+    def cell(label: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(label)), ", ")
+
+    cells = stack_rows(known, used).groupBy(quoted(chem)).agg(
+        cell("cassette4").alias("broad"), F.regexp_replace(cell("Other"), "^ , ", " ").alias("Other")
     )
     return _with_flags(cells)
 

@@ -104,3 +104,42 @@ def test_rules_run_on_distinct_paths(spark):
         # what the aggregation puts out is computed once for each path
         assert any("RLIKE" in line for line in plan[:distinct + 1]) and not any("RLIKE" in line for line in plan[distinct + 1:])
     assert exposure.categorise(known).count() == 51 and exposure.categorise(known).columns[:4] == known.columns
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_catalogue_rows_are_exchanged_once(spark):
+    """The lines go by record to the join, and are counted there; NULL and repeated keys as before."""
+    paths = spark.createDataFrame(
+        [("s", "a", 1, "x")] * 3 + [("s", None, 1, "x"), (None, None, 1, "x"), ("t", "a", None, "x"), ("s", "a", 2, "x")],
+        f"source string, cassette string, {RECORD} int, casrn string")
+    ids = spark.createDataFrame([(1, "c1"), (1, "c1"), (1, "c2"), (2, None), (None, "c1")], f"{RECORD} int, casrn string")
+    universe = spark.createDataFrame([("c1",), ("c1",), ("c2",)], "casn string")
+    got = exposure.catalogue_records(paths, ids, universe)
+    assert got.columns == ["source", "cassette", RECORD, "repeats", "casrn"]
+    assert rows(got) == sorted([r for c in ("c1", "c2") for r in (
+        ("s", "a", 1, 3, c), ("s", None, 1, 1, c), (None, None, 1, 1, c))], key=repr)
+    assert exchanges(got) and not any("cassette" in line for line in exchanges(got))
+
+
+def test_summary_labels_are_settled(spark):
+    """Neither rules nor title case run on rows, and rows are not dealt out by the few values that labels come from."""
+    known = records(spark, [("Cat", "personal_care|hair_dye", i, "c1") for i in range(20)] + [
+        (None, None, 30, "c1"), (None, None, 31, "c2"), ("Retail", "shoes", 32, None), ("Cat", "soap|a_b", 33, "c4")])
+    used = spark.createDataFrame(
+        [("c1", "herbicide", "s"), ("c1", "herbicide", "t"), ("c3", "toys", None), ("c3", None, "s"), (None, "toys", "s")],
+        "casrn string, product_use_category string, source string")
+    summary = exposure.source_summary(known, used)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    labelling = plan[plan.index("Union"):]
+    assert "RLIKE" not in labelling and "regexp_extract_all" not in plan
+    assert not any(f in line for line in exchanges(summary) for f in ("cassette", "product_use_category"))
+    flags = exposure.category_flags([exposure.categorise(known), exposure.categorise_products(used)])
+    uses = exposure.specific_uses([exposure.catalogue_uses(known), exposure.product_specific_uses(used)])
+    assert rows(summary, *flags.columns) == rows(flags)
+    assert rows(summary, "casrn", "Other") == rows(uses, "casrn", "Other")
+    assert {r["casrn"]: r["broad"] for r in summary.collect()} == {
+        "c1": "Cons., Pest., Cons.", "c2": "", "c3": "Cons.", "c4": "Cons.", None: "Cons."}
