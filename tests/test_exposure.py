@@ -143,3 +143,18 @@ def test_summary_labels_are_settled(spark):
     assert rows(summary, "casrn", "Other") == rows(uses, "casrn", "Other")
     assert {r["casrn"]: r["broad"] for r in summary.collect()} == {
         "c1": "Cons., Pest., Cons.", "c2": "", "c3": "Cons.", "c4": "Cons.", None: "Cons."}
+
+
+def test_predicted_uses_to_rows(spark):
+    """From records to token rows: the cells' texts are made before any row is, whichever query reads them."""
+    known = records(spark, [("Cat", "personal_care|hair_dye", i, "c1") for i in range(9)] + [(None, None, 9, "c2")])
+    used = spark.createDataFrame([("c1", "toys", "s"), ("c1", "toys", "t")],
+                                 "casrn string, product_use_category string, source string")
+    universe = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "casn string")
+    predictions = spark.createDataFrame([("c1", "Dietary"), ("c3", "Unknown")], "CAS string, Pathway string")
+    table = exposure.with_predictions(exposure.source_summary(known, used), universe, predictions)
+    got = exposure.tokens_to_rows(table)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got, "casrn", "source", "value", "Cons.", "Diet", "No Toxcast Info.") == [
+        ("c1", "V1", "Personal care", "1", "1*", " "), ("c1", "V2", "Hair dye", "1", "1*", " "),
+        ("c2", None, None, "0", "0", " "), ("c3", None, None, None, None, "1")]
