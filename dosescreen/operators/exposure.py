@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ def catalogue_records(
     paths: DataFrame, ids: DataFrame, universe: DataFrame, record: str = "cpdat_substance_record_id",
     chem: str = "casrn", universe_key: str = "casn", banned: str = fixed.BANNED_PATH,
 ) -> DataFrame:
-    """Distinct (source, cassette, record) with their chemical, without banned paths, for chemicals of the universe."""
-    path = ["source", "cassette", record]
+    """Distinct (source, cassette, record) with their chemical, without banned paths, for chemicals of the universe.
+
+    Paths that :func:`labelled` has numbered keep their numbers.
+    """
+    path = ["source", "cassette", record, *_numbered(paths)]
     kept = paths.where(txt.not_matches("cassette", banned)).select(*[quoted(c) for c in path])
     # the id table is cut to the universe first, so the wide side is joined with what can still match
     known = member_of(ids, chem, universe, universe_key).select(quoted(record), quoted(chem)).distinct()
@@ -83,19 +87,31 @@ def categorise(records: DataFrame, **rules) -> DataFrame:
     return by_distinct(records, PATH, lambda paths: _categorised(paths, **rules))
 
 
+# the numbers of the texts that a path or a product use gives a chemical: its broad category and its specific use
+NUMBERS = {"__broad": "cassette4", "__use": "Other"}
+
+
+def _numbered(table: DataFrame) -> list[str]:
+    return [n for n in NUMBERS if n in table.columns]
+
+
 def product_uses(
     ids: DataFrame, ingredients: DataFrame, products: DataFrame, universe: DataFrame,
     record: str = "cpdat_substance_record_id", product: str = "product_id", chem: str = "casrn",
     universe_key: str = "casn",
 ) -> DataFrame:
-    """Distinct (chemical, product use, source) with the number of products behind it."""
+    """Distinct (chemical, product use, source) with the number of products behind it.
+
+    Products that :func:`labelled` has numbered keep their numbers.
+    """
+    use = ["product_use_category", "source", *_numbered(products)]
     known = member_of(ids, chem, universe, universe_key).select(quoted(record), quoted(chem))
     used = products.where(F.col("product_use_category").isNotNull()).select(
-        quoted(product), "product_use_category", "source"
+        quoted(product), *[quoted(c) for c in use]
     )
     parts = join_on(ingredients.select(quoted(record), quoted(product)), known, [record], "inner")
     joined = join_on(parts, used, [product], "inner")
-    return count_by(joined, [chem, "product_use_category", "source"], "repeats")
+    return count_by(joined, [chem, *use], "repeats")
 
 
 def categorise_products(uses: DataFrame, rules=None) -> DataFrame:
@@ -130,43 +146,97 @@ def category_flags(tables: list[DataFrame], chem: str = "casrn", label: str = "c
     return _with_flags(_collapse_titles(tables, label, chem, "broad"))
 
 
-def _titled_labels(
-    rows: DataFrame, chem: str, fields: list[str], add: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """(chem, cassette4, Other) of every row, the labels that ``add`` derives from ``fields`` being as in the cells.
+class Labels(NamedTuple):
+    """The numbers of the texts of every distinct path and product use, and the text of every number."""
+
+    paths: DataFrame
+    products: DataFrame
+    texts: DataFrame
+
+
+def number_labels(paths: DataFrame, products: DataFrame) -> Labels:
+    """Derive and title-case the labels of every distinct path and product use once, and number the distinct texts.
 
-    Labels are derived and title-cased once for each distinct value. These are settled too: the planner then knows how
-    few they are before it deals out the rows, which it would otherwise do by the values, few of which fill few tasks.
+    All three tables are settled: a number stays what it is, and the planner knows how few labels there are beside rows.
     """
-    rows = cut_lineage(rows)
-    labels = add(distinct_by(rows, fields)).select(
-        *[quoted(f) for f in fields], *[_titled(quoted(n)).alias(n) for n in ("cassette4", "Other")]
+    broad = first_match(fixed.PRODUCT_RULES, F.lit(fixed.PRODUCT_DEFAULT))
+    derived = {
+        tuple(PATH): _categorised(_used(distinct_by(paths, PATH), fixed.USE_RULES, fixed.USE_APPENDS)),
+        tuple(PRODUCT): _product_used(distinct_by(products, PRODUCT), fixed.PRODUCT_USE_RULES).withColumn("cassette4", broad),
+    }
+    settled = {
+        fields: cut_lineage(df.select(*[quoted(f) for f in fields], *[_titled(quoted(c)).alias(n) for n, c in NUMBERS.items()]))
+        for fields, df in derived.items()
+    }
+    shown = F.array(*[F.struct(F.lit(n).alias("__kind"), quoted(n).alias("__text")) for n in NUMBERS])
+    texts = cut_lineage(
+        stack_rows(*[df.select(F.inline(shown)) for df in settled.values()]).distinct()
+        .withColumn("__number", F.monotonically_increasing_id())
+    )
+    numbered = []
+    for fields, df in settled.items():
+        for n in NUMBERS:
+            kind = texts.where(F.col("__kind") == n).select(F.col("__text").alias(n), F.col("__number").alias(n + "_number"))
+            df = join_on(df, kind, [n], "inner", null_keys_match=True)
+        numbered.append(cut_lineage(df.select(*[quoted(f) for f in fields], *[F.col(n + "_number").alias(n) for n in NUMBERS])))
+    return Labels(*numbered, texts)
+
+
+def labelled(table: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``table`` with the numbers that :func:`number_labels` has given the texts of its paths or product uses."""
+    return join_on(table, numbers, [c for c in numbers.columns if c not in NUMBERS], null_keys_match=True)
+
+
+def _number_sets(table: DataFrame, chem: str) -> DataFrame:
+    """The numbers of each chemical, 64 to a word: bits are combined in the map tasks, so a row is a few whole numbers.
+
+    The planner drops a count below this that is not read: a repeated number sets the same bit.
+    """
+    words = [F.shiftright(n, 6).alias(n + "_word") for n in NUMBERS]
+    bits = [F.bit_or(F.expr(f"shiftleft(1L, CAST({n} & 63 AS INT))")).alias(n + "_bits") for n in NUMBERS]
+    return table.groupBy(quoted(chem), *words).agg(*bits)
+
+
+def _joined_sets(tables: list[DataFrame], chem: str) -> DataFrame:
+    """The sets of two tables as one, with the rows of a chemical in one place."""
+    dealt = stack_rows(*tables).repartition(quoted(chem))
+    return dealt.groupBy(quoted(chem), *[n + "_word" for n in NUMBERS]).agg(
+        *[F.bit_or(n + "_bits").alias(n + "_bits") for n in NUMBERS]
     )
-    joined = join_on(rows, cut_lineage(labels), fields, null_keys_match=True)
-    return joined.select(quoted(chem), "cassette4", "Other")
 
 
-def source_summary(records: DataFrame, uses: DataFrame, chem: str = "casrn") -> DataFrame:
+def source_summary(
+    records: DataFrame, uses: DataFrame, chem: str = "casrn", labels: Labels | None = None,
+) -> DataFrame:
     """Broad categories with their flags and specific uses of every chemical, from one pass over both inputs.
 
-    Gives the same rows as joining :func:`category_flags` and :func:`specific_uses`.
+    Gives the same rows as joining :func:`category_flags` and :func:`specific_uses`. What is dealt out by chemical are
+    the numbers of its texts, and the texts come to it there. With ``labels``, by which both inputs were numbered before,
+    no path is exchanged or written; without, both are settled and numbered here.
     """
-    product = first_match(fixed.PRODUCT_RULES, F.lit(fixed.PRODUCT_DEFAULT))
-    known = _titled_labels(
-        records.select(quoted(chem), *PATH), chem, PATH,
-        lambda paths: _categorised(_used(paths, fixed.USE_RULES, fixed.USE_APPENDS)),
+    if labels is None:
+        records, uses = (
+            cut_lineage(t) for t in (records.select(quoted(chem), *PATH), distinct_by(uses, [chem, *PRODUCT]))
+        )
+        labels = number_labels(records, uses)
+        records, uses = labelled(records, labels.paths), labelled(uses, labels.products)
+    sets = _joined_sets([_number_sets(t, chem) for t in (records, uses)], chem)
+    kinds = F.array(*[
+        F.struct(F.lit(n).alias("__kind"), F.col(n + "_word").alias("__word"), F.col(n + "_bits").alias("__bits"))
+        for n in NUMBERS
+    ])
+    texts = labels.texts.select(
+        "__kind", F.shiftright("__number", 6).alias("__word"), "__text", F.expr("CAST(__number & 63 AS INT)").alias("__bit")
     )
-    # the planner takes this and the count per use and source, which is not read here, as one aggregation
-    used = _titled_labels(
-        uses.select(quoted(chem), *PRODUCT).distinct(), chem, PRODUCT,
-        lambda p: _product_used(p, fixed.PRODUCT_USE_RULES).withColumn("cassette4", product),
+    shown = join_on(sets.select(quoted(chem), F.inline(kinds)), texts, ["__kind", "__word"], "inner").where(
+        F.getbit("__bits", F.col("__bit")) == 1
     )
 
-    def cell(label: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(label)), ", ")
+    def cell(number: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_set(F.when(F.col("__kind") == number, F.col("__text")))), ", ")
 
-    cells = stack_rows(known, used).groupBy(quoted(chem)).agg(
-        cell("cassette4").alias("broad"), F.regexp_replace(cell("Other"), "^ , ", " ").alias("Other")
+    cells = shown.groupBy(quoted(chem)).agg(
+        cell("__broad").alias("broad"), F.regexp_replace(cell("__use"), "^ , ", " ").alias("Other")
     )
     return _with_flags(cells)
 

@@ -1,5 +1,7 @@
 from dosescreen.operators import exposure
+from dosescreen.session import stage_tables, use_checkpoints
 from tests.conftest import rows
+from workload import exposure_queries
 
 RECORD = "cpdat_substance_record_id"
 
@@ -158,3 +160,39 @@ def test_predicted_uses_to_rows(spark):
     assert rows(got, "casrn", "source", "value", "Cons.", "Diet", "No Toxcast Info.") == [
         ("c1", "V1", "Personal care", "1", "1*", " "), ("c1", "V2", "Hair dye", "1", "1*", " "),
         ("c2", None, None, "0", "0", " "), ("c3", None, None, None, None, "1")]
+
+
+def test_lines_meet_as_numbers_of_labels(spark, tmp_path):
+    """What is settled grows with paths and products, not with lines; more than 64 texts, NULL paths and repeated lines."""
+    lines, n = 900, 180
+    tables = {
+        "part": spark.range(n).selectExpr(
+            "id AS p_partkey", "'B' AS p_brand", "CAST(id % 5 + 1 AS INT) AS p_size",
+            "IF(id = 7, NULL, concat(element_at(array('small', 'red', 'word'), CAST(id % 3 + 1 AS INT)), id, "
+            "element_at(array(' ring', ' anvil x', ' w', ''), CAST(id % 4 + 1 AS INT)))) AS p_name",
+            "IF(id = 8, NULL, concat('LARGE', id % 2)) AS p_type"),
+        "lineitem": spark.range(lines).selectExpr(
+            "IF(id = 9, NULL, id % 100) AS l_orderkey", f"IF(id = 11, NULL, id % {n}) AS l_partkey",
+            "IF(id % 50 = 0, NULL, 'R') AS l_returnflag", "IF(id % 2 = 0, 'F', 'O') AS l_linestatus"),
+        "orders": spark.range(110).selectExpr("id % 100 AS o_orderkey", "IF(id = 3, NULL, id % 6) AS o_custkey"),
+        "customer": spark.range(8).selectExpr("id % 7 + 1 AS c_custkey", "IF(id % 7 = 2, 'BUILDING', 'HOUSEHOLD') AS c_mktsegment"),
+    }
+    for name, table in tables.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    before = stage_tables(spark)
+    got = exposure_queries.predicted_table(spark, str(tmp_path))
+    folder = use_checkpoints(spark)
+    settled = [spark.read.parquet(f"{folder}/{name}").count() for name in stage_tables(spark) - before]
+    assert settled and max(settled) < lines / 2
+    known, used = (f(spark, str(tmp_path)) for f in (exposure_queries.records, exposure_queries.product_rows))
+    flags = exposure.category_flags([exposure.categorise(known), exposure.categorise_products(used)])
+    uses = exposure.specific_uses([exposure.catalogue_uses(known), exposure.product_specific_uses(used)])
+    assert len({b for r in flags.collect() for b in r["broad"].split(", ")}) > 64
+    listed = exposure_queries.table(spark, str(tmp_path), "customer")
+    predictions = listed.selectExpr("c_custkey AS CAS", "IF(c_mktsegment = 'BUILDING', 'Unknown', 'Consumer') AS Pathway")
+    universe = listed.selectExpr("c_custkey AS casn")
+    want = exposure.with_predictions(flags.join(uses, "casrn", "full"), universe, predictions)
+    assert rows(got, *want.columns) == rows(want)
+    # the count of a record's lines is not read, and no path is dealt out
+    assert "count(1)" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f in line for line in exchanges(got) for f in ("cassette", "product_use_category", "product_id"))

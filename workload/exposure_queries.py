@@ -13,6 +13,7 @@ from dosescreen.functions import text as txt
 from dosescreen.operators import exposure
 from dosescreen.operators.joins import join_on
 from dosescreen.operators.reshape import rename
+from dosescreen.session import cut_lineage
 from workload.registry import query, table
 
 CATALOGUES = {
@@ -66,19 +67,35 @@ def records(spark, folder) -> DataFrame:
     return exposure.catalogue_records(paths(spark, folder), ids(spark, folder), universe(spark, folder))
 
 
-def product_rows(spark, folder) -> DataFrame:
-    products = table(spark, folder, "part").select(
+def products(spark, folder) -> DataFrame:
+    return table(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("source"),
         F.when(F.col("p_size") > 3, txt.recode(txt.term("p_name", 1, " "), USES)).alias("product_use_category"),
     )
-    ingredients = table(spark, folder, "lineitem").select(
+
+
+def ingredients(spark, folder) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias(RECORD), F.col("l_partkey").alias("product_id")
     )
-    return exposure.product_uses(ids(spark, folder), ingredients, products, universe(spark, folder))
+
+
+def product_rows(spark, folder) -> DataFrame:
+    return exposure.product_uses(
+        ids(spark, folder), ingredients(spark, folder), products(spark, folder), universe(spark, folder)
+    )
 
 
 def predicted_table(spark, folder) -> DataFrame:
-    summary = exposure.source_summary(records(spark, folder), product_rows(spark, folder))
+    catalogue, listed = paths(spark, folder), products(spark, folder)
+    labels = exposure.number_labels(catalogue, listed)
+    known, chemicals = ids(spark, folder), universe(spark, folder)
+    # the numbered products are settled, so the planner knows the size of what the ingredients are joined with
+    numbered = cut_lineage(exposure.labelled(listed, labels.products))
+    summary = exposure.source_summary(
+        exposure.catalogue_records(exposure.labelled(catalogue, labels.paths), known, chemicals),
+        exposure.product_uses(known, ingredients(spark, folder), numbered, chemicals), labels=labels,
+    )
     predictions = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("CAS"), txt.recode("c_mktsegment", PATHWAYS).alias("Pathway")
     )
