@@ -6,8 +6,12 @@ that collides at least as often as a pair at the threshold does with probability
 double precision.
 
 Equal vectors are one point with a weight. A label with more points than a block is dealt into blocks that meet in pairs,
-so no task holds more than two blocks; collisions are counted there and never leave the task, only verified links do. The
-number of windows is fixed, so the work for a label grows with the square of its distinct vectors, in array operations.
+so no task holds more than two blocks; collisions are counted and links verified there, and neither leaves the task, only
+one row for each linked point does: the rows it links with and one point of its component among these blocks. The number
+of windows is fixed, so the work for a label grows with the square of its distinct vectors, in array operations.
+
+A written table can hold many times more rows than its bytes tell, so Spark is kept from broadcasting those that grow with
+the input; the sizes that are broadcast are those of labels with more points than a block.
 
 Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite components and vectors without label link
 with nothing and are returned with 0 links; vectors without id link like any other, but name no component (one of vectors
@@ -19,6 +23,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +63,8 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def linked(queries: np.ndarray, points: np.ndarray, cosine: float, projections: int, width: float, least: int,
-           after: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of queries, row of points) that collide often enough and have the cosine; ``after``: only later rows."""
+           after: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of queries, each with the rows of points that collide often enough and have the cosine; ``after``: later ones."""
     queries, points = scaled(queries), scaled(points)
     size = [np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (queries, points)]
     lines = np.random.default_rng(SEED).standard_normal((queries.shape[1], projections))
@@ -71,16 +76,28 @@ def linked(queries: np.ndarray, points: np.ndarray, cosine: float, projections:
         low[:, j] = np.searchsorted(line, at[:, j] - width, "left")
         high[:, j] = np.searchsorted(line, at[:, j] + width, "right")
     order = np.ascontiguousarray(order.T)
-    left, right = [], []
     for q in range(len(queries)):
         window = [row[a:b] for row, a, b in zip(order, low[q].tolist(), high[q].tolist())]
         met = np.flatnonzero(np.bincount(np.concatenate(window), minlength=len(points)) >= least)
         if after:
             met = met[met > q]
         met = met[points[met] @ queries[q] >= cosine * size[1][met] * size[0][q]]
-        left.append(np.full(len(met), q))
-        right.append(met)
-    return np.concatenate(left), np.concatenate(right)
+        if len(met):
+            yield q, met
+
+
+def gathered(links: Iterable[tuple[int, np.ndarray]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the weight of the rows it links with, and the first row of its component; each link comes once."""
+    others, root = np.zeros(len(weight), np.int64), np.arange(len(weight))
+    for q, met in links:
+        others[q] += weight[met].sum()
+        others[met] += weight[q]
+        near = np.append(root[met], root[q])
+        first = near.min()
+        if (near != first).any():
+            root[near] = first
+            root = root[root]
+    return others, root
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, width: float = WIDTH,
@@ -97,43 +114,44 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, projections: int
                          .agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("v").alias("v"))
                          .withColumn("point", F.monotonically_increasing_id()))
     group = F.struct("kind.label", "kind.width")
-    sizes = cut_lineage(points.groupBy(group.alias("group")).agg(F.count("*").alias("members")))
-    dealt = block_pairs(points.select("point", "v", group.alias("group")).join(sizes, "group"), "members",
-                        F.xxhash64("point"), block)
+    large = cut_lineage(points.groupBy(group.alias("group")).agg(F.count("*").alias("members"))
+                        .where(F.col("members") > block))
+    dealt = block_pairs(points.select("point", "weight", "v", group.alias("group")).join(large, "group", "left")
+                        .withColumn("members", F.coalesce("members", F.lit(1))), "members", F.xxhash64("point"), block)
     least = needed(cosine, projections, width, recall)
 
     def work(part: pa.Table) -> pa.Table:
         own = part.column("own").to_numpy()
         ids = part.column("point").to_numpy()
         order = np.lexsort((ids, own))
-        own, ids = own[order], ids[order]
+        own, ids, weight = own[order], ids[order], part.column("weight").to_numpy()[order]
         flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         v = flat.reshape(len(ids), -1)[order]
         cut = np.flatnonzero(own != own[0])
         pair = part.column("pair")[0].as_py()
+        links: Iterable[tuple[int, np.ndarray]] = ()  # if the other block of this pair is empty
         if len(cut):
-            a, b = linked(v[:cut[0]], v[cut[0]:], cosine, projections, width, least, False)
-            b = b + cut[0]
+            links = linked(v[:cut[0]], v[cut[0]:], cosine, projections, width, least, False)
+            links = ((q, met + cut[0]) for q, met in links)
         elif pair % (part.column("blocks")[0].as_py() + 1) == 0:
-            a, b = linked(v, v, cosine, projections, width, least, True)
-        else:  # the other block of this pair is empty
-            a = b = np.array([], int)
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+            links = linked(v, v, cosine, projections, width, least, True)
+        others, root = gathered(links, weight)
+        met = np.flatnonzero(others)
+        return pa.table({"point": pa.array(ids[met], pa.int64()), "others": pa.array(others[met], pa.int64()),
+                         "root": pa.array(ids[root[met]], pa.int64())})
 
     dealt = dealt.withColumn("blocks", F.greatest(F.ceil(F.col("members") / block), F.lit(1)).cast("long"))
-    links = cut_lineage(dealt.select("group", "pair", "own", "blocks", "point", "v").groupBy("group", "pair")
-                        .applyInArrow(work, "a long, b long"))
-    weights = points.select(F.col("point").alias("b"), "weight")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(weights, "b").groupBy(F.col("a").alias("point")).agg(F.sum("weight").alias("others"))
-    groups = components(links).withColumnRenamed("vertex", "point")
-    owned = cut_lineage(points.select("kind", "point", "first", "weight").join(degree, "point", "left")
-                        .join(groups, "point", "left")
+    shares = cut_lineage(dealt.select("group", "pair", "own", "blocks", "point", "weight", "v").groupBy("group", "pair")
+                         .applyInArrow(work, "point long, others long, root long"))
+    degree = shares.groupBy("point").agg(F.sum("others").alias("others"))
+    groups = components(shares.select(F.col("point").alias("a"), F.col("root").alias("b")), broadcast=False)
+    owned = cut_lineage(points.select("kind", "point", "first", "weight").join(degree.hint("merge"), "point", "left")
+                        .join(groups.withColumnRenamed("vertex", "point").hint("merge"), "point", "left")
                         .select("kind", "first", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
                                 F.coalesce("component", "point").alias("group")))
-    least = owned.groupBy("group").agg(F.min("first").alias("component"))
-    named = cut_lineage(owned.join(least, "group").select("kind", "n_links", "component"))
-    found = rows.select("id", "kind").join(named, "kind", "left").select(
+    least = cut_lineage(owned.groupBy("group").agg(F.min("first").alias("component")))
+    named = cut_lineage(owned.join(least.hint("merge"), "group").select("kind", "n_links", "component"))
+    found = rows.select("id", "kind").join(named.hint("merge"), "kind", "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("kind").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

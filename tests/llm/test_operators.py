@@ -14,6 +14,7 @@ import corpus_pipeline
 from dosescreen.llm import (
     chats, collisions, common, decontaminate, lines, mixture, secret_scan, simhash, suffixes, toxicity, warc,
 )
+from dosescreen.session import cut_lineage
 
 EDGE = [(None, None), (None, "a b"), (1, None), (2, ""), (3, " \n\t "), (4, "é ß 漢字"), (4, "é ß 漢字"), (5, "word " * 30000)]
 
@@ -151,6 +152,44 @@ def test_embeddings_without_id_or_of_any_magnitude(spark):
         (10, 2, 10, True), (11, 0, 11, True), (12, 2, 10, False), (13, 2, 10, False)], key=repr)
 
 
+def test_embeddings_write_no_links_and_broadcast_no_table_that_grows(spark, monkeypatch):
+    """320 near copies have 51,040 links, whose files are far smaller than their rows are in the driver's memory."""
+    draw = np.random.default_rng(4)
+    base, far = draw.standard_normal((2, 16))
+    rows = [(i, 0, [float(x) for x in base + 0.01 * draw.standard_normal(16)]) for i in range(320)]
+    rows += [(400 + i, 0, rows[7][2]) for i in range(3)] + [(500 + i, 1, [float(x) for x in far]) for i in range(2)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    written = []
+
+    def kept(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        written.append((plan, cut_lineage(df)))
+        return written[-1][1]
+
+    monkeypatch.setattr(collisions, "cut_lineage", kept)
+    monkeypatch.setattr(common, "cut_lineage", kept)
+    result = collisions.near_duplicates(frame, block=64)
+    found = sorted(map(tuple, result.collect()))
+    assert found == sorted([(i, 322, 0, i == 0) for i, label, _ in rows if label == 0]
+                           + [(500, 1, 500, True), (501, 1, 500, False)])
+    # each point once for each of the five blocks, and both ways
+    assert max(df.count() for _, df in written) <= 2 * 320 * 5
+    plans = [plan for plan, _ in written] + [result._jdf.queryExecution().executedPlan().toString()]
+    # only the sizes of labels with more points than a block
+    assert ["members" in plan for plan in plans if "Broadcast" in plan] == [True]
+
+
+def test_weights_and_roots_of_links():
+    draw = np.random.default_rng(5)
+    for n, count in ((1, 0), (2, 1), (40, 25), (40, 200)):
+        pairs = sorted({(int(min(p)), int(max(p))) for p in draw.integers(0, n, (count, 2)) if p[0] != p[1]})
+        weight = draw.integers(1, 9, n)
+        links = [(q, np.array([b for a, b in pairs if a == q])) for q in sorted({a for a, _ in pairs})]
+        others, root = collisions.gathered(links, weight)
+        assert others.tolist() == [sum(int(weight[a + b - i]) for a, b in pairs if i in (a, b)) for i in range(n)]
+        assert dict(enumerate(root.tolist())) == partition(pairs, range(n))
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_simhash_against_brute_force(docs, block):
     rows = list(EDGE)
